@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import media, ngram_join, orc_tokens
+from tallyframe.llm import embed_dedup, langid, media, ngram_join, orc_tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_files(spark, _docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_docs(spark, sf_dir))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_docs(spark, sf_dir))
 
@@ -27,10 +31,16 @@ def op7_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_docs(spark, sf_dir))
 
 
+def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_orc_tokens": op3_orc_tokens,
+    "op5_language_id": op5_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_wav_media": op7_wav_media,
+    "op10_embed_dedup": op10_embed_dedup,
 }
 
 ORACLES: dict[str, str] = {}
