@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import embed_dedup, langid, media, ngram_join, orc_tokens
+from tallyframe.llm import embed_dedup, langid, media, ngram_join, orc_tokens, quality, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,21 @@ def op7_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_docs(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = langid.id_remainder("doc_id", 3) == 1
+    model = quality.fit(docs, quality.label_rows(labels.where(~held), "quality"))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = langid.id_remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, quality.label_rows(labels.where(~held), "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -40,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_wav_media": op7_wav_media,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_embed_dedup": op10_embed_dedup,
 }
 

@@ -99,9 +99,8 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = ASCII_S
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte span."""
-    global _pow, _inv
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | list[np.ndarray]) -> np.ndarray:
+    """A 64-bit polynomial hash of each byte span; with several arrays of ends, a row for each."""
     n = len(data)
     if n + 1 > len(_pow):
         power, inverse = _powers(_MULTIPLIER, n + 1), _powers(_INVERSE, n + 1)
@@ -109,7 +108,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         power, inverse = _pow, _inv
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    before, turn = total[starts], inverse[starts]
+    rows = [mix64((total[e] - before) * turn + (e - starts).astype(np.uint64)) for e in (ends if isinstance(ends, list) else [ends])]
+    return np.stack(rows) if isinstance(ends, list) else rows[0]
 
 
 def hash_word(word: bytes) -> int:
