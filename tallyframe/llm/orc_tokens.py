@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.llm import textkit
 from tallyframe.llm.scratch import new_path
 
 END_ID = 2
@@ -40,18 +41,35 @@ TOKENS = T.StructType(
 )
 
 
+#: Kinds of bytes: lower-case letters, digits, punctuation; all other bytes are 0.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[97:123] = 1
+_APOSTROPHE = 39
+#: First code point behind the composed Latin letters.
+_LATIN_END = chr(0x250)
+#: Byte-level tables name printable bytes by themselves and the others from 256 on.
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _printable)}
+
+
 class WordTokenizer:
-    """Encodes texts by their space-separated chunks, remembering the ids of chunks seen.
+    """Encodes texts by their smallest separable chunks, remembering the ids of chunks seen.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of
-    its chunks, one after the other. The memory is emptied when it holds CACHE_WORDS chunks.
+    The tokenizer lower-cases, drops white space and never joins across it, nor from an ASCII
+    letter to a digit or punctuation mark unless an apostrophe is near. So the ids of a text are
+    those of such chunks, one after the other; pure letters go straight to the merge table. Texts
+    that may spell a special token are encoded whole. The memory is emptied when it holds
+    CACHE_WORDS chunks.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.number: dict[str, int] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.merges = self.whole.model
+        self.number: dict[int, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -61,48 +79,96 @@ class WordTokenizer:
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        for encoding in (self.model.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False) for i in range(0, len(chunks), 4096)):
-            for e in encoding:
-                ids = e.ids
-                k, n = len(self.number), len(ids)
-                while k >= len(self.start):
-                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                    self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-                while self.used + n > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + n] = ids
-                self.start[k], self.length[k] = self.used, n
-                self.used += n
-                self.number[chunks[k - self._base]] = k
+    def _pieces(self, chunk: bytes) -> list[int]:
+        if chunk.isalpha():  # of bytes: ASCII letters only
+            return [t.id for t in self.merges.tokenize(chunk.decode())]
+        kinds = set(_KIND[np.frombuffer(chunk, dtype=np.uint8)].tolist())
+        if kinds == {3} and b"'" not in chunk:
+            return [t.id for t in self.merges.tokenize(chunk.decode())]
+        if kinds == {2}:
+            return [t.id for digit in chunk.decode() for t in self.merges.tokenize(digit)]
+        text = chunk.decode()
+        if text.isalpha() and max(text) < _LATIN_END:
+            low = "".join(map(str.lower, text))
+            if low.isalpha():  # composed Latin letters: one word of the merge table
+                return [t.id for t in self.merges.tokenize(low.encode().decode("latin-1").translate(_BYTE_NAMES))]
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, key: int, chunk: bytes) -> None:
+        ids = self._pieces(chunk)
+        k, n = len(self.number), len(ids)
+        if k == len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        while self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + n] = ids
+        self.start[k], self.length[k] = self.used, n
+        self.used += n
+        self.number[key] = k
+
+    def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, doc = textkit.words(data, offsets)
+        if not len(starts):
+            return starts, ends, doc
+        kind = _KIND[data]
+        cut = np.zeros(len(data), dtype=bool)
+        cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        marks = np.concatenate([[0], np.cumsum(data == _APOSTROPHE)])
+        for k in np.flatnonzero(marks[ends] > marks[starts]):
+            cut[starts[k] : ends[k]] = False
+        cut[starts] = True
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        cut &= np.cumsum(inside[:-1]) > 0
+        begin = np.flatnonzero(cut)
+        word = np.searchsorted(starts, begin, side="right") - 1
+        end = np.minimum(np.append(begin[1:], len(data)), ends[word])
+        return begin, end, doc[word]
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a block and how many each text has."""
+        data = textkit.LOWER_AZ[data]
+        begin, end, doc = self._chunks(data, offsets)
+        coded = pa.array(textkit.span_hashes(data, begin, end)).dictionary_encode()
+        keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.number) + len(keys) > CACHE_WORDS:
+            self._reset()
+        if any(k not in self.number for k in keys):
+            first = np.zeros(len(keys), dtype=np.int64)
+            first[index[::-1]] = np.arange(len(index))[::-1]
+            for key, at in zip(keys, first.tolist(), strict=True):
+                if key not in self.number:
+                    self._learn(key, data[begin[at] : end[at]].tobytes())
+        number = np.fromiter((self.number[k] for k in keys), dtype=np.int64, count=len(keys))[index]
+        lengths = self.length[number]
+        before = np.cumsum(lengths) - lengths
+        ids = self.flat[np.repeat(self.start[number] - before, lengths) + np.arange(lengths.sum())]
+        return ids, np.bincount(doc, weights=lengths, minlength=len(offsets) - 1).astype(np.int64)
 
     def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
         """Ids of each text with the end id behind them."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        offsets, chunks = offsets - offsets[0], split.flatten()
-        coded = chunks.dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        names = coded.dictionary.to_pylist()
-        if len(self.number) + len(names) > CACHE_WORDS:
-            self._reset()
-        new = [w for w in names if w not in self.number]
-        self._base = len(self.number)
-        self._learn(new)
-        known = np.fromiter((self.number[w] for w in names), dtype=np.int64, count=len(names))
-        number = known[coded.indices.to_numpy()] if len(names) else np.zeros(0, dtype=np.int64)
-        lengths = self.length[number]
-        before = np.zeros(len(number) + 1, dtype=np.int64)
-        np.cumsum(lengths, out=before[1:])
-        total = int(before[-1])
-        ids = self.flat[np.repeat(self.start[number] - before[:-1], lengths) + np.arange(total)]
-        bounds = before[offsets]
-        ends = bounds + np.arange(len(bounds))
-        out = np.full(total + len(bounds) - 1, end_id, dtype=np.int32)
+        data, offsets = textkit.buffers(texts)
+        found, counts = [], []
+        odd = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|" begins every special token
+        special = set((np.searchsorted(offsets, odd, side="right") - 1).tolist())
+        for i, j in textkit.blocks(offsets, 2 * textkit.BLOCK):
+            block, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            ids, n = self._block(block, at)
+            if special:
+                parts = np.split(ids, np.cumsum(n)[:-1])
+                for d in special.intersection(range(i, j)):
+                    parts[d - i] = np.array(self.whole.encode(texts[d].as_py(), add_special_tokens=False).ids, dtype=np.int32)
+                ids, n = np.concatenate(parts), np.array([len(x) for x in parts])
+            found.append(ids)
+            counts.append(n)
+        n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(n + 1)])
+        out = np.full(int(ends[-1]), end_id, dtype=np.int32)
         keep = np.ones(len(out), dtype=bool)
         keep[ends[1:] - 1] = False
-        out[keep] = ids
+        out[keep] = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
 
 
