@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import embed_dedup, langid, media, ngram_join, orc_tokens, quality, toxicity
+from tallyframe.llm import embed_dedup, langid, media, ngram_join, orc_tokens, pii, quality, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_files(spark, _docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_spans(_docs(spark, sf_dir)))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_docs(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_orc_tokens": op3_orc_tokens,
+    "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_wav_media": op7_wav_media,
