@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import embed_dedup, langid, media, ngram_join, orc_tokens, pii, quality, toxicity
+from tallyframe.llm import embed_dedup, langid, media, mixing, ngram_join, orc_tokens, pieces, pii, quality, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampling_plan(_docs(spark, sf_dir))
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.piece_digests(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +66,8 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_pieces": op2_pieces,
     "op3_orc_tokens": op3_orc_tokens,
     "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
@@ -66,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embed_dedup": op10_embed_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.plan_sql()}
