@@ -57,7 +57,12 @@ class Pieces:
             else:
                 self.piece[name] = (k, model.get_score(k))
                 self.text.append(name.replace(SPACE, " ").encode())
-        self.longest = max(map(len, self.piece))
+        #: Every beginning of a piece; None where it is no piece itself.
+        self.begun: dict[str, tuple[int, float] | None] = {}
+        for name in self.piece:
+            for k in range(1, len(name)):
+                self.begun.setdefault(name[:k], None)
+            self.begun[name] = self.piece[name]
         self.unknown = min((s for _, s in self.piece.values() if s > NEVER), default=0.0) - UNKNOWN_PENALTY
         self.joined = np.zeros((256, 256), dtype=bool)
         for name in self.piece:
@@ -77,17 +82,20 @@ class Pieces:
 
     def n_best_of(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
         """The best segmentations of a text as ``score, ids``, best first."""
-        n, piece, longest = len(chunk), self.piece, self.longest
+        n, begun = len(chunk), self.begun
         forward = [0.0] + [-np.inf] * n
         edges: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             base, single = forward[i], False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if (found := piece.get(chunk[i:j])) is not None:
+            for j in range(i + 1, n + 1):
+                found = begun.get(chunk[i:j], False)
+                if found:
                     single |= j == i + 1
                     edges[j].append((i, found[1], (found[0],)))
                     if base + found[1] > forward[j]:
                         forward[j] = base + found[1]
+                elif found is False:
+                    break
             if not single:
                 edges[i + 1].append((i, self.unknown, tuple(self.byte[b] for b in chunk[i].encode())))
                 if base + self.unknown > forward[i + 1]:
