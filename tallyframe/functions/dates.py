@@ -43,3 +43,15 @@ def index_of(grain: str, start: Column) -> Column:
         return days if grain == "day" else F.floor(days / 7).cast("int")
     months = F.year(start) * 12 + F.month(start) - 1
     return F.floor(months / {"month": 1, "quarter": 3, "year": 12}[grain]).cast("int")
+
+
+def start_of(grain: str, label: Column) -> Column:
+    """First day of a bucket from its label."""
+    year = F.substring(label, 1, 4).cast("int")
+    if grain == "day":
+        return label.try_cast("date")
+    if grain == "week":
+        first = F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week")
+        return F.date_add(first, (F.substring(label, 7, 2).cast("int") - 1) * 7)
+    month = {"month": F.substring(label, 6, 2).cast("int"), "quarter": F.substring(label, 7, 1).cast("int") * 3 - 2, "year": F.lit(1)}[grain]
+    return F.make_date(year, month, F.lit(1))
