@@ -43,7 +43,7 @@ def popularity(train: DataFrame) -> DataFrame:
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "item"))
+    rank = F.row_number().over(Window.partitionBy("user").orderBy(F.desc(F.round("score", 9)), "item"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("user", "item", "rank", F.round("score", 6).alias("score"))
 
 

@@ -106,16 +106,16 @@ def frame_label_status(spark: SparkSession, d: str) -> DataFrame:
 _NETS = f"WITH e AS (SELECT p_brand AS brand, strftime(o_orderdate, '%Y') AS t, l_suppkey, sum(l_extendedprice) AS v FROM {_SALES} GROUP BY ALL)"
 
 
-@query("frame_hhi_supplier", f"{_NETS} SELECT brand, t, round(round(10000 * sum(v * v) / (sum(v) * sum(v)), 6), 4) AS hhi FROM e GROUP BY ALL HAVING sum(v) > 0")
+@query("frame_hhi_supplier", f"{_NETS} SELECT brand, t, round(10000 * sum(v * v) / (sum(v) * sum(v)), 6) AS hhi FROM e GROUP BY ALL HAVING sum(v) > 0")
 def frame_hhi_supplier(spark: SparkSession, d: str) -> DataFrame:
     spec = {"time_from": "o_orderdate", "keys": [{"name": "brand", "from": "p_brand"}, {"name": "t", "via": "bin:year"}], "aggregates": [{"name": "hhi", "using": "hhi", "of": "l_extendedprice", "by": "l_suppkey"}]}
-    return _rounded(build(_sales(spark, d), spec), 4)
+    return build(_sales(spark, d), spec).df
 
 
-@query("frame_top_share", f"{_NETS} SELECT brand, t, round(round(100 * max(v) / sum(v), 6), 4) AS top, round(sum(v), 2) AS total FROM e GROUP BY ALL HAVING sum(v) > 0")
+@query("frame_top_share", f"{_NETS} SELECT brand, t, round(100 * max(v) / sum(v), 6) AS top, round(sum(v), 2) AS total FROM e GROUP BY ALL HAVING sum(v) > 0")
 def frame_top_share(spark: SparkSession, d: str) -> DataFrame:
     spec = {"time_from": "o_orderdate", "keys": [{"name": "brand", "from": "p_brand"}, {"name": "t", "via": "bin:year"}], "aggregates": [{"name": "top", "using": "top_share", "of": "l_extendedprice", "by": "l_suppkey"}, {"name": "total", "using": "sum", "of": "l_extendedprice"}]}
-    return build(_sales(spark, d), spec).df.select("brand", "t", F.round("top", 4).alias("top"), F.round("total", 2).alias("total"))
+    return build(_sales(spark, d), spec).df.select("brand", "t", "top", F.round("total", 2).alias("total"))
 
 
 # --- filters -------------------------------------------------------------------------------------
@@ -321,12 +321,11 @@ _TOP = "r AS (SELECT \"user\", item, score, row_number() OVER (PARTITION BY \"us
 
 @query(
     "rec_topk",
-    f"WITH {_PAIRS}, {_SIM.format(t='d')}, f AS (SELECT d.\"user\", other AS item, sum(sim * w) AS score FROM d JOIN sim ON d.item = sim.item WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = d.\"user\" AND x.item = other) GROUP BY ALL), p AS (SELECT item, sum(w) AS pop FROM d GROUP BY 1), cold AS (SELECT DISTINCT \"user\" FROM d WHERE \"user\" NOT IN (SELECT \"user\" FROM f)), a AS (SELECT * FROM f UNION ALL SELECT c.\"user\", p.item, p.pop FROM cold c, p WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = c.\"user\" AND x.item = p.item)), {_TOP.format(scored='a')} SELECT \"user\", item, CAST(rank AS INTEGER) AS rank, round(round(score, 6), 4) AS score FROM r WHERE rank <= 5",
+    f"WITH {_PAIRS}, {_SIM.format(t='d')}, f AS (SELECT d.\"user\", other AS item, sum(sim * w) AS score FROM d JOIN sim ON d.item = sim.item WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = d.\"user\" AND x.item = other) GROUP BY ALL), p AS (SELECT item, sum(w) AS pop FROM d GROUP BY 1), cold AS (SELECT DISTINCT \"user\" FROM d WHERE \"user\" NOT IN (SELECT \"user\" FROM f)), a AS (SELECT * FROM f UNION ALL SELECT c.\"user\", p.item, p.pop FROM cold c, p WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = c.\"user\" AND x.item = p.item)), {_TOP.format(scored='a')} SELECT \"user\", item, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5",
 )
 def rec_topk(spark: SparkSession, d: str) -> DataFrame:
     data = _bought(spark, d)
-    recs = recommend.recommend(data, recommend.item_similarity(data), recommend.popularity(data), 5)
-    return recs.select("user", "item", "rank", F.round("score", 4).alias("score"))
+    return recommend.recommend(data, recommend.item_similarity(data), recommend.popularity(data), 5)
 
 
 @query(
