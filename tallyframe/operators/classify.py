@@ -89,7 +89,6 @@ def roc_auc(df: DataFrame, label: Column, score: str) -> DataFrame:
 
 def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
     """``accuracy``, that of the most common class, and the lift over it in percent."""
-    hit = df.agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col(pred)).alias("hit"))
-    most = df.groupBy(label).count().agg(F.max("count").alias("most"))
-    both = hit.crossJoin(most)  # one row each
-    return both.select(F.round(F.col("hit") / F.col("n"), 4).alias("accuracy"), F.round(F.col("most") / F.col("n"), 4).alias("baseline"), F.round((F.col("hit") / F.col("most") - 1) * 100, 4).alias("lift"))
+    by = df.groupBy(label).agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col(pred)).alias("hit"))
+    n, hit, most = F.sum("n"), F.sum("hit"), F.max("n")
+    return by.agg(F.round(hit / n, 4).alias("accuracy"), F.round(most / n, 4).alias("baseline"), F.round((hit / most - 1) * 100, 4).alias("lift"))

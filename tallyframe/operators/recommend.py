@@ -50,12 +50,19 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 def popular_top(users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> DataFrame:
     """The most popular items that each user has not seen.
 
-    Only the first ``k + most seen`` items can appear in any list, so only these meet the users.
+    Only the first ``k + most seen`` items can appear in any list. These go to every user as one
+    ordered array, from which the user's own items are taken.
     """
     most = seen.groupBy("user").count().agg(F.max("count")).first()[0] or 0
-    head = pop.orderBy(F.desc("pop"), "item").limit(k + most)
-    pairs = users.crossJoin(F.broadcast(head)).join(seen.select("user", "item"), ["user", "item"], "left_anti")
-    return _top(pairs.withColumnRenamed("pop", "score"), k)
+    head = pop.orderBy(F.desc("pop"), "item").limit(k + most).collect()
+    if not head:
+        return users.select("user", F.lit("").alias("item"), F.lit(0).alias("rank"), F.lit(0.0).alias("score")).limit(0)
+    items = F.array(*(F.lit(r["item"]) for r in head))
+    worth = F.create_map(*(F.lit(x) for r in head for x in (r["item"], float(r["pop"]))))
+    own = seen.groupBy("user").agg(F.collect_set("item").alias("own"))
+    fresh = F.slice(F.array_except(items, F.coalesce("own", F.array().cast("array<string>"))), 1, k)
+    listed = users.join(own, "user", "left").select("user", F.posexplode(fresh).alias("at", "item"))
+    return listed.select("user", "item", (F.col("at") + 1).alias("rank"), F.round(worth[F.col("item")], 6).alias("score"))
 
 
 def recommend(history: DataFrame, sim: DataFrame, pop: DataFrame, k: int = 5, users: DataFrame | None = None) -> DataFrame:
@@ -88,12 +95,17 @@ def evaluate(data: DataFrame, k: int = 5, holdout: float = 0.3, folds: int = 1)
         users, pop = held.select("user").distinct(), popularity(train)
         recs = recommend(train, item_similarity(train), pop, k, users)
         base = popular_top(users, train.join(users, "user", "left_semi"), pop, k)
-        m = ranking_metrics(recs, held, k)
-        b = ranking_metrics(base, held, k).toDF("popular_precision", "popular_recall", "popular_map", "n").drop("n")
-        c = recs.agg(F.count_distinct("item").alias("covered")).crossJoin(pop.agg(F.count("*").alias("items_known")))
+        parts = [
+            ranking_metrics(recs, held, k),
+            ranking_metrics(base, held, k).toDF("popular_precision", "popular_recall", "popular_map", "n"),
+            recs.agg(F.count_distinct("item").alias("covered")),
+            pop.agg(F.count("*").alias("items_known")),
+        ]
+        one = parts[0].withColumn("fold", F.lit(fold))
+        for p in parts[1:]:  # one row each
+            one = one.join(p.withColumn("fold", F.lit(fold)), "fold")
         lift = F.when(F.col("popular_precision") > 0, F.round((F.col("precision") / F.col("popular_precision") - 1) * 100, 2)).when(F.col("precision") > 0, 100.0)
-        one = m.crossJoin(b).crossJoin(c)  # one row each
-        rows.append(one.select(F.lit(fold).alias("fold"), "users_scored", "items_known", "precision", "recall", "map", "popular_precision", "popular_recall", "popular_map", lift.alias("lift"), F.round(F.col("covered") / F.col("items_known"), 4).alias("coverage")))
+        rows.append(one.select("fold", "users_scored", "items_known", "precision", "recall", "map", "popular_precision", "popular_recall", "popular_map", lift.alias("lift"), F.round(F.col("covered") / F.col("items_known"), 4).alias("coverage")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
