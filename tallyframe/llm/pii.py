@@ -5,7 +5,7 @@ abstain: the strict pattern, a gazetteer, the words before it, a checksum or ran
 Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is
 for each kind; the posteriors are the soft labels of a logistic span classifier over votes and
 surface features. Spans of the strict patterns always stay; of the other candidates those that
-the classifier accepts are added. Vote and feature patterns are bounded in number (3**5 votes for
+the classifier accepts are added, unless their checksum or range fails. Vote and feature patterns are bounded in number (3**5 votes for
 each kind and features), so only their counts reach the driver.
 
 Defined results: a null text counts as empty and has no span; positions count code points, ends
@@ -230,7 +230,7 @@ def _accepted(column: str, weights: dict[str, float]) -> Column:
         for letter, field, size in (("v", "votes", len(VOTES)), ("f", "features", 3)):
             for j in range(size):
                 total = total + worth(F.concat(key, F.lit(f"{letter}{j}:"), s[field][j].cast("string")))
-        return s["strict"] | (1 / (1 + F.exp(-total)) >= ACCEPT)
+        return s["strict"] | ((s["votes"][VOTES.index("check")] > 0) & (1 / (1 + F.exp(-total)) >= ACCEPT))
 
     kept = F.filter(column, keep)
     return F.array_sort(F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"))))
