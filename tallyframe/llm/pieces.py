@@ -4,7 +4,9 @@ Every way to cut a text into vocabulary pieces is a path through a lattice. A fo
 gives the best score of each prefix; searching backward from the end by A-star with those scores,
 which are exact, yields complete segmentations in order. Where no piece holds two neighbouring
 bytes the lattice has a single node, so a text falls into chunks whose lattices are solved once;
-the n best of a text combine the n best of its chunks.
+the n best of a text combine the n best of its chunks. Forward and backward passes run over many
+short chunks at once and give each its best segmentation and the distance to the second best; only
+the chunks of a text that are nearest to another segmentation are searched for it.
 
 A character without a piece is an edge of its byte pieces, scored below every piece.
 
@@ -24,18 +26,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm import textkit
 
 SPACE = "▁"
 N_BEST = 3
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 250_000
+#: Rows of a task's output at a time.
+ROWS = 500
 #: How far below the lowest ordinary piece an unknown character scores.
 UNKNOWN_PENALTY = 10.0
 #: Pieces scored lower are not meant for segmentation.
 NEVER = -1e8
 
 
+#: Longest chunk, in characters, that is solved with others at once, and how many at a time.
+MATRIX = 32
+TOGETHER = 2000
+
+
+def _prefix_sums(points: np.ndarray) -> np.ndarray:
+    """Running polynomial hashes of rows of code points."""
+    out = np.zeros((len(points), points.shape[1] + 1), dtype=np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * textkit._pow[: points.shape[1]], axis=1, out=out[:, 1:])
+    return out
+
+
+def _substring_hashes(sums: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of all stretches of ``m`` code points of each row."""
+    width = sums.shape[1] - 1
+    return textkit.mix64((sums[:, m:] - sums[:, : width - m + 1]) * textkit._inv[: width - m + 1] + np.uint64(m))
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model as a lattice of pieces."""
 
@@ -69,6 +92,14 @@ class Pieces:
             raw = np.frombuffer(name.replace(SPACE, " ").encode(), dtype=np.uint8)
             self.joined[raw[:-1], raw[1:]] = True
         self.joined[:, 0x80:0xC0] = True  # never within a character
+        #: By length: sorted hashes of pieces, their ids and scores.
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, MATRIX + 1):
+            own = [(x, *v) for x, v in self.piece.items() if len(x) == n]
+            points = np.array([[ord(c) for c in x] for x, _, _ in own], dtype=np.uint32).reshape(len(own), n)
+            keys = _substring_hashes(_prefix_sums(points), n)[:, 0] if own else np.zeros(0, dtype=np.uint64)
+            order = np.argsort(keys)
+            self.by_length.append((keys[order], np.array([k for _, k, _ in own], dtype=np.int32)[order], np.array([v for _, _, v in own])[order]))
         self.number: dict[int, int] = {}
         self._reset()
 
@@ -77,8 +108,8 @@ class Pieces:
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
         self.best = np.zeros(1 << 14)
-        self.gap = np.zeros(1 << 14)  # to the second best
-        self.others: list[tuple[tuple[float, tuple[int, ...]], ...]] = []
+        self.gap = np.full(1 << 14, np.inf)  # to the second best
+        self.others: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
 
     def n_best_of(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
         """The best segmentations of a text as ``score, ids``, best first."""
@@ -111,20 +142,102 @@ class Pieces:
                 heapq.heappush(waiting, (-(forward[i] + score + done), own + ids, i, score + done))
         return out
 
-    def _learn(self, key: int, chunk: str) -> None:
-        found = self.n_best_of(chunk)
-        k, (score, ids) = len(self.number), found[0]
+    def _store(self, key: int, score: float, ids, gap: float) -> None:
+        k = len(self.number)
         if k == len(self.start):
             self.start, self.length, self.best, self.gap = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.best, self.gap))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.length[k], self.best[k] = self.used, len(ids), score
-        self.gap[k] = score - found[1][0] if len(found) > 1 else np.inf
+        self.start[k], self.length[k], self.best[k], self.gap[k] = self.used, len(ids), score, gap
         self.used += len(ids)
-        self.others.append(tuple((score - s, i) for s, i in found[1:]))
         self.number[key] = k
 
+    def _learn(self, keys: list[int], chunks: list[str]) -> None:
+        short: dict[int, list[int]] = {}
+        for k, chunk in enumerate(chunks):
+            if len(chunk) <= MATRIX:
+                short.setdefault((len(chunk) + 3) // 4, []).append(k)
+            else:
+                self._searched(keys[k], chunk)
+        for group in short.values():
+            for at in range(0, len(group), TOGETHER):
+                self._solved([keys[k] for k in group[at : at + TOGETHER]], [chunks[k] for k in group[at : at + TOGETHER]])
+
+    def _searched(self, key: int, chunk: str) -> None:
+        found = self.n_best_of(chunk)
+        self._store(key, *found[0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+
+    def _solved(self, keys: list[int], chunks: list[str]) -> None:
+        """Best segmentation and distance to the second best of chunks of similar length.
+
+        The best score of a path through an edge is forward score, edge and backward score; the
+        second best segmentation is the best through an edge that the best one lacks.
+        """
+        sizes = np.array([len(c) for c in chunks])
+        n, width = len(chunks), int(sizes.max())
+        points = np.frombuffer("".join(c.ljust(width, "\0") for c in chunks).encode("utf-32-le"), dtype=np.uint32).reshape(n, width)
+        sums = _prefix_sums(points)
+        score = np.full((width, n, width), -np.inf)  # by length - 1, chunk, begin
+        own = np.full((width, n, width), -1, dtype=np.int32)
+        for m in range(1, width + 1):
+            hashes, ids, values = self.by_length[m - 1]
+            if len(hashes):
+                h = _substring_hashes(sums, m)
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = (hashes[at] == h) & (np.arange(width - m + 1) + m <= sizes[:, None])
+                score[m - 1, :, : width - m + 1][hit] = values[at[hit]]
+                own[m - 1, :, : width - m + 1][hit] = ids[at[hit]]
+        score[0][(own[0] < 0) & (np.arange(width) < sizes[:, None])] = self.unknown
+        forward, back = np.full((n, width + 1), -np.inf), np.zeros((n, width + 1), dtype=np.int64)
+        forward[:, 0] = 0
+        for p in range(1, width + 1):
+            ways = np.stack([forward[:, p - m] + score[m - 1, :, p - m] for m in range(1, p + 1)])
+            back[:, p] = ways.argmax(axis=0) + 1
+            forward[:, p] = ways.max(axis=0)
+        backward = np.full((n, width + 1), -np.inf)
+        row = np.arange(n)
+        backward[row, sizes] = 0
+        for p in range(width - 1, -1, -1):
+            ways = np.stack([score[m - 1, :, p] + backward[:, p + m] for m in range(1, width - p + 1)])
+            backward[:, p] = np.maximum(backward[:, p], ways.max(axis=0))
+        best = forward[row, sizes]
+        on_best = np.zeros((width, n, width), dtype=bool)
+        at, live = sizes.copy(), np.arange(n)
+        paths = []
+        while len(live):
+            m = back[live, at[live]]
+            at[live] -= m
+            on_best[m - 1, live, at[live]] = True
+            paths.append((live, at[live].copy(), m))
+            live = live[at[live] > 0]
+        second = np.full(n, -np.inf)
+        for m in range(1, width + 1):
+            through = forward[:, : width - m + 1] + score[m - 1, :, : width - m + 1] + backward[:, m:]
+            through[on_best[m - 1, :, : width - m + 1]] = -np.inf
+            second = np.maximum(second, through.max(axis=1))
+        gap = best - second
+        ids: list[list[int]] = [[] for _ in chunks]
+        for rows, begins, lengths in reversed(paths):
+            for c, b, m in zip(rows.tolist(), begins.tolist(), lengths.tolist(), strict=True):
+                k = int(own[m - 1, c, b])
+                if k >= 0:
+                    ids[c].append(k)
+                else:
+                    ids[c] += [self.byte[x] for x in chunks[c][b].encode()]
+        for c in range(n):
+            if gap[c] <= 0:  # a tie, which the search orders
+                self._searched(keys[c], chunks[c])
+            else:
+                self._store(keys[c], float(best[c]), ids[c], float(gap[c]))
+
+    def _others(self, k: int, at: int, chunk: bytes) -> list[tuple[float, tuple[int, int, tuple[int, ...]]]]:
+        """Gaps and replacements of a chunk's other segmentations, the chunk's ids being at ``at``."""
+        if k not in self.others:
+            found = self.n_best_of(chunk.decode().replace(" ", SPACE))
+            self.others[k] = [(found[0][0] - s, i) for s, i in found[1:]]
+        return [(g, (at, int(self.length[k]), ids)) for g, ids in self.others[k]]
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]]:
         """Of each text: best ids, scores of the n best, and what each other replaces in the best.
 
@@ -146,9 +259,8 @@ class Pieces:
                 self._reset()
             first = np.zeros(len(keys), dtype=np.int64)
             first[index[::-1]] = np.arange(len(index))[::-1]
-            for key, where in zip(keys, first.tolist(), strict=True):
-                if key not in self.number:
-                    self._learn(key, block[begin[where] : end[where]].tobytes().decode().replace(" ", SPACE))
+            new = [(key, where) for key, where in zip(keys, first.tolist(), strict=True) if key not in self.number]
+            self._learn([k for k, _ in new], [block[begin[w] : end[w]].tobytes().decode().replace(" ", SPACE) for _, w in new])
             number = np.fromiter((self.number[k] for k in keys), dtype=np.int64, count=len(keys))[index]
             lengths = self.length[number]
             before = np.concatenate([[0], np.cumsum(lengths)])
@@ -158,9 +270,9 @@ class Pieces:
                 a, b = chunk[d], chunk[d + 1]
                 scores, swaps = [float(self.best[number[a:b]].sum())], [[]]
                 if b > a and self.n_best > 1:
-                    few = np.argsort(self.gap[number[a:b]], kind="stable")[: self.n_best - 1]
-                    few = few[np.isfinite(self.gap[number[a:b]][few])]
-                    options = [[(0.0, None), *((g, (int(before[a + c] - before[a]), int(lengths[a + c]), ids2)) for g, ids2 in self.others[number[a + c]])] for c in few.tolist()]
+                    gap = self.gap[number[a:b]]
+                    few = np.argsort(gap, kind="stable")[: self.n_best - 1]
+                    options = [[(0.0, None), *self._others(int(number[a + c]), int(before[a + c] - before[a]), block[begin[a + c] : end[a + c]].tobytes())] for c in few[np.isfinite(gap[few])].tolist()]
                     ranked = sorted(((sum(g for g, _ in way), k, way) for k, way in enumerate(itertools.product(*options))), key=lambda x: x[:2])
                     for gap, _, way in ranked[1 : self.n_best]:
                         scores.append(scores[0] - gap)
@@ -185,21 +297,32 @@ ENCODED = "doc_id long, ids array<int>, scores array<double>, others array<array
 _swap = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
 
-def encode(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
-    """``doc_id, ids, scores, others``: the best ids, scores of the n best, and the others' changes."""
+def encode(docs: DataFrame, model: str, n_best: int = N_BEST, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids, scores, others``: the best ids, scores of the n best, and the others' changes.
+
+    With ``decoded``, also the ``text`` that the ids decode to.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = pieces(model, n_best)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(at, ROWS)
                 rows = list(lattice.encode(piece.column(1)))
                 sizes = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([r[0] for r in rows]).astype(np.int32)))
                 others = pa.array([[[{"at": a, "drop": n, "ids": new} for a, n, new in way] for way in r[2][1:]] for r in rows], pa.list_(pa.list_(_swap)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), ids, pa.array([r[1] for r in rows], pa.list_(pa.float64())), others], names=["doc_id", "ids", "scores", "others"])
+                out = {"doc_id": piece.column(0), "ids": ids, "scores": pa.array([r[1] for r in rows], pa.list_(pa.float64())), "others": others}
+                if decoded:
+                    out["text"] = _decoded(lattice, ids)
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED + ", text string" * decoded)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
+
+def _decoded(lattice: Pieces, ids: pa.ListArray) -> pa.Array:
+    at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([lattice.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -208,20 +331,16 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = pieces(model)
         for batch in batches:
-            ids = batch.column("ids")
-            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            texts = [lattice.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
-
-    from pyspark.sql import types as T
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(lattice, part.column("ids"))], names=[*part.schema.names, "text"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """Encode every text, decode its best ids, and digest both."""
-    plain = docs.select("doc_id", "text")
-    found = decode(encode(plain, model), model)
+    found = encode(docs, model, decoded=True)
     best = F.col("scores")[0]
     return found.select(
         "doc_id",
