@@ -26,7 +26,7 @@ from tallyframe.llm import textkit
 from tallyframe.llm.scratch import new_path
 
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Bytes of text tokenised at a time.
 SLICE = 8 << 20
 
@@ -135,13 +135,15 @@ class WordTokenizer:
         keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.number) + len(keys) > CACHE_WORDS:
             self._reset()
-        if any(k not in self.number for k in keys):
+        known = self.number.get
+        number = np.array([known(k, -1) for k in keys], dtype=np.int64)
+        if len(new := np.flatnonzero(number < 0)):
             first = np.zeros(len(keys), dtype=np.int64)
             first[index[::-1]] = np.arange(len(index))[::-1]
-            for key, at in zip(keys, first.tolist(), strict=True):
-                if key not in self.number:
-                    self._learn(key, data[begin[at] : end[at]].tobytes())
-        number = np.fromiter((self.number[k] for k in keys), dtype=np.int64, count=len(keys))[index]
+            number[new] = np.arange(len(self.number), len(self.number) + len(new))
+            for k, at in zip(new.tolist(), first[new].tolist(), strict=True):
+                self._learn(keys[k], data[begin[at] : end[at]].tobytes())
+        number = number[index]
         lengths = self.length[number]
         before = np.cumsum(lengths) - lengths
         ids = self.flat[np.repeat(self.start[number] - before, lengths) + np.arange(lengths.sum())]
@@ -153,7 +155,7 @@ class WordTokenizer:
         found, counts = [], []
         odd = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|" begins every special token
         special = set((np.searchsorted(offsets, odd, side="right") - 1).tolist())
-        for i, j in textkit.blocks(offsets, 2 * textkit.BLOCK):
+        for i, j in textkit.blocks(offsets):
             block, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             ids, n = self._block(block, at)
             if special:
