@@ -216,7 +216,7 @@ def test_mixing(docs, empty, rows):
     plan = mixing.sampling_plan(docs).toPandas()
     assert len(plan) == len(rows)
     con = duckdb.connect()
-    documents = docs.select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841
+    documents = docs.select("doc_id", "text", "lang", "source").toArrow()  # noqa: F841
     want = con.execute(mixing.plan_sql()).df()
     names = sorted(plan.columns)
     order = lambda t: t[names].astype(str).sort_values(names).reset_index(drop=True)
