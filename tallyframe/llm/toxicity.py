@@ -1,12 +1,15 @@
 """Toxic passages by maximum-scoring segments.
 
 Token scores are log-odds of document frequencies in toxic and other labelled texts under an
-informative Dirichlet prior taken from both together. Tokens are words and the beginnings of longer
-words, which stand for inflected forms; a word scores as its best token, and words without a
-significant one share one negative score. A linear-time scan finds every maximal segment of positive sum. The
-Karlin-Altschul scale of the scores under the other texts turns a segment's sum and its text's
-length into evidence beyond chance; the evidence of a text's significant segments is summed and
-calibrated to a probability.
+informative Dirichlet prior taken from both together. Each counted token's log-odds, positive or
+negative, are shrunk by the probability that it is not neutral: a mixture over all tokens of a toxic
+share equal to that of all texts and of any share, whose weight is learnt. Scores stand to two places,
+and tokens without one are neutral. Tokens are words and the beginnings of longer words, which stand
+for inflected forms; a word scores as its best token, and neutral ones share one negative score. A
+linear-time scan finds every maximal segment of positive sum. The Karlin-Altschul scale of the scores
+under the other texts turns a segment's sum and its text's length into evidence beyond chance; the
+evidence of a text's significant segments is summed and calibrated to a probability. Scale and
+calibration score each labelled text by the counts of the others.
 
 Defined results: null and empty texts have no token and no evidence; without labelled rows of both
 classes there is no lexicon and every score is the share of toxic labels (0 without any);
@@ -17,22 +20,17 @@ a null id keeps its row; other columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import textkit
 from tallyframe.llm.quality import label_rows
 from tallyframe.llm.scratch import materialise
 
-#: Least z-score and documents of a lexicon token; lexicon size. The prior weighs as much as the
-#: toxic texts.
-LEAST_Z = 4.0
-LEAST_DOCS = 3
-MAX_LEXICON = 200_000
 #: Labelled rows on which evidence is calibrated.
 CALIBRATION = 6000
 #: Labels up to this many are sent to the scan of the texts; more are joined by shuffle.
@@ -107,6 +105,14 @@ class Model:
         found = ((place[a][0], place[b - 1][1], self.scale * s - np.log(max(length, 1))) for a, b, s in maximal_segments(line))
         return [x for x in found if x[2] > 0]
 
+    def worth(self, h: np.ndarray) -> np.ndarray:
+        """Scores of words from the hashes of their tokens: that of the best one."""
+        best = np.full(h.shape[1], -np.inf)
+        for row in h:
+            at = np.minimum(np.searchsorted(self.keys, row), len(self.keys) - 1)
+            best = np.maximum(best, np.where(self.keys[at] == row, self.scores[at], 0.0))
+        return np.where(best == 0, self.other, best)
+
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
         """Texts with significant passages: number, passages, byte starts and ends of tokens."""
         data, offsets = textkit.buffers(texts)
@@ -116,11 +122,8 @@ class Model:
             h, doc, starts, ends = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if not h.size:
                 continue
-            worth = np.zeros(h.shape[1])
-            for row in h:
-                at = np.minimum(np.searchsorted(self.keys, row), len(self.keys) - 1)
-                worth = np.maximum(worth, np.where(self.keys[at] == row, self.scores[at], 0))
-            hit = np.flatnonzero(worth)
+            worth = self.worth(h)
+            hit = np.flatnonzero(worth != self.other)
             first = np.searchsorted(doc, np.arange(j - i + 1))
             cut = np.searchsorted(doc[hit], np.arange(j - i + 1))
             for d in np.flatnonzero(np.diff(cut)):
@@ -171,27 +174,89 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not sums["toxic"] or not sums["other"]:
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, 0.0, 0.0, plain)
     n1, n0 = float(sums["toxic"]), float(sums["other"])
-    weight = n1
-    prior = F.lit(weight / (n1 + n0)) * (F.col("toxic") + F.col("other"))
-    a, b = F.col("toxic") + prior, F.col("other") + prior
-    odds = F.log(a / (n1 + weight - a)) - F.log(b / (n0 + weight - b))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    lexicon = counts.where((F.col("toxic") >= LEAST_DOCS) & (z >= LEAST_Z) & (odds > 0)).select("token", "toxic", "other", odds.alias("odds"), z.alias("z")).orderBy(F.desc("z"), "token").limit(MAX_LEXICON).toArrow()
+    toxic, seen = F.col("toxic").cast("double"), F.col("other").cast("double")
+    part = _part(counts.groupBy(F.round(_favour(toxic, seen, n1, n0), 1).alias("x")).count().toArrow())
+    own = {"score": (toxic, seen), "apart1": (toxic - 1, seen), "apart0": (toxic, seen - 1)}
+    scored = counts.select("token", "toxic", "other", *(shrunken(t, o, n1, n0, part).alias(x) for x, (t, o) in own.items()), _certain(toxic, seen, n1, n0, part).alias("certain"))
+    lexicon = scored.where(" or ".join(f"{x} != 0" for x in own)).toArrow()
     keys = lexicon.column("token").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, scores = keys[order], lexicon.column("odds").to_numpy()[order]
-    q1, q0 = lexicon.column("toxic").to_numpy().sum() / n1, lexicon.column("other").to_numpy()[order] / n0
-    other = float(np.log((1 - min(q1, 0.99)) / (1 - min(q0.sum(), 0.98)))) if len(keys) else 0.0
-    model = Model(keys, scores, min(other, -1e-3), _scale(scores, q0 + 1e-9, min(other, -1e-3)))
+    keys = keys[order]
+    scores = {x: lexicon.column(x).to_numpy()[order] for x in own}
+    bad = np.where(scores["score"] > 0, lexicon.column("certain").to_numpy()[order], 0.0)
+    q1, q0 = (float((lexicon.column(x).to_numpy()[order] * bad).sum()) / n for x, n in (("toxic", n1), ("other", n0)))
+    rest = min(float(np.log((1 - min(q1, 0.99)) / (1 - min(q0, 0.98)))), -1e-3)
+    model = Model(keys, scores["score"], rest, 1.0)
+    apart = {1: scores["apart1"], 0: scores["apart0"]}
     rate = {y: min(1.0, CALIBRATION / 2 / n) for y, n in sizes.items()}
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.create_map(*(F.lit(x) for y, r in rate.items() for x in (y, r)))[F.col("label")] * (1 << 30))
-    sample = evidence(rows.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("long").alias("doc_id"), "text"), model).groupBy(F.col("doc_id").alias("label"), F.round(F.least("evidence", F.lit(20.0)), 1).alias("x")).count().collect()
+    texts = materialise(rows.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("long").alias("label"), "text"), "calibration")
+    drawn = score_counts(texts.where("label = 0"), replace(model, scores=apart[0])).collect()
+    if drawn:
+        q = np.array([r["n"] for r in drawn], dtype=float)
+        model.scale = _scale(np.array([r["score"] for r in drawn]), q / q.sum(), rest)
+    sample = []
+    for y, scores in apart.items():
+        found = evidence(texts.where(F.col("label") == y).select(F.col("label").alias("doc_id"), "text"), replace(model, scores=scores))
+        sample += found.groupBy(F.col("doc_id").alias("label"), F.round(F.least("evidence", F.lit(20.0)), 1).alias("x")).count().collect()
     x, y = np.array([r["x"] for r in sample], dtype=float), np.array([r["label"] for r in sample], dtype=float)
     weight = np.array([r["count"] / rate[r["label"]] for r in sample])
     model.slope, model.intercept = _logistic(x, y, weight) if len(set(y)) == 2 else (1.0, plain)
     return model
 
 
+def _log_factorial(x: Column) -> Column:
+    y = F.greatest(x, F.lit(1.0))
+    return F.when(x < 1.5, 0.0).otherwise(y * F.log(y) - y + F.log(y * (2 * np.pi)) / 2 + 1 / (12 * y) - 1 / (360 * y * y * y))
+
+
+def _favour(toxic: Column, other: Column, n1: float, n0: float) -> Column:
+    """Log likelihood ratio of counts under any toxic share and under that of all texts."""
+    share = n1 / (n1 + n0)
+    any_share = _log_factorial(toxic) + _log_factorial(other) - _log_factorial(toxic + other + 1)
+    return any_share - toxic * float(np.log(share)) - other * float(np.log(1 - share))
+
+
+def _part(table: pa.Table) -> float:
+    """The part of tokens that are not neutral, by expectation-maximisation over ``x, count``."""
+    x, n = np.clip(table.column("x").to_numpy(), -50, 50), table.column("count").to_numpy()
+    part = 0.01
+    for _ in range(200):
+        p = 1 / (1 + (1 - part) / part * np.exp(-x))
+        part = float(np.clip((n * p).sum() / n.sum(), 1e-6, 0.5))
+    return part
+
+
+def _certain(toxic: Column, other: Column, n1: float, n0: float, part: float) -> Column:
+    """The probability that a token is not neutral."""
+    favour = F.greatest(F.least(_favour(toxic, other, n1, n0), F.lit(50.0)), F.lit(-50.0))
+    return 1 / (1 + F.exp(-favour) * ((1 - part) / part))
+
+
+def shrunken(toxic: Column, other: Column, n1: float, n0: float, part: float) -> Column:
+    """Log-odds under the Dirichlet prior times the probability that a token is not neutral."""
+    prior = F.lit(n1 / (n1 + n0)) * (toxic + other)
+    a, b = toxic + prior, other + prior
+    odds = F.log(a / (2 * n1 - a)) - F.log(b / (n0 + n1 - b))
+    return F.when((toxic < 0) | (other < 0) | (toxic + other < 1), 0.0).otherwise(F.coalesce(F.round(odds * _certain(toxic, other, n1, n0, part), 2), F.lit(0.0)))
+
+
+def score_counts(docs: DataFrame, model: Model) -> DataFrame:
+    """``score, n``: words of the texts by score, rounded."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textkit.buffers(batch.column(0))
+            for i, j in textkit.blocks(offsets):
+                h = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]
+                if h.size:
+                    found = np.unique(np.round(shared.value.worth(h), 2), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["score", "n"])
+
+    return docs.select("text").mapInArrow(run, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+
+
 def _scale(scores: np.ndarray, q: np.ndarray, other: float) -> float:
     """The positive root of ``E[exp(scale * score)] = 1`` under the other texts, by bisection."""
     if not len(scores):

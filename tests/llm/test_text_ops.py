@@ -212,6 +212,21 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxic_words_of_a_small_training_set_count(spark):
+    rng = random.Random(9)
+    bad, texts = ["vexom", "brigul", "snorpa", "dwelkin", "quoft"], []
+    for k in range(120):
+        words = sentence(rng, "en", 60).split()
+        if k < 12:  # each word is in 4 or 5 of 10 training texts
+            words[20:22] = [bad[k % 5], bad[(k + 2) % 5]]
+        texts.append((k, " ".join(words), int(k < 12)))
+    docs = spark.createDataFrame([(a, b) for a, b, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in texts if a >= 2 and a < 100], "doc_id long, toxic int")
+    model = toxicity.fit(docs, quality.label_rows(labels, "toxic"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all(got[a] >= 0.5 for a in (0, 1)) and sum(got[a] >= 0.5 for a in range(100, 120)) <= 1
+
+
 def test_mixing(docs, empty, rows):
     plan = mixing.sampling_plan(docs).toPandas()
     assert len(plan) == len(rows)
