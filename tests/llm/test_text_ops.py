@@ -143,6 +143,17 @@ def test_language_models(docs, rows, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_models_beyond_the_arrays_lose_no_n_gram(monkeypatch, docs):
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = order(langid.predict_languages(docs))
+    monkeypatch.setattr(langid, "MAX_CELLS", 300)
+    got = order(langid.predict_languages(docs))
+    assert len(got) == len(want) and any(x[5] for x in want)
+    for x, y in zip(got, want, strict=True):
+        assert x[:3] == y[:3] and x[5] == y[5] and np.isclose(x[3], y[3], atol=1e-3)
+        assert x[4] == y[4] or np.isclose(x[4], y[4], atol=1e-4)
+
+
 def test_probabilities_of_a_context_sum_to_one(docs):
     model = langid.train(docs, F.lit(False))
     symbols = np.unique(langid.grams([r["text"] for r in docs.where("text is not null").collect()])[0] & np.uint64(0xFFFF))
