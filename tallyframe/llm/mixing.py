@@ -45,22 +45,37 @@ def surface_topic(text: Column, tokens: Column) -> Column:
     )
 
 
-def raked_cells(described: DataFrame, temper: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``tokens``, raked ``weight`` (a share) and sampling ``rate`` (may exceed 1)."""
+def raked_cells(described: DataFrame, temper: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, bounded: bool = False) -> DataFrame:
+    """Cells with ``tokens``, raked ``weight`` (a share) and sampling ``rate`` (may exceed 1).
+
+    ``bounded`` lowers the budget to what the scarcest value of each name can fill, holds each
+    cell's weight to its own tokens before every round, and divides all rates by the largest
+    that is left above 1, so that rates are probabilities and the weights keep their sums.
+    """
     temper = temper or TEMPER
     cells = materialise(described.groupBy(*temper).agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     raked = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1))))
     for name, power in temper.items():
         share = F.pow(F.sum("tokens").over(Window.partitionBy(name)) / F.lit(float(max(total, 1))), F.lit(power))
-        norm = cells.groupBy(name).agg(F.sum("tokens").alias("t")).agg(F.sum(F.pow(F.col("t") / F.lit(float(max(total, 1))), F.lit(power)))).first()[0] or 1.0
+        part = F.col("t") / F.lit(float(max(total, 1)))
+        norm, least = cells.groupBy(name).agg(F.sum("tokens").alias("t")).agg(F.sum(F.pow(part, F.lit(power))), F.min(F.when(part > 0, part / F.pow(part, F.lit(power))))).first()
+        norm = norm or 1.0
+        if bounded and least:
+            budget = min(budget, least * norm)
         raked = raked.withColumn(f"__{name}", share / F.lit(float(norm) or 1.0))
     for _ in range(rounds):
+        if bounded:
+            raked = raked.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(float(max(budget * total, 1e-9)))))
         for name in temper:
             held = F.sum("weight").over(Window.partitionBy(name))
             raked = raked.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"__{name}") / held).otherwise(F.lit(0.0)))
     rate = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(budget * total) / F.col("tokens")).otherwise(F.lit(1.0))
-    return materialise(raked.select(*temper, "tokens", "weight", rate.alias("rate")), "raked")
+    done = materialise(raked.select(*temper, "tokens", "weight", rate.alias("rate")), "raked")
+    if not bounded:
+        return done
+    top = done.where("tokens > 0").agg(F.max("rate")).first()[0] or 1.0
+    return done.withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.col("rate") / F.lit(max(top, 1.0)), F.lit(1.0))).otherwise(F.lit(1.0)))
 
 
 def _cell(docs: DataFrame, names: dict[str, str]) -> dict[str, Column]:
@@ -96,11 +111,15 @@ def sampling_plan(docs: DataFrame) -> DataFrame:
     )
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """The drawn rows of ``docs``, with its own columns."""
+def sample(docs: DataFrame, calibrated: bool = False) -> DataFrame:
+    """The drawn rows of ``docs``, with its own columns.
+
+    As rows carry no weight, ``calibrated`` draws by ``bounded`` rates, so that the expected tokens of
+    each source, language and topic have their target shares, of a smaller budget where need be.
+    """
     inner = {x: f"__{x}" for x in _OWN}
     described = materialise(docs.select(*(c.alias(x) for x, c in _cell(docs, _OWN).items())).groupBy(*TEMPER).agg(F.sum("n_tokens").alias("n_tokens")), "sums")
-    cells = raked_cells(described).select(*(F.col(x).alias(inner[x]) for x in TEMPER), F.col("rate").alias("__rate"))
+    cells = raked_cells(described, bounded=calibrated).select(*(F.col(x).alias(inner[x]) for x in TEMPER), F.col("rate").alias("__rate"))
     marked = docs.withColumns(_cell(docs, inner))
     return marked.join(cells, [inner[x] for x in TEMPER]).where(draw(F.col("doc_id")) < F.least("__rate", F.lit(1.0))).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -255,6 +255,22 @@ def test_mixing(docs, empty, rows):
     assert mixing.sampling_plan(empty).count() == 0 and mixing.sample(empty).count() == 0
 
 
+def test_calibrated_sample_meets_its_targets_on_a_skewed_table(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(20000):
+        source = "hot" if k % 3 == 0 else f"s{rng.randrange(4)}"
+        rows.append((k, "w " * rng.randrange(5, 60), rng.choices(["en", "de", "es"], [12, 3, 1])[0], source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tokens = F.regexp_count("text", F.lit(mixing.WORD))
+    kept = mixing.sample(docs, calibrated=True)
+    for name in ("lang", "source"):
+        whole, drawn = ({r[name]: r["n"] for r in t.groupBy(name).agg(F.sum(tokens).alias("n")).collect()} for t in (docs, kept))
+        target = {x: (n / sum(whole.values())) ** mixing.TEMPER[name] for x, n in whole.items()}
+        for x, t in target.items():
+            assert abs(drawn[x] / sum(drawn.values()) / (t / sum(target.values())) - 1) < 0.05
+
+
 def test_raked_weights_meet_their_targets(spark):
     rng = random.Random(8)
     cells = [(f"s{rng.randrange(5)}", f"l{rng.randrange(3)}", f"t{rng.randrange(4)}", rng.randrange(1, 1000)) for _ in range(300)]
