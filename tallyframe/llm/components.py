@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.scratch import materialise
+from tallyframe.llm.scratch import remove, stored
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -13,11 +13,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     Each round joins every node's edges with its smallest neighbour, first from the smaller end
     (large star), then from the larger end (small star), until every edge points at its root.
-    Rounds grow with the logarithm of a component's size. Edges with a null end and loops are
-    dropped; an empty table gives an empty one.
+    Rounds grow with the logarithm of a component's size; the table of a round replaces that of
+    the one before. Edges with a null end and loops are dropped; an empty table gives an empty one.
     """
     low, high = F.least(u, v), F.greatest(u, v)
-    stars = materialise(edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v))).select(high.alias("a"), low.alias("b")).distinct(), "edges")
+    stars, path = stored(edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v))).select(high.alias("a"), low.alias("b")).distinct(), "edges")
     seen = None
     while True:
         state = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -30,6 +30,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        stars = materialise(small, "stars")
+        old = path
+        stars, path = stored(small, "stars")
+        remove(edges.sparkSession, old)
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return roots.unionByName(stars.select(F.col("a").alias("node"), F.col("b").alias("root")))

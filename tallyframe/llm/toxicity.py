@@ -6,10 +6,18 @@ negative, are shrunk by the probability that it is not neutral: a mixture over a
 share equal to that of all texts and of any share, whose weight is learnt. Scores stand to two places,
 and tokens without one are neutral. Tokens are words and the beginnings of longer words, which stand
 for inflected forms; a word scores as its best token, and neutral ones share one negative score. A
-linear-time scan finds every maximal segment of positive sum. The Karlin-Altschul scale of the scores
-under the other texts turns a segment's sum and its text's length into evidence beyond chance; the
-evidence of a text's significant segments is summed and calibrated to a probability. Scale and
-calibration score each labelled text by the counts of the others.
+linear-time scan finds every maximal segment of positive sum.
+
+A segment of sum S in a text of n words has the normalised score ``scale * S - ln(K * n)``: the scale is
+Karlin and Altschul's root under the other texts, K the constant of the extreme value distribution
+that their best sums have at its upper tail. Segments above LEVEL are significant. How many segments
+reach a score by chance is Poisson, so the r-th best one bounds the p-value of r segments; a text's
+evidence is the best such bound, as a logarithm, and is calibrated to a probability by a logistic model.
+Scale, K and calibration score each labelled text by the counts of the others.
+
+The lexicon is a table. Up to BROADCAST_TOKENS of it go to every task; beyond, and for the calibration,
+texts are dealt into chunks of bounded size, a chunk's distinct tokens are joined with the lexicon by
+shuffle, and each chunk is scanned with the scores that came back.
 
 Defined results: null and empty texts have no token and no evidence; without labelled rows of both
 classes there is no lexicon and every score is the share of toxic labels (0 without any);
@@ -19,11 +27,13 @@ a null id keeps its row; other columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +43,15 @@ from tallyframe.llm.scratch import materialise
 
 #: Labelled rows on which evidence is calibrated.
 CALIBRATION = 6000
+#: Part of the other texts at whose best sums the extreme value distribution is fitted, and the
+#: normalised score from which a segment is significant: 1 in 20 texts has one by chance.
+TAIL, LEVEL = 0.01, 3.0
 #: Labels up to this many are sent to the scan of the texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Tokens of the lexicon up to this many are sent to every task, 16 bytes each.
+BROADCAST_TOKENS = 4_000_000
+#: Bytes of text in a chunk, unless one text is longer.
+CHUNK_BYTES = 16 << 20
 
 #: Lengths in bytes of the beginnings of words that are tokens beside the words.
 STEMS = (5, 6, 7, 8)
@@ -56,42 +73,61 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal segments of positive sum, as ``start, end, sum``, in one pass.
+    """All maximal segments of positive sum, as ``start, end, sum``, in linear time.
 
-    Each open segment keeps the running total before it and at its end. A new positive score
-    opens a segment; it swallows the nearest open segment that began lower, as long as its own
-    total is the higher one.
+    Each open segment keeps the running total before it and at its end, and a link to the nearest
+    earlier one that began lower. A new positive score opens a segment; it swallows the nearest
+    open segment that began lower, as long as its own total is the higher one. Links jump over
+    all that a lower beginning rules out, so each is followed once.
     """
-    total, kept = 0.0, []
+    total = 0.0
+    kept: list[tuple[int, float, float, int, int]] = []
     for at, score in enumerate(scores):
         before, total = total, total + score
         if score <= 0:
             continue
         begin, low, high = at, before, total
-        while True:
-            k = len(kept) - 1
-            while k >= 0 and kept[k][1] >= low:
-                k -= 1
-            if k < 0 or kept[k][2] >= high:
-                kept.append((begin, low, high, at + 1))
-                break
-            begin, low = kept[k][0], kept[k][1]
+        k = len(kept) - 1
+        while k >= 0 and kept[k][1] >= low:
+            k = kept[k][4]
+        while k >= 0 and kept[k][2] < high:
+            begin, low, link = kept[k][0], kept[k][1], kept[k][4]
             del kept[k:]
-    return [(begin, end, high - low) for begin, low, high, end in kept]
+            k = link
+        kept.append((begin, low, high, at + 1, k))
+    return [(begin, end, high - low) for begin, low, high, end, _ in kept]
+
+
+def order_evidence(normalised: list[float]) -> float:
+    """Evidence of significant segments: minus the logarithm of the least p-value of their r best.
+
+    By chance, segments of at least a normalised score s are Poisson with mean exp(-s), so r of them
+    have a p-value of at most exp(-r s) / r!; every further one doubles it, for the choice of r.
+    """
+    best = 0.0
+    for r, s in enumerate(sorted(normalised, reverse=True), 1):
+        best = max(best, r * s + lgamma(r + 1) - (r - 1) * log(2))
+    return best
 
 
 @dataclass
-class Model:
+class Scanner:
+    """Scores of tokens, by sorted hash, and of all others; scale and K of sums by chance."""
+
     keys: np.ndarray
     scores: np.ndarray
-    #: Score of any other token, scale of scores by chance, slope and intercept of the calibration.
     other: float
-    scale: float
-    slope: float = 1.0
-    intercept: float = 0.0
+    scale: float = 1.0
+    log_k: float = 0.0
 
-    def passages(self, hits: np.ndarray, scores: np.ndarray, length: int) -> list[tuple[int, int, float]]:
-        """Significant segments of a text: first token, end token, evidence."""
+    @classmethod
+    def of(cls, table: pa.Table, model: Model) -> Scanner:
+        keys = table.column(0).combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
+        order = np.argsort(keys)
+        return cls(keys[order], table.column(1).combine_chunks().to_numpy(zero_copy_only=False)[order], model.other, model.scale, model.log_k)
+
+    def segments(self, hits: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
+        """Maximal segments of a text: first word, end word, sum."""
         line: list[float] = []
         place: list[tuple[int, int]] = []
         before = 0
@@ -102,8 +138,7 @@ class Model:
             line.append(score)
             place.append((at, at + 1))
             before = at + 1
-        found = ((place[a][0], place[b - 1][1], self.scale * s - np.log(max(length, 1))) for a, b, s in maximal_segments(line))
-        return [x for x in found if x[2] > 0]
+        return [(place[a][0], place[b - 1][1], s) for a, b, s in maximal_segments(line)]
 
     def worth(self, h: np.ndarray) -> np.ndarray:
         """Scores of words from the hashes of their tokens: that of the best one."""
@@ -113,8 +148,8 @@ class Model:
             best = np.maximum(best, np.where(self.keys[at] == row, self.scores[at], 0.0))
         return np.where(best == 0, self.other, best)
 
-    def scan(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
-        """Texts with significant passages: number, passages, byte starts and ends of tokens."""
+    def scan(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
+        """Texts with words: number, scores of words, segments, byte starts and ends of words."""
         data, offsets = textkit.buffers(texts)
         if not len(self.keys):
             return
@@ -126,12 +161,47 @@ class Model:
             hit = np.flatnonzero(worth != self.other)
             first = np.searchsorted(doc, np.arange(j - i + 1))
             cut = np.searchsorted(doc[hit], np.arange(j - i + 1))
-            for d in np.flatnonzero(np.diff(cut)):
-                own = hit[cut[d] : cut[d + 1]]
+            for d in np.flatnonzero(np.diff(first)):
                 a, b = first[d], first[d + 1]
-                if found := self.passages(own - a, worth[own], int(b - a)):
-                    base = offsets[i + d] - offsets[i]
-                    yield i + int(d), found, starts[a:b] - base, ends[a:b] - base
+                own = hit[cut[d] : cut[d + 1]]
+                base = offsets[i + d] - offsets[i]
+                yield i + int(d), worth[a:b], self.segments(own - a, worth[own]), starts[a:b] - base, ends[a:b] - base
+
+    def evidence(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        total, lists = np.zeros(len(texts)), [[] for _ in range(len(texts))]
+        for d, words, found, starts, ends in self.scan(texts):
+            level = self.log_k + log(len(words))
+            if not (found := [(a, b, self.scale * s - level) for a, b, s in found if self.scale * s > level]):
+                continue
+            raw = np.frombuffer(texts[d].as_py().encode(), dtype=np.uint8)
+            lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            total[d] = order_evidence([e for _, _, e in found])
+            found = [x for x in found if x[2] > LEVEL]
+            lists[d] = [{"start": int(lead[starts[a]]), "end": int(lead[ends[b - 1]]), "evidence": float(e)} for a, b, e in found]
+        return pa.RecordBatch.from_arrays([ids, pa.array(total), pa.array(lists, _PASSAGES)], names=["doc_id", "evidence", "passages"])
+
+    def chances(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        """Words by score, and of each text its words and the sum of its best segment."""
+        rows: list[tuple] = []
+        for _, words, found, _, _ in self.scan(texts):
+            rows += [(float(s), int(n), None, None) for s, n in zip(*np.unique(np.round(words, 2), return_counts=True), strict=True)]
+            rows.append((None, None, max((s for _, _, s in found), default=0.0), len(words)))
+        kinds = (pa.float64(), pa.int64(), pa.float64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["score", "n", "top", "words"])
+
+
+@dataclass
+class Model:
+    """``lexicon``: table of ``token, score``, and the scores without a text of either class."""
+
+    lexicon: DataFrame | None
+    size: int
+    #: Score of any other token; scale and log K of sums by chance; slope and intercept of the calibration.
+    other: float = 0.0
+    scale: float = 1.0
+    log_k: float = 0.0
+    slope: float = 1.0
+    intercept: float = 0.0
 
 
 def count_tokens(labelled: DataFrame) -> DataFrame:
@@ -167,41 +237,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = sizes.get(1, 0) / total if total else 0.0
     plain = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if len(sizes) < 2:
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, 0.0, 0.0, plain)
+        return Model(None, 0, slope=0.0, intercept=plain)
     labelled = rows.join(F.broadcast(labels) if total <= BROADCAST_ROWS else labels, "doc_id")
     counts = materialise(count_tokens(labelled), "tokens")
     sums = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).first()
     if not sums["toxic"] or not sums["other"]:
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, 0.0, 0.0, plain)
+        return Model(None, 0, slope=0.0, intercept=plain)
     n1, n0 = float(sums["toxic"]), float(sums["other"])
     toxic, seen = F.col("toxic").cast("double"), F.col("other").cast("double")
     part = _part(counts.groupBy(F.round(_favour(toxic, seen, n1, n0), 1).alias("x")).count().toArrow())
     own = {"score": (toxic, seen), "apart1": (toxic - 1, seen), "apart0": (toxic, seen - 1)}
     scored = counts.select("token", "toxic", "other", *(shrunken(t, o, n1, n0, part).alias(x) for x, (t, o) in own.items()), _certain(toxic, seen, n1, n0, part).alias("certain"))
-    lexicon = scored.where(" or ".join(f"{x} != 0" for x in own)).toArrow()
-    keys = lexicon.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    scores = {x: lexicon.column(x).to_numpy()[order] for x in own}
-    bad = np.where(scores["score"] > 0, lexicon.column("certain").to_numpy()[order], 0.0)
-    q1, q0 = (float((lexicon.column(x).to_numpy()[order] * bad).sum()) / n for x, n in (("toxic", n1), ("other", n0)))
-    rest = min(float(np.log((1 - min(q1, 0.99)) / (1 - min(q0, 0.98)))), -1e-3)
-    model = Model(keys, scores["score"], rest, 1.0)
-    apart = {1: scores["apart1"], 0: scores["apart0"]}
+    lexicon = materialise(scored.where(" or ".join(f"{x} != 0" for x in own)), "lexicon")
+    bad = F.when(F.col("score") > 0, F.col("certain")).otherwise(0.0)
+    found = lexicon.agg(F.count_if(F.col("score") != 0).alias("size"), F.coalesce(F.sum(toxic * bad), F.lit(0.0)).alias("q1"), F.coalesce(F.sum(seen * bad), F.lit(0.0)).alias("q0")).first()
+    rest = min(log((1 - min(found["q1"] / n1, 0.99)) / (1 - min(found["q0"] / n0, 0.98))), -1e-3)
+    model = Model(lexicon, found["size"], rest)
     rate = {y: min(1.0, CALIBRATION / 2 / n) for y, n in sizes.items()}
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.create_map(*(F.lit(x) for y, r in rate.items() for x in (y, r)))[F.col("label")] * (1 << 30))
-    texts = materialise(rows.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("long").alias("label"), "text"), "calibration")
-    drawn = score_counts(texts.where("label = 0"), replace(model, scores=apart[0])).collect()
-    if drawn:
-        q = np.array([r["n"] for r in drawn], dtype=float)
-        model.scale = _scale(np.array([r["score"] for r in drawn]), q / q.sum(), rest)
+    texts = materialise(rows.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("long").alias("doc_id"), "text"), "calibration")
+    drawn = _by_chunks(texts.where("doc_id = 0"), model, "apart0", Scanner.chances, "score double, n long, top double, words long").toArrow().to_pandas()
+    words = drawn.dropna(subset="score").groupby("score")["n"].sum()
+    best = drawn.dropna(subset="top")
+    if len(best):
+        model.scale = _scale(words.index.to_numpy(), words.to_numpy() / words.sum(), rest)
+        high = np.quantile(model.scale * best["top"] - np.log(best["words"]), 1 - TAIL, method="higher")
+        model.log_k = float(high + np.log(-np.log(1 - TAIL)))
     sample = []
-    for y, scores in apart.items():
-        found = evidence(texts.where(F.col("label") == y).select(F.col("label").alias("doc_id"), "text"), replace(model, scores=scores))
-        sample += found.groupBy(F.col("doc_id").alias("label"), F.round(F.least("evidence", F.lit(20.0)), 1).alias("x")).count().collect()
-    x, y = np.array([r["x"] for r in sample], dtype=float), np.array([r["label"] for r in sample], dtype=float)
-    weight = np.array([r["count"] / rate[r["label"]] for r in sample])
-    model.slope, model.intercept = _logistic(x, y, weight) if len(set(y)) == 2 else (1.0, plain)
+    for y in (0, 1):
+        found = _by_chunks(texts.where(F.col("doc_id") == y), model, f"apart{y}", Scanner.evidence, EVIDENCE)
+        sample += [(r["x"], y, r["count"]) for r in found.groupBy(F.round(F.log1p("evidence"), 2).alias("x")).count().collect()]
+    x, y, n = (np.array(c, dtype=float) for c in zip(*sample, strict=True)) if sample else (np.zeros(0),) * 3
+    model.slope, model.intercept = _logistic(x, y, n / np.where(y == 1, rate[1], rate[0])) if len(set(y)) == 2 else (1.0, plain)
     return model
 
 
@@ -241,22 +308,6 @@ def shrunken(toxic: Column, other: Column, n1: float, n0: float, part: float) ->
     return F.when((toxic < 0) | (other < 0) | (toxic + other < 1), 0.0).otherwise(F.coalesce(F.round(odds * _certain(toxic, other, n1, n0, part), 2), F.lit(0.0)))
 
 
-def score_counts(docs: DataFrame, model: Model) -> DataFrame:
-    """``score, n``: words of the texts by score, rounded."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = textkit.buffers(batch.column(0))
-            for i, j in textkit.blocks(offsets):
-                h = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]
-                if h.size:
-                    found = np.unique(np.round(shared.value.worth(h), 2), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["score", "n"])
-
-    return docs.select("text").mapInArrow(run, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
-
-
 def _scale(scores: np.ndarray, q: np.ndarray, other: float) -> float:
     """The positive root of ``E[exp(scale * score)] = 1`` under the other texts, by bisection."""
     if not len(scores):
@@ -286,28 +337,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(float(theta[0]), 0.0), float(theta[1])
 
 
+_PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
+EVIDENCE = "doc_id long, evidence double, passages array<struct<start:long,end:long,evidence:double>>"
+
+
+def _by_chunks(rows: DataFrame, model: Model, column: str, scan: Callable, schema: str) -> DataFrame:
+    """``scan`` of the texts of ``doc_id, text``, each chunk of them with its own part of the lexicon."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        seen: list[np.ndarray] = []
+
+        def listed() -> pa.RecordBatch:
+            own = [np.unique(np.concatenate(seen)).view(np.int64)] if seen else [np.zeros(0, dtype=np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array(own, pa.list_(pa.int64()))], names=["chunk", "doc_id", "text", "tokens"])
+
+        for batch in batches:
+            data, offsets = textkit.buffers(batch.column(1))
+            for i, j in textkit.blocks(offsets):
+                more = int(offsets[j] - offsets[i])
+                if size and size + more > CHUNK_BYTES:
+                    yield listed()
+                    chunk, size, seen = chunk + 1, 0, []
+                size += more
+                seen.append(np.unique(tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]))
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, chunk)), part.column(0), part.column(1), pa.nulls(j - i, pa.list_(pa.int64()))], names=["chunk", "doc_id", "text", "tokens"])
+        yield listed()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        scanner = Scanner.of(right.select(["token", "score"]), bare)
+        out = [scan(scanner, b.column(0), b.column(1)) for b in left.select(["doc_id", "text"]).combine_chunks().to_batches()]
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([scan(scanner, pa.nulls(0, pa.int64()), pa.nulls(0, pa.string()))])
+
+    bare = replace(model, lexicon=None)
+    dealt = materialise(rows.mapInArrow(deal, "chunk long, doc_id long, text string, tokens array<long>"), "chunks")
+    own = dealt.where(F.col("tokens").isNotNull()).select("chunk", F.explode("tokens").alias("token"))
+    found = own.join(model.lexicon.where(F.col(column) != 0).select("token", F.col(column).alias("score")), "token").select(F.col("chunk").alias("of"), "token", "score")
+    return dealt.where(F.col("tokens").isNull()).select("chunk", "doc_id", "text").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, schema)
+
+
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, evidence, passages`` of each row; passages are code points ``start, end``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if model.size > BROADCAST_TOKENS:
+        return _by_chunks(rows, model, "score", Scanner.evidence, EVIDENCE)
+    table = model.lexicon.where("score != 0").select("token", "score").toArrow() if model.lexicon is not None else pa.table({"token": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner.of(table, model))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, lists = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for d, found, starts, ends in shared.value.scan(batch.column(1)):
-                raw = batch.column(1)[d].as_py().encode()
-                lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
-                total[d] = sum(e for _, _, e in found)
-                lists[d] = [{"start": int(lead[starts[a]]), "end": int(lead[ends[b - 1]]), "evidence": float(e)} for a, b, e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(lists, kind)], names=["doc_id", "evidence", "passages"])
+            yield shared.value.evidence(batch.column(0), batch.column(1))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, evidence double, passages array<struct<start:long,end:long,evidence:double>>")
+    return rows.mapInArrow(run, EVIDENCE)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, evidence, passages`` of each row."""
-    odds = F.lit(model.slope) * F.least("evidence", F.lit(20.0)) + F.lit(model.intercept)
+    odds = F.lit(model.slope) * F.log1p("evidence") + F.lit(model.intercept)
     return evidence(docs, model).select("doc_id", (1 / (1 + F.exp(-odds))).alias("score"), "evidence", "passages")
 
 
-__all__ = ["Model", "count_tokens", "evidence", "fit", "label_rows", "maximal_segments", "score"]
+__all__ = ["Model", "Scanner", "count_tokens", "evidence", "fit", "label_rows", "maximal_segments", "order_evidence", "score"]
