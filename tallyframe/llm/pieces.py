@@ -11,8 +11,10 @@ the chunks of a text that are nearest to another segmentation are searched for i
 A character without a piece is an edge of its byte pieces, scored below every piece.
 
 Defined results: null and empty texts have no piece and score 0; the sign U+2581 decodes as a
-space; segmentations of equal score are ordered by their pieces; repeated rows agree; a null id
-keeps its row; other columns are ignored; an empty table gives an empty one.
+space; of segmentations of equal score, those that change fewer chunks of the best one come first,
+then those that change earlier ones, and within a chunk the search takes the shorter last piece
+first; repeated rows agree; a null id keeps its row; other columns are ignored; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -59,6 +61,19 @@ def _substring_hashes(sums: np.ndarray, m: int) -> np.ndarray:
     return textkit.mix64((sums[:, m:] - sums[:, : width - m + 1]) * textkit._inv[: width - m + 1] + np.uint64(m))
 
 
+def _least_sums(options: list[list[tuple[float, tuple]]], n: int) -> list[tuple[float, tuple, tuple]]:
+    """The ``n`` least sums of gaps with at most one option of each list: sum, order of ties, options.
+
+    Lists are merged one after the other and only the ``n`` least sums go on, so the work grows with
+    their number and not with that of all combinations.
+    """
+    found: list[tuple[float, tuple, tuple]] = [(0.0, (0, ()), ())]
+    for at, own in enumerate(options):
+        more = ((gap + g, (count + 1, (*where, (at, k))), (*way, o)) for gap, (count, where), way in found for k, (g, o) in enumerate(own))
+        found = heapq.nsmallest(n, itertools.chain(found, more), key=lambda x: x[:2])
+    return found
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model as a lattice of pieces."""
 
@@ -132,14 +147,20 @@ class Pieces:
                 if base + self.unknown > forward[i + 1]:
                     forward[i + 1] = base + self.unknown
         out: list[tuple[float, tuple[int, ...]]] = []
-        waiting = [(-forward[n], (), n, 0.0)]
+        waiting = [(-forward[n], 0, n, 0.0, None)]  # of equal bound, the latest goes first
+        made = 0
         while waiting and len(out) < self.n_best:
-            _, ids, at, done = heapq.heappop(waiting)
+            _, _, at, done, behind = heapq.heappop(waiting)
             if at == 0:
-                out.append((done, ids))
+                ids: list[int] = []
+                while behind is not None:
+                    ids += behind[0]
+                    behind = behind[1]
+                out.append((done, tuple(ids)))
                 continue
             for i, score, own in edges[at]:
-                heapq.heappush(waiting, (-(forward[i] + score + done), own + ids, i, score + done))
+                made -= 1
+                heapq.heappush(waiting, (-(forward[i] + score + done), made, i, score + done, (own, behind)))
         return out
 
     def _store(self, key: int, score: float, ids, gap: float) -> None:
@@ -272,11 +293,11 @@ class Pieces:
                 if b > a and self.n_best > 1:
                     gap = self.gap[number[a:b]]
                     few = np.argsort(gap, kind="stable")[: self.n_best - 1]
-                    options = [[(0.0, None), *self._others(int(number[a + c]), int(before[a + c] - before[a]), block[begin[a + c] : end[a + c]].tobytes())] for c in few[np.isfinite(gap[few])].tolist()]
-                    ranked = sorted(((sum(g for g, _ in way), k, way) for k, way in enumerate(itertools.product(*options))), key=lambda x: x[:2])
-                    for gap, _, way in ranked[1 : self.n_best]:
+                    few = np.sort(few[np.isfinite(gap[few])])
+                    options = [self._others(int(number[a + c]), int(before[a + c] - before[a]), block[begin[a + c] : end[a + c]].tobytes()) for c in few.tolist()]
+                    for gap, _, way in _least_sums(options, self.n_best)[1:]:
                         scores.append(scores[0] - gap)
-                        swaps.append([s for _, s in way if s is not None])
+                        swaps.append(list(way))
                 yield ids[before[a] : before[b]], scores, swaps
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -1,5 +1,7 @@
 import hashlib
 import io
+import random
+import time
 import wave
 import zlib
 
@@ -105,6 +107,30 @@ def test_n_best_is_exact(text):
         assert _lattice.decode(out) == text
 
 
+def test_n_best_ties_change_earlier_chunks_first():
+    lattice = pieces.Pieces(PIECES, 8)
+    ids, scores, swaps = next(iter(lattice.encode(pa.array(["near near near near near"]))))
+    assert len(set(scores)) < len(scores) == 8 and len({str(w) for w in swaps}) == 8
+    for k in range(1, 8):
+        if scores[k] == scores[k - 1]:
+            assert (len(swaps[k - 1]), [s[0] for s in swaps[k - 1]]) <= (len(swaps[k]), [s[0] for s in swaps[k]])
+
+
+def test_long_runs_and_many_best_take_linear_time():
+    def seconds(f, *args):
+        began = time.process_time()
+        f(*args)
+        return time.process_time() - began
+
+    lattice = pieces.Pieces(PIECES, 3)
+    rng = random.Random(2)
+    run = "".join(rng.choice("abcdefghij") for _ in range(40_000))
+    lattice.n_best_of(run[:2000])
+    assert seconds(lattice.n_best_of, run) < 3 * seconds(lattice.n_best_of, run[:20_000]) + 0.3
+    many = pieces.Pieces(PIECES, 12)
+    assert seconds(lambda: list(many.encode(pa.array(["she was near the thing that ended here " * 3])))) < 5
+
+
 def test_pieces_round_trip(docs, rows, empty):
     got = pieces.decode(pieces.encode(docs, PIECES), PIECES).select("doc_id", "text", F.size("ids").alias("n")).collect()
     assert sorted(r["text"] for r in got) == sorted((r[1] or "").replace(pieces.SPACE, " ") for r in rows)
