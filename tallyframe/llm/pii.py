@@ -1,28 +1,35 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Regular expressions propose spans of four kinds. Five labelers vote for or against each or
-abstain: the strict pattern, a gazetteer, the words before it, a checksum or range, and its shape.
+Regular expressions propose spans of five kinds. Five labelers vote for or against each or
+abstain: the strict pattern, a gazetteer (tables of mail domains, reserved address blocks, card
+issuers, calling codes and key prefixes), the words before it, a checksum or range, and its shape.
 Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is
-for each kind; the posteriors are the soft labels of a logistic span classifier over votes and
-surface features. Spans of the strict patterns always stay; of the other candidates those that
-the classifier accepts are added, unless their checksum or range fails. Vote and feature patterns are bounded in number (3**5 votes for
-each kind and features), so only their counts reach the driver.
+for each kind. The posteriors are the soft labels of a final span classifier, which never sees the
+votes: a logistic model over surface features (digits, separators, brackets, letters, length, what
+stands before and behind). Spans of the strict patterns always stay; of the other candidates those
+that the classifier accepts are added, unless their checksum or range fails. Vote and feature
+patterns are bounded in number, so only their counts reach the driver.
+
+Work is linear in a text: positions are running sums over the gaps between matches, and contexts are
+cut from those gaps.
 
 Defined results: a null text counts as empty and has no span; positions count code points, ends
 exclusive; ties are ordered by kind, start, end; repeated rows agree; a null id keeps its row;
-other columns are kept by ``redact`` and ignored by ``find_spans``; without candidates nothing is
-fitted; an empty table gives an empty one.
+other columns, whatever their names, are kept by ``redact`` and ignored by ``find_spans``; without
+candidates nothing is fitted; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.scratch import materialise
+from tallyframe.llm.scratch import free_names, materialise
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 
 # Fixed patterns. They match what the plain forms
 #   [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -36,52 +43,97 @@ STRICT = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++[\x20]?(?:\[at\]|\(at\))[\x20]?[A-Za-z0-9-]++(?:[\x20]?(?:\[dot\]|\(dot\)|\.)[\x20]?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
-}
-GAZETTEER = {
-    "email": r"(?i)(?:\.|dot[\])][\x20]?)(?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk)$",
-    "ip": r"^(?!0|127\.|255\.)[0-9.]+$",
-    "card": r"^(?:3[47]|4|5[1-5]|2[2-7]|6)",
-    "phone": r"^(?:\+(?:1|3[0-9]|4[0-9])\b|\+[0-9]|\(?[2-9])",
-}
+#: Looser forms: what a text must hold for them, and the pattern.
+LOOSE = (
+    ("email", r"(?i)[\[(]at[\])]| at ", r"(?i)[a-z0-9._%+-]++(?:[\x20]?[\[(]at[\])][\x20]?|[\x20]at[\x20])[a-z0-9-]++(?:[\x20]?[\[(]dot[\])][\x20]?[a-z0-9-]++|[\x20]dot[\x20][a-z0-9-]++|\.[a-z0-9-]++)++"),
+    ("ip", r"[0-9](?:\[\.\]|\(\.\)| \. )", r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|[\x20]\.[\x20])[0-9]{1,3}){3}(?![0-9.])"),
+    ("card", r"[0-9]{4}[._/][0-9]{4}", r"(?<![0-9._/-])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9._/-])"),
+    ("phone", r"[0-9]", r"(?<![0-9+.-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
+    ("phone", r"00[0-9]", r"(?<![0-9+.-])00[1-9][0-9]{0,2}(?:[\x20.-][0-9]{2,5}){2,4}(?![0-9.-])"),
+    ("secret", r"[0-9a-fA-F]{32}", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    ("secret", r"(?i)(?:AKIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ)", r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk[-_][0-9A-Za-z_-]{20,}|xox[abp]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]+)(?![0-9A-Za-z])"),
+)
+# The gazetteer's tables.
+MAIL_ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "dev", "app", "me", "ai", "eu", "uk", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pl", "pt", "se", "no", "dk", "fi", "ie", "cz", "gr", "hu", "ro", "ru", "ua", "tr", "us", "ca", "mx", "br", "ar", "cl", "au", "nz", "jp", "kr", "cn", "in", "za")
+RESERVED_FIRST = ("0", "127", "255")
+CARD_ISSUERS = ("34", "37", "35", "36", "38", "30", "40", "41", "42", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "50", "56", "57", "58", "60", "62", "64", "65", "67", "22", "23", "24", "25", "26", "27")
+CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "212", "213", "216", "234", "254", "351", "352", "353", "354", "358", "359", "370", "371", "372", "380", "381", "385", "386", "420", "421", "852", "886", "961", "962", "966", "971", "972")
+KEY_PREFIXES = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xoxa", "xoxb", "xoxp", "eyJ")
 CONTEXT_FOR = {
     "email": r"mail|contact|write|reach|correo|courriel|kontakt",
     "ip": r"\bip\b|host|server|addr|login|from",
     "card": r"card|visa|credit|debit|pay|amex|tarjeta|carte|karte",
     "phone": r"phone|tel|call|mobile|cell|fax|sms|tel[eé]fono|anruf",
+    "secret": r"token|secret|passw|api|key|auth|credential|bearer",
 }
-CONTEXT_AGAINST = r"version|\bv\.?$|section|isbn|issn|doi|order|invoice|\bno\.?$|\bid\b|serial|chapter|page"
+CONTEXT_AGAINST = r"version|\bv\.?$|section|isbn|issn|doi|order|invoice|\bno\.?$|\bid\b|serial|chapter|page|sha1|md5|commit|digest|checksum"
 SHAPE = {
     "email": r"^[^@]{1,64}@[^@]{4,}$",
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
-    "card": r"^(?:[0-9]+|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$",
-    "phone": r"^(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}$",
+    "card": r"^(?:[0-9]+|[0-9]{4}(?:[^0-9][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$",
+    "phone": r"^(?:(?:\+|00)[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,5}){2,4}$",
+    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[^0-9a-f].*)$",
 }
 WINDOW = 24
 ACCEPT = 0.5
 VOTES = ("strict", "gazetteer", "context", "check", "shape")
+FEATURES = 8
 ROUNDS = 60
+#: Numbers that running sums take together, characters of a piece of text, and what no position reaches.
+BLOCK, CUT, FAR = 128, 256, 1 << 30
 
-_span = "array<struct<kind:int,start:int,end:int,hit:string,strict:boolean>>"
-
+def _running(arrays: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of several arrays, what the numbers before each of its own combine to, from 0 on.
 
-def _located(text: Column, kind: str, pattern: str, valid) -> Column:
-    """Matches with positions: what lies between matches gives the gaps to sum up."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    number = KINDS.index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_span).alias("found"))
+    Blocks of BLOCK numbers are combined within and, by their totals, among themselves, so the time
+    is linear in the numbers up to many millions of them.
+    """
+    fold = lambda xs: F.aggregate(xs, F.lit(0), combine)
+    so_far = lambda xs: F.transform(xs, lambda _, i: fold(F.slice(xs, F.lit(1), i)))
+    blocks = F.transform(arrays, lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int")), lambda g: F.slice(v, g * BLOCK + 1, F.lit(BLOCK))))
+    totals = F.transform(blocks, lambda b: F.struct(b.alias("blocks"), F.transform(b, fold).alias("totals")))
+    starts = F.transform(totals, lambda s: F.struct(s["blocks"].alias("blocks"), so_far(s["totals"]).alias("starts")))
+    return F.transform(starts, lambda s: F.flatten(F.transform(s["blocks"], lambda b, g: F.transform(so_far(b), lambda x: combine(F.get(s["starts"], g), x)))))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        row = F.struct(F.lit(number).alias("kind"), begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), valid(x["hit"]).alias("strict"))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["found"], F.array().cast(_span)), F.array(row)).alias("found"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["found"]), F.array().cast(_span))
+def _proposed(text: Column) -> Column:
+    """For each pattern with matches: the matches and the gaps around them."""
+    digit = text.rlike("[0-9]")
+    patterns = [
+        ("email", F.contains(text, F.lit("@")), STRICT["email"], True),
+        ("ip", digit, STRICT["ip"], True),
+        ("card", digit, STRICT["card"], True),
+        ("phone", F.contains(text, F.lit("+")), STRICT["phone"], True),
+        *((kind, text.rlike(needs), pattern, False) for kind, needs, pattern in LOOSE),
+    ]
+    none = F.array().cast("array<string>")
+    rows = [
+        F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"),
+            F.when(needs, F.split(text, pattern, -1)).otherwise(none).alias("gaps"), F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias("hits"),
+        )
+        for kind, needs, pattern, base in patterns
+    ]
+    return F.filter(F.array(*rows), lambda p: F.size(p["hits"]) > 0)
+
+
+def _located(proposed: Column) -> Column:
+    """Matches of all patterns in order, with validity and what stands before and behind."""
+    sizes = F.transform(proposed, lambda p: F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["hits"])), p["hits"], lambda g, h: F.length(g) + F.length(h)))
+
+    def rows(p: Column, before: Column) -> Column:
+        def row(hit: Column, i: Column) -> Column:
+            gap = F.get(p["gaps"], i)
+            start = F.get(before, i) + F.length(gap)
+            strict = p["base"] & _by_kind(p["kind"], lambda k: F.lit(k in ("email", "secret")) if k in ("email", "secret") else _CHECKS[k](hit))
+            return F.struct(
+                start.alias("start"), (start + F.length(hit)).alias("end"), p["kind"].alias("kind"), strict.alias("strict"), hit.alias("hit"),
+                F.lower(F.right(gap, F.lit(WINDOW))).alias("before"), F.left(F.get(p["gaps"], i + 1), F.lit(1)).alias("behind"),
+            )
+
+        return F.transform(p["hits"], row)
+
+    return F.array_sort(F.flatten(F.zip_with(proposed, _running(sizes, lambda a, b: a + b), rows)))
 
 
 def _digits(hit: Column) -> Column:
@@ -89,81 +141,100 @@ def _digits(hit: Column) -> Column:
 
 
 def _luhn(hit: Column) -> Column:
-    turned = F.reverse(_digits(hit))
-
     def add(total: Column, i: Column) -> Column:
+        turned = F.reverse(_digits(hit))
         d = turned.substr(i, F.lit(1)).cast("int")
         twice = d * 2
         return total + F.when(i % 2 == 1, d).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) % 10 == 0
+    return F.aggregate(F.sequence(F.lit(1), F.length(_digits(hit))), F.lit(0), add) % 10 == 0
 
 
 def _in_range(hit: Column) -> Column:
     part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-    return hit.rlike(rf"^{part}(?:\.{part}){{3}}$")
+    return F.regexp_replace(hit, r"[\[\]()\x20]", "").rlike(rf"^{part}(?:\.{part}){{3}}$")
 
 
-def _valid(kind: str):
-    if kind == "ip":
-        return _in_range
-    if kind == "card":
-        return _luhn
-    if kind == "phone":
-        return lambda hit: F.length(_digits(hit)).between(9, 15)
-    return lambda hit: F.lit(True)
+def _mixed(hit: Column) -> Column:
+    """Whether a key looks drawn at random: many different characters, digits and letters among them."""
+    return (F.size(F.array_distinct(F.split(hit, ""))) >= 10) & hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
 
 
-def candidates(text: Column) -> Column:
-    """Every proposed span of a text, strict or not."""
-    none = F.array().cast(_span)
-    digit = text.rlike("[0-9]")
-    return F.concat(
-        F.when(F.contains(text, F.lit("@")), _located(text, "email", STRICT["email"], _valid("email"))).otherwise(none),
-        F.when(digit, _located(text, "ip", STRICT["ip"], _valid("ip"))).otherwise(none),
-        F.when(digit, _located(text, "card", STRICT["card"], _valid("card"))).otherwise(none),
-        F.when(F.contains(text, F.lit("+")), _located(text, "phone", STRICT["phone"], _valid("phone"))).otherwise(none),
-        F.when(F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("(at)")), _located(text, "email", LOOSE["email"], lambda hit: F.lit(False))).otherwise(none),
-        F.when(digit, _located(text, "phone", LOOSE["phone"], lambda hit: F.lit(False))).otherwise(none),
-    )
+def _called(digits: Column) -> Column:
+    one, two, three = (F.left(digits, F.lit(k)).isin(*CALLING_CODES) for k in (1, 2, 3))
+    return one | two | three
+
+
+_CHECKS: dict[str, Callable[[Column], Column]] = {
+    "email": lambda hit: ~F.contains(hit, F.lit("..")),
+    "ip": _in_range,
+    "card": _luhn,
+    "phone": lambda hit: F.length(_digits(hit)).between(9, 15),
+    "secret": _mixed,
+}
+_LISTED: dict[str, Callable[[Column], Column]] = {
+    "email": lambda hit: F.regexp_extract(F.lower(hit), "([a-z0-9-]+)$", 1).isin(*MAIL_ENDINGS),
+    "ip": lambda hit: ~F.regexp_extract(hit, "^0*([0-9]+)", 1).isin(*RESERVED_FIRST),
+    "card": lambda hit: F.left(_digits(hit), F.lit(2)).isin(*CARD_ISSUERS),
+    "phone": lambda hit: F.when(hit.rlike(r"^(?:\+|00)"), _called(F.regexp_replace(_digits(hit), "^00", ""))).otherwise(hit.rlike(r"^\(?[2-9]")),
+    "secret": lambda hit: F.left(hit, F.lit(4)).isin(*KEY_PREFIXES) | F.left(hit, F.lit(3)).isin(*KEY_PREFIXES) | F.length(hit).isin(32, 40, 64),
+}
 
 
-def _by_kind(kind: Column, each) -> Column:
+def _by_kind(kind: Column, each: Callable[[str], Column]) -> Column:
     out = F.lit(None)
     for number, name in reversed(list(enumerate(KINDS))):
         out = F.when(kind == number, each(name)).otherwise(out)
     return out
 
 
-def _described(text: Column, found: Column) -> Column:
-    """Candidates with votes (1, 0, -1) and surface features; loose ones beside strict ones go."""
-    strict = F.filter(found, lambda s: s["strict"])
-    apart = F.filter(found, lambda s: s["strict"] | ~F.exists(strict, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+def _reach(found: Column) -> Column:
+    """Of sorted candidates: how far strict ones before each reach, and how near those behind begin.
+
+    Beginnings are counted from FAR, and from the end of the text.
+    """
+    ends = F.transform(found, lambda s: F.when(s["strict"], s["end"]).otherwise(0))
+    begins = F.transform(F.reverse(found), lambda s: F.when(s["strict"], FAR - s["start"]).otherwise(0))
+    return _running(F.array(ends, begins), lambda a, b: F.greatest(a, b))
+
+
+def _apart(found: Column, reach: Column) -> Column:
+    """Candidates without the loose ones that touch a strict one."""
+    last = F.size(found) - 1
+    clear = lambda s, i: (F.get(reach[0], i) <= s["start"]) & (FAR - F.get(reach[1], last - i) >= s["end"])
+    return F.filter(found, lambda s, i: s["strict"] | clear(s, i))
+
+
+def _described(found: Column) -> Column:
+    """Candidates with votes (1, 0, -1) and surface features."""
+    sign = lambda yes, no=0: F.when(yes, 1).otherwise(no)
 
     def one(s: Column) -> Column:
-        hit, kind = s["hit"], s["kind"]
-        back = F.least(F.lit(WINDOW), s["start"])
-        before = F.lower(text.substr(s["start"] - back + 1, back))
+        hit, kind, before, behind = s["hit"], s["kind"], s["before"], s["behind"]
         digits = F.length(_digits(hit))
-        check = _by_kind(kind, lambda k: {"ip": _in_range(hit), "card": _luhn(hit), "phone": digits.between(9, 15), "email": ~F.contains(hit, F.lit(".."))}[k])
-        sign = lambda yes, no=0: F.when(yes, 1).otherwise(no)
+        size = F.length(hit)
         return F.struct(
             kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"),
             F.array(
                 sign(s["strict"]),
-                sign(_by_kind(kind, lambda k: hit.rlike(GAZETTEER[k])), -1),
+                sign(_by_kind(kind, lambda k: _LISTED[k](hit)), -1),
                 F.when(_by_kind(kind, lambda k: before.rlike(CONTEXT_FOR[k])), 1).when(before.rlike(CONTEXT_AGAINST), -1).otherwise(0),
-                sign(check, -1),
+                sign(_by_kind(kind, lambda k: _CHECKS[k](hit)), -1),
                 sign(_by_kind(kind, lambda k: hit.rlike(SHAPE[k])), -1),
             ).alias("votes"),
             F.array(
                 F.least(F.floor(digits / 4), F.lit(5)).cast("int"),
-                F.when(F.contains(hit, F.lit("(")), 2).when(hit.rlike(r"[\x20-]"), 1).otherwise(0),
-                F.when(s["start"] == 0, 2).when(before.rlike(r"\s$"), 1).otherwise(0),
+                F.least(F.floor(size / 8), F.lit(6)).cast("int"),
+                F.when(F.contains(hit, F.lit("[")), 3).when(F.contains(hit, F.lit("(")), 2).when(hit.rlike(r"[\x20]"), 1).otherwise(0),
+                F.least(F.length(F.regexp_replace(hit, r"[^.\x20_/-]", "")), F.lit(4)),
+                F.when(hit.rlike("[A-Z]"), 2).when(hit.rlike("[a-z]"), 1).otherwise(0),
+                sign(hit.rlike(r"^[+0]")),
+                F.when(F.length(before) == 0, 3).when(before.rlike(r"[\s]$"), 0).when(before.rlike(r"[\"'=:(<]$"), 1).otherwise(2),
+                F.when(F.length(behind) == 0, 3).when(behind.rlike(r"^[\s]"), 0).when(behind.rlike(r"^[\"'),.;>]"), 1).otherwise(2),
             ).alias("features"),
         )
 
-    return F.transform(apart, one)
+    return F.transform(found, one)
 
 
 def reliabilities(counts: list[tuple[int, tuple[int, ...], int]]) -> dict[tuple[int, tuple[int, ...]], float]:
@@ -189,17 +260,17 @@ def reliabilities(counts: list[tuple[int, tuple[int, ...], int]]) -> dict[tuple[
     return posterior
 
 
-def _design(kind: int, votes: tuple[int, ...], features: tuple[int, ...]) -> list[str]:
-    return [f"k{kind}", *(f"k{kind}v{j}:{v}" for j, v in enumerate(votes)), *(f"k{kind}f{j}:{v}" for j, v in enumerate(features))]
+def _design(kind: int, features: tuple[int, ...]) -> list[str]:
+    return [f"k{kind}", *(f"k{kind}f{j}:{v}" for j, v in enumerate(features))]
 
 
 def classifier(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], posterior: dict) -> dict[str, float]:
     """Weights of a logistic model fitted to the posteriors as soft labels, by damped Newton steps."""
-    names = sorted({x for k, v, f, _ in counts for x in _design(k, v, f)})
+    names = sorted({x for k, _, f, _ in counts for x in _design(k, f)})
     column = {x: i for i, x in enumerate(names)}
     x = np.zeros((len(counts), len(names)))
-    for r, (k, v, f, _) in enumerate(counts):
-        x[r, [column[c] for c in _design(k, v, f)]] = 1
+    for r, (k, _, f, _) in enumerate(counts):
+        x[r, [column[c] for c in _design(k, f)]] = 1
     y, n = np.array([posterior[k, v] for k, v, _, _ in counts]), np.array([c for *_, c in counts], dtype=float)
     theta = np.zeros(len(names))
     for _ in range(25):
@@ -211,7 +282,7 @@ def classifier(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]],
 
 def _fitted(described: DataFrame, column: str) -> dict[str, float]:
     spans = described.select(F.explode(column).alias("s")).select("s.kind", "s.votes", "s.features").groupBy("kind", "votes", "features").count().collect()
-    rows = [(r["kind"], tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in spans]
+    rows = sorted((r["kind"], tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in spans)
     if not rows:
         return {}
     by_votes: dict[tuple[int, tuple[int, ...]], int] = {}
@@ -227,9 +298,8 @@ def _accepted(column: str, weights: dict[str, float]) -> Column:
         key = F.concat(F.lit("k"), s["kind"].cast("string"))
         worth = lambda name: F.coalesce(F.try_element_at(table, name), F.lit(0.0))
         total = worth(key)
-        for letter, field, size in (("v", "votes", len(VOTES)), ("f", "features", 3)):
-            for j in range(size):
-                total = total + worth(F.concat(key, F.lit(f"{letter}{j}:"), s[field][j].cast("string")))
+        for j in range(FEATURES):
+            total = total + worth(F.concat(key, F.lit(f"f{j}:"), s["features"][j].cast("string")))
         return s["strict"] | ((s["votes"][VOTES.index("check")] > 0) & (1 / (1 + F.exp(-total)) >= ACCEPT))
 
     kept = F.filter(column, keep)
@@ -238,33 +308,42 @@ def _accepted(column: str, weights: dict[str, float]) -> Column:
 
 def _with_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
     """``docs`` with the accepted spans of a text column."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = docs.withColumn(out, _described(body, candidates(body)))
-    if text == "__text":
-        found = found.drop(text)
-    described = materialise(found, "spans")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    proposed, found, reach, apart = free_names(docs, "proposed", "found", "reach", "apart")
+    rows = docs.withColumn(proposed, _proposed(body)).withColumn(found, _located(F.col(proposed)))
+    rows = rows.withColumn(reach, _reach(F.col(found))).withColumn(apart, _apart(F.col(found), F.col(reach)))
+    described = materialise(rows.withColumn(out, _described(F.col(apart))).drop(proposed, found, reach, apart), "spans")
     return described.withColumn(out, _accepted(out, _fitted(described, out)))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` of each row; a span has ``kind`` (its number in KINDS), ``start, end, strict``."""
-    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text")), "__text", "spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    body = F.coalesce("text", F.lit(""))
+    rows = rows.select("doc_id", _proposed(body).alias("proposed")).select("doc_id", _located(F.col("proposed")).alias("found"))
+    rows = rows.select("doc_id", "found", _reach(F.col("found")).alias("reach")).select("doc_id", _apart(F.col("found"), F.col("reach")).alias("apart"))
+    described = materialise(rows.select("doc_id", _described(F.col("apart")).alias("spans")), "spans")
+    return described.withColumn("spans", _accepted("spans", _fitted(described, "spans")))
 
 
 def span_digests(spans: DataFrame) -> DataFrame:
-    """Counts by kind, digest of the strict spans, and all spans as text."""
+    """Counts by kind, digest of the strict spans, all spans as text, and how many of each kind these are.
+
+    ``n_email`` to ``n_phone`` and the digest count strict spans; ``all_`` columns count all.
+    """
     name = lambda s: F.element_at(F.array(*(F.lit(k) for k in KINDS)), s["kind"] + 1)
     written = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))))
     strict = F.filter("spans", lambda s: s["strict"])
 
-    def count(number: int) -> Column:
-        return F.size(F.filter(strict, lambda s: s["kind"] == number)).cast("long")
+    def count(column: str | Column, number: int) -> Column:
+        return F.size(F.filter(column, lambda s: s["kind"] == number)).cast("long")
 
     return spans.select(
         "doc_id",
-        *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
+        *(count(strict, k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])),
         F.sha2(written(strict), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
+        *(count("spans", k).alias(f"all_{kind}") for k, kind in enumerate(KINDS)),
     )
 
 
@@ -272,17 +351,27 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; other columns stay.
 
     Overlapping spans are replaced together, under the kind of the first. A null text stays null.
+    The text is cut into pieces of CUT characters once, and what stands between two spans is put
+    together from the pieces it lies in.
     """
-    found = _with_spans(docs, text, "__spans")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    out, pieces, ends = free_names(docs, "spans", "pieces", "ends")
+    own, cut, done = F.col(out), F.col(pieces), F.col(ends)
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     tag = lambda s: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), s["kind"] + 1)
-    placed = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        grown = F.concat(acc["out"], body.substr(acc["at"] + 1, s["start"] - acc["at"]), tag(s))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, grown).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(placed, begin, step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).drop("__spans")
+    placed = F.array_sort(F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = _with_spans(docs, text, out).withColumn(out, placed)
+    some = F.size(own) > 0
+    found = found.withColumns({pieces: F.when(some, F.regexp_extract_all(body, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0))), ends: F.when(some, _running(F.array(F.transform(own, lambda s: s["end"])), lambda a, b: F.greatest(a, b))[0])})
+
+    def between(begin: Column, end: Column) -> Column:
+        first = F.floor(begin / CUT).cast("int")
+        last = F.floor(F.greatest(end - 1, begin) / CUT).cast("int")
+        return F.array_join(F.slice(cut, first + 1, last - first + 1), "").substr(begin - first * CUT + 1, end - begin)
+
+    def part(s: Column, i: Column) -> Column:
+        begin = F.get(done, i)
+        return F.when(s["start"] >= begin, F.concat(between(begin, s["start"]), tag(s))).otherwise(F.lit(""))
+
+    behind = F.greatest(F.element_at(done, -1), F.element_at(own, -1)["end"])
+    clean = F.concat(F.array_join(F.transform(own, part), ""), between(behind, F.length(body)))
+    return found.withColumn(text, F.when(some, clean).otherwise(F.col(f"`{text}`"))).select(*(F.col(f"`{c}`") for c in docs.columns))
