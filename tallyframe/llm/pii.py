@@ -68,7 +68,7 @@ CONTEXT_FOR = {
 }
 CONTEXT_AGAINST = r"version|\bv\.?$|section|isbn|issn|doi|order|invoice|\bno\.?$|\bid\b|serial|chapter|page|sha1|md5|commit|digest|checksum"
 SHAPE = {
-    "email": r"^[^@]{1,64}@[^@]{4,}$",
+    "email": r"(?i)^[^@\x20]{1,64}(?:@|[\x20]?[\[(]at[\])][\x20]?|[\x20]at[\x20])[^@]{4,}$",
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
     "card": r"^(?:[0-9]+|[0-9]{4}(?:[^0-9][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$",
     "phone": r"^(?:(?:\+|00)[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,5}){2,4}$",

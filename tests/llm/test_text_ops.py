@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -61,6 +62,69 @@ def test_labeler_reliabilities_follow_agreement():
     assert p[0, (1, 1, 1, 1, 1)] > 0.95 and p[0, (0, -1, -1, -1, -1)] < 0.05 and p[0, (1, 1, 0, 1, -1)] > 0.5 > p[0, (0, -1, 1, -1, -1)]
 
 
+def test_added_spans_are_precise_and_found(spark):
+    """Planted loose forms among look-alikes: held to what was planted."""
+    rng = random.Random(12)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows, want = [], {}
+    for k in range(600):
+        words = sentence(rng, "en", 30).split()
+        kind = k % 6
+        loose = {0: f"jo{k}.doe [at] mail{k % 7} [dot] com", 1: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", 2: hexes(40), 3: f"v{k}.{k % 7}.{k % 5}"}.get(kind, "")
+        lead = {0: "write to", 1: "call", 2: "token =", 3: "version"}.get(kind, "")
+        text = " ".join([*words[:15], *([lead] if lead else []), *([loose] if loose else []), *words[15:]])
+        rows.append((k, text))
+        if kind < 3:
+            want[k] = (text.index(loose), text.index(loose) + len(loose))
+    rows += [(1000 + k, f"mail u{k}@host{k % 5}.org or phone +1 (523) 555-{1000 + k}") for k in range(100)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {(k, s["start"], s["end"]) for k, spans in got.items() for s in spans if not s["strict"]}
+    planted = {(k, *x) for k, x in want.items()}
+    assert len(added & planted) >= 0.95 * len(planted) and len(added & planted) >= 0.95 * len(added)
+
+
+def brute_posterior(counts):
+    """Expectation-maximisation as a plain loop over single spans."""
+    spans = [v for _, v, n in counts for _ in range(n)]
+    p = [1 / (1 + np.exp(-sum(v))) for v in spans]
+    for _ in range(pii.ROUNDS):
+        chance = [[{x: 0.5 for x in (-1, 0, 1)} for _ in spans[0]] for _ in range(2)]
+        for v, q in zip(spans, p, strict=True):
+            for j, x in enumerate(v):
+                chance[0][j][x] += q
+                chance[1][j][x] += 1 - q
+        prior = min(max(sum(p) / len(p), 0.01), 0.99)
+        out = []
+        for v in spans:
+            odds = np.log(prior / (1 - prior))
+            for j, x in enumerate(v):
+                odds += np.log(chance[0][j][x] / sum(chance[0][j].values())) - np.log(chance[1][j][x] / sum(chance[1][j].values()))
+            out.append(1 / (1 + np.exp(-odds)))
+        p = out
+    return dict(zip(spans, p, strict=True))
+
+
+def test_reliabilities_equal_a_plain_loop():
+    rng = random.Random(4)
+    counts = list({(0, tuple(rng.choice((-1, 0, 1)) for _ in range(5))): rng.randint(1, 9) for _ in range(25)}.items())
+    counts = [(k, v, n) for (k, v), n in counts]
+    got, want = pii.reliabilities(counts), brute_posterior(counts)
+    assert all(abs(got[0, v] - x) < 1e-6 for v, x in want.items())
+
+
+def test_pii_takes_linear_time_and_any_column_name(spark):
+    def seconds(n):
+        text = " ".join(f"a{k}@b{k}.com 1.2.3.4 (523) 555-1055" for k in range(n))
+        df = spark.createDataFrame([(1, text, 7)], "doc_id long, text string, spans_ int").withColumn("spans", F.lit("mine")).withColumn("pieces", F.lit(2))
+        began = time.perf_counter()
+        clean = pii.redact(df).first()
+        assert clean["text"] == " ".join(["[EMAIL] [IP] [PHONE]"] * n) and (clean["spans"], clean["spans_"], clean["pieces"]) == ("mine", 7, 2)
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(8000) < 2 * seconds(4000) + 3
+
+
 def brute_classes(rows, n=5, percent=80):
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
