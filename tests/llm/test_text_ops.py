@@ -162,9 +162,23 @@ def test_ngram_join_keeps_the_first(docs, empty):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert 100 in ids and not set(range(101, 105)) & set(ids) and not set(range(200, 212)) & set(ids) and ids.count(5) == 1 and None in ids
+    assert {300, 301, 302} <= set(ids) and 304 not in ids
     assert ngram_join.jaccard_classes(empty).count() == 0 and ngram_join.keep_first(empty).count() == 0
 
 
+def test_ngram_join_decides_by_text_and_whatever_the_columns(spark):
+    rng = random.Random(3)
+    a, b, c = (sentence(rng, "en", 60) for _ in range(3))
+    rows = [(1, a, "x"), (7, a, "y"), (7, b, "z"), (None, c, "n1"), (None, c, "n2"), (9, c + " end", "m"), (9, c + " end", "l"), (3, None, "p"), (3, None, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("own_id", F.lit(1)).withColumn("place", F.lit(2))
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["key"]) for r in kept.collect()), key=str)
+    again = sorted(((r["doc_id"], r["key"]) for r in ngram_join.keep_first(docs.repartition(3)).collect()), key=str)
+    assert got == again and {x for x in got if x[0] != 9} == {(1, "x"), (7, "z"), (3, "p"), (3, "q")} and sum(x[0] == 9 for x in got) == 1
+    assert sorted((tuple(r) for r in ngram_join.jaccard_classes(docs).collect()), key=str) == brute_classes(rows)
+
+
 def test_prefix_tree_links_equal_brute_force():
     rng = random.Random(5)
     for _ in range(40):
