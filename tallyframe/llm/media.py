@@ -121,10 +121,14 @@ def fingerprints(media: DataFrame) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store every text as a media column, read it back, and digest payload, file and features."""
+    """Store every text as a media column, read it back, and digest payload, file and features.
+
+    The fingerprints themselves stand beside their digest: ``times`` of peaks and ``codes`` of pairs.
+    """
     stored = materialise(encode_media(docs), "media")
     joined = F.concat_ws(",", F.transform(F.arrays_zip("times", "codes"), lambda p: F.concat_ws(":", p["times"].cast("string"), p["codes"].cast("string"))))
     return fingerprints(stored).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
         F.concat_ws(":", F.col("frames").cast("string"), F.size("codes").cast("string"), F.sha1(joined)).alias("feature"),
+        "times", "codes",
     )

@@ -11,6 +11,7 @@ gives a folder without rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -54,10 +55,32 @@ _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _printable)}
 
 
+# What a tokenizer file must say for its texts to fall into chunks.
+_SEPARABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def _separable(tokenizer) -> bool:
+    """Whether a tokenizer prepares texts as ``WordTokenizer`` expects and no merge is left to chance."""
+    said = json.loads(tokenizer.to_str())
+    model = said["model"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and all(t["content"].startswith("<|") for t in said["added_tokens"])
+    return plain and all(said[part] == want for part, want in _SEPARABLE.items())
+
+
 class WordTokenizer:
     """Encodes texts by their smallest separable chunks, remembering the ids of chunks seen.
 
-    The tokenizer lower-cases, drops white space and never joins across it, nor from an ASCII
+    Where the tokenizer's file says otherwise than described here, texts are encoded whole. It lower-cases, drops white space and never joins across it, nor from an ASCII
     letter to a digit or punctuation mark unless an apostrophe is near. So the ids of a text are
     those of such chunks, one after the other; pure letters go straight to the merge table. Texts
     that may spell a special token are encoded whole. The memory is emptied when it holds
@@ -69,6 +92,7 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.merges = self.whole.model
+        self.separable = _separable(self.whole)
         self.number: dict[int, int] = {}
         self._reset()
 
@@ -131,7 +155,7 @@ class WordTokenizer:
         """Ids of the texts of a block and how many each text has."""
         data = textkit.LOWER_AZ[data]
         begin, end, doc = self._chunks(data, offsets)
-        coded = pa.array(textkit.span_hashes(data, begin, end)).dictionary_encode()
+        coded = pa.array(textkit.span_hashes(data, begin, end)).dictionary_encode()  # 64 bits tell chunks apart
         keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.number) + len(keys) > CACHE_WORDS:
             self._reset()
@@ -151,6 +175,9 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
         """Ids of each text with the end id behind them."""
+        if not self.separable:
+            coded = self.whole.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            return pa.array([[*x.ids, end_id] for x in coded], pa.list_(pa.int32()))
         data, offsets = textkit.buffers(texts)
         found, counts = [], []
         odd = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|" begins every special token

@@ -48,6 +48,39 @@ def test_chunked_tokens_equal_whole(texts):
     assert got == [[*_whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = orc_tokens.WordTokenizer(path), Tokenizer.from_file(path)
+    texts = ["Hello  World's 12 things", "", None, "Été\n\nnoch"]
+    assert not own.separable and _chunked.separable
+    assert own.encode(pa.array(texts), 2).to_pylist() == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def brute_pairs(samples):
+    """Peaks and pairs of a payload by plain loops over its spectra."""
+    x = (np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - 128) / 128
+    at = range(0, len(x) - 191, 96)
+    spectra = [np.abs(np.fft.rfft(x[a : a + 192] * media._window)) for a in at]
+    tops = [[max(range(a, b), key=lambda k: (s[k], -k)) for a, b in zip(media.BANDS[:-1], media.BANDS[1:], strict=True)] for s in spectra]
+    power = [[s[k] for k in t] for s, t in zip(spectra, tops, strict=True)]
+    peaks = [(f, tops[f][b]) for f in range(len(tops)) for b in range(5) if power[f][b] > 0 and (f == 0 or power[f][b] >= power[f - 1][b]) and (f == len(tops) - 1 or power[f][b] >= power[f + 1][b])]
+    pairs = [(t, p << 13 | q << 6 | u - t) for k, (t, p) in enumerate(peaks) for u, q in peaks[k + 1 : k + 4] if u - t <= 63]
+    return sorted(pairs), len(tops)
+
+
+def test_fingerprints_equal_plain_loops(docs):
+    rows = {r["doc_id"]: r for r in media.media_digests(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
+    for k in (0, 17, 100, 205, 300, 303, 308):
+        raw = texts[k].encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+        pairs, frames = brute_pairs(payload)
+        assert list(zip(rows[k]["times"], rows[k]["codes"], strict=True)) == pairs
+        joined = ",".join(f"{t}:{c}" for t, c in pairs)
+        assert rows[k]["feature"] == f"{frames}:{len(pairs)}:{hashlib.sha1(joined.encode()).hexdigest()}"
+        assert rows[k]["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest()
+
+
 def test_media(docs, rows, empty):
     got = {(r["doc_id"], r["payload_sha256"]): r for r in media.media_digests(docs).collect()}
     for doc_id, text, *_ in rows:
