@@ -126,30 +126,23 @@ class Scanner:
         order = np.argsort(keys)
         return cls(keys[order], table.column(1).combine_chunks().to_numpy(zero_copy_only=False)[order], model.other, model.scale, model.log_k)
 
-    def segments(self, hits: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
-        """Maximal segments of a text: first word, end word, sum."""
-        line: list[float] = []
-        place: list[tuple[int, int]] = []
-        before = 0
-        for at, score in zip(hits.tolist(), scores.tolist(), strict=True):
-            if line and at > before:
-                line.append(self.other * (at - before))
-                place.append((before, at))
-            line.append(score)
-            place.append((at, at + 1))
-            before = at + 1
-        return [(place[a][0], place[b - 1][1], s) for a, b, s in maximal_segments(line)]
-
     def worth(self, h: np.ndarray) -> np.ndarray:
         """Scores of words from the hashes of their tokens: that of the best one."""
-        best = np.full(h.shape[1], -np.inf)
-        for row in h:
+        coded = pa.array(h[0]).dictionary_encode()
+        index = coded.indices.to_numpy()
+        first = np.zeros(len(coded.dictionary), dtype=np.int64)
+        first[index[::-1]] = np.arange(len(index))[::-1]
+        best = np.full(len(first), -np.inf)
+        for row in h[:, first]:
             at = np.minimum(np.searchsorted(self.keys, row), len(self.keys) - 1)
             best = np.maximum(best, np.where(self.keys[at] == row, self.scores[at], 0.0))
-        return np.where(best == 0, self.other, best)
+        return np.where(best == 0, self.other, best)[index]
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
-        """Texts with words: number, scores of words, segments, byte starts and ends of words."""
+        """Texts with words: number, scores of words, segments, byte starts and ends of words.
+
+        Neighbouring words of one sign are never parted by a maximal segment, so they count as one.
+        """
         data, offsets = textkit.buffers(texts)
         if not len(self.keys):
             return
@@ -158,14 +151,20 @@ class Scanner:
             if not h.size:
                 continue
             worth = self.worth(h)
-            hit = np.flatnonzero(worth != self.other)
+            up = worth > 0
+            run = np.flatnonzero(np.concatenate([[True], (up[1:] != up[:-1]) | (doc[1:] != doc[:-1])]))
+            sums = np.add.reduceat(worth, run)
             first = np.searchsorted(doc, np.arange(j - i + 1))
-            cut = np.searchsorted(doc[hit], np.arange(j - i + 1))
+            cut = np.searchsorted(run, first)
+            positive = np.concatenate([[0], np.cumsum(up)])
             for d in np.flatnonzero(np.diff(first)):
                 a, b = first[d], first[d + 1]
-                own = hit[cut[d] : cut[d + 1]]
+                found: list[tuple[int, int, float]] = []
+                if positive[b] > positive[a]:
+                    edge = np.append(run[cut[d] : cut[d + 1]], b) - a
+                    found = [(int(edge[x]), int(edge[y]), s) for x, y, s in maximal_segments(sums[cut[d] : cut[d + 1]].tolist())]
                 base = offsets[i + d] - offsets[i]
-                yield i + int(d), worth[a:b], self.segments(own - a, worth[own]), starts[a:b] - base, ends[a:b] - base
+                yield i + int(d), worth[a:b], found, starts[a:b] - base, ends[a:b] - base
 
     def evidence(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         total, lists = np.zeros(len(texts)), [[] for _ in range(len(texts))]
@@ -245,10 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(None, 0, slope=0.0, intercept=plain)
     n1, n0 = float(sums["toxic"]), float(sums["other"])
     toxic, seen = F.col("toxic").cast("double"), F.col("other").cast("double")
-    part = _part(counts.groupBy(F.round(_favour(toxic, seen, n1, n0), 1).alias("x")).count().toArrow())
+    pairs = materialise(counts.groupBy("toxic", "other").count(), "pairs")  # few: most tokens are rare
+    part = _part(pairs.groupBy(F.round(_favour(toxic, seen, n1, n0), 1).alias("x")).agg(F.sum("count").alias("count")).toArrow())
     own = {"score": (toxic, seen), "apart1": (toxic - 1, seen), "apart0": (toxic, seen - 1)}
-    scored = counts.select("token", "toxic", "other", *(shrunken(t, o, n1, n0, part).alias(x) for x, (t, o) in own.items()), _certain(toxic, seen, n1, n0, part).alias("certain"))
-    lexicon = materialise(scored.where(" or ".join(f"{x} != 0" for x in own)), "lexicon")
+    scored = pairs.select("toxic", "other", *(shrunken(t, o, n1, n0, part).alias(x) for x, (t, o) in own.items()), _certain(toxic, seen, n1, n0, part).alias("certain"))
+    scored = materialise(scored.where(" or ".join(f"{x} != 0" for x in own)), "scored")
+    lexicon = materialise(counts.join(F.broadcast(scored) if scored.count() <= BROADCAST_ROWS else scored, ["toxic", "other"]), "lexicon")
     bad = F.when(F.col("score") > 0, F.col("certain")).otherwise(0.0)
     found = lexicon.agg(F.count_if(F.col("score") != 0).alias("size"), F.coalesce(F.sum(toxic * bad), F.lit(0.0)).alias("q1"), F.coalesce(F.sum(seen * bad), F.lit(0.0)).alias("q0")).first()
     rest = min(log((1 - min(found["q1"] / n1, 0.99)) / (1 - min(found["q0"] / n0, 0.98))), -1e-3)

@@ -3,13 +3,14 @@ import itertools
 import random
 import re
 import time
+from math import exp, lgamma, log
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.llm import langid, mixing, ngram_join, pii, quality, toxicity
+from tallyframe.llm import langid, mixing, ngram_join, pii, quality, textkit, toxicity
 from tallyframe.llm.components import connected_components
 from tests.llm.conftest import sentence
 
@@ -332,6 +333,81 @@ def test_maximal_segments():
         assert got == [(a, b, round(s, 6)) for a, b, s in brute_segments(scores)]
 
 
+def test_segments_take_linear_time():
+    def seconds(scores):
+        began = time.process_time()
+        toxicity.maximal_segments(scores)
+        return time.process_time() - began
+
+    for scores in ([1.0, -0.5] * 40_000, [1.0, -1.5] * 40_000, [float(40_000 - k) * (1, -1)[k % 2] for k in range(80_000)], [-float(k) if k % 2 else 1.0 for k in range(80_000)]):
+        seconds(scores[:1000])
+        assert seconds(scores * 2) < 3 * seconds(scores) + 0.2
+
+
+def brute_scan(lexicon, text):
+    """Words of a text and their scores, by plain look-ups."""
+    out = []
+    for m in re.finditer("[a-z\x80-\xff]+", text.encode().decode("latin-1").lower() if text.isascii() else text.encode().decode("latin-1").translate({k: k + 32 for k in range(65, 91)})):
+        word = m[0].encode("latin-1")
+        own = [lexicon.get(textkit.hash_word(w), 0.0) for w in dict.fromkeys([word, *(word[:k] for k in toxicity.STEMS)])]
+        best = max(own)
+        out.append((m.span(), best))
+    return out
+
+
+def test_log_odds_and_scan_equal_plain_loops(spark):
+    rng = random.Random(21)
+    bad, texts = ["vexom", "brigul", "snorpa"], []
+    for k in range(150):
+        words = sentence(rng, ("en", "de")[k % 2], 25).split()
+        if k % 3 == 0:
+            words[5:7] = [bad[k % 2], bad[2]]
+        texts.append((k, " ".join(words), int(k % 3 == 0)))
+    docs = spark.createDataFrame([(a, b) for a, b, _ in texts], "doc_id long, text string")
+    model = toxicity.fit(docs, quality.label_rows(spark.createDataFrame([(a, c) for a, _, c in texts], "doc_id long, toxic int"), "toxic"))
+    counts = {}
+    for _, text, y in texts:
+        own = set()
+        for w in re.findall("[a-z\x80-\xff]+", text.encode().decode("latin-1")):
+            own |= {w.encode("latin-1")[:k] for k in (*toxicity.STEMS, 999)}
+        for w in own:
+            counts.setdefault(w, [0, 0])[1 - y] += 1
+    n1, n0 = sum(a for a, _ in counts.values()), sum(b for _, b in counts.values())
+    favour = {w: lgamma(a + 1) + lgamma(b + 1) - lgamma(a + b + 2) - a * log(n1 / (n1 + n0)) - b * log(n0 / (n1 + n0)) for w, (a, b) in counts.items()}
+    part = 0.01
+    for _ in range(200):
+        part = min(max(sum(1 / (1 + (1 - part) / part * exp(-round(x, 1))) for x in favour.values()) / len(favour), 1e-6), 0.5)
+    want = {}
+    for w, (a, b) in counts.items():
+        pa_, pb = a + n1 / (n1 + n0) * (a + b), b + n1 / (n1 + n0) * (a + b)
+        odds = log(pa_ / (2 * n1 - pa_)) - log(pb / (n0 + n1 - pb))
+        want[textkit.hash_word(w)] = odds / (1 + exp(-min(favour[w], 50)) * (1 - part) / part)
+    got = {r["token"] % (1 << 64): r["score"] for r in model.lexicon.collect()}
+    assert all(abs(got.get(h, 0.0) - x) < 0.0101 for h, x in want.items()) and len(got) <= len(want)
+    scored = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for k, text, _ in texts:
+        line = brute_scan(got, text)
+        worth = [s or model.other for _, s in line]
+        normal = [(line[a][0][0], line[b - 1][0][1], model.scale * s - model.log_k - log(len(line))) for a, b, s in brute_segments(worth)]
+        evidence = toxicity.order_evidence([e for _, _, e in normal if e > 0])
+        assert scored[k]["evidence"] == pytest.approx(evidence, abs=1e-6)
+        assert scored[k]["score"] == pytest.approx(1 / (1 + exp(-model.slope * log(1 + evidence) - model.intercept)), abs=1e-6)
+        raw = text.encode()
+        assert [(p["start"], p["end"]) for p in scored[k]["passages"]] == [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b, e in normal if e > toxicity.LEVEL]
+
+
+def test_lexicon_beyond_a_size_is_joined(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [(k, sentence(rng, "en", 30) + (" scum and scum" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(120)] + [(500, None, 0), (501, "", 0)]
+    docs = spark.createDataFrame([(a, b) for a, b, _ in texts], "doc_id long, text string").repartition(3)
+    labels = quality.label_rows(spark.createDataFrame([(a, c) for a, _, c in texts], "doc_id long, toxic int"), "toxic")
+    model = toxicity.fit(docs, labels)
+    want = sorted(map(tuple, toxicity.score(docs, model).collect()))
+    monkeypatch.setattr(toxicity, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 2000)
+    assert sorted(map(tuple, toxicity.score(docs, model).collect())) == want
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     bad = ["idiot", "moron", "scum", "loser"]
