@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.ordering import running_before
+
 TREES, DEPTH = 60, 8
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``: rows of each class dealt round in hash order of their key."""
+    """``df`` with ``fold``: rows of each class dealt round in hash order of their key.
+
+    A class is ranked in 4096 ranges of the hash, whose counts give the rank that each begins with.
+    """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1) % k).cast("int"))
+    ranged = df.withColumns({"__order": order, "__range": F.coalesce(F.substring(order, 1, 3), F.lit(""))})
+    sizes = ranged.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__of")).count()
+    ahead = Window.partitionBy("__label").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__label", "__of", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__start"))
+    joined = ranged.join(starts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__of")))
+    rank = F.col("__start") + F.row_number().over(Window.partitionBy(label, "__range").orderBy("__order")) - 1
+    return joined.withColumn("fold", (rank % k).cast("int")).select(*(F.col(f"`{c}`") for c in df.columns), "fold")
 
 
 def populations(df: DataFrame, label: str, features: list[str]) -> DataFrame:
@@ -78,15 +89,28 @@ def per_class(df: DataFrame, label: str, pred: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: Column, score: str) -> DataFrame:
     """``auc`` from average ranks, ties sharing theirs.
 
-    Ranks come from counts by distinct score: no window over all rows.
+    Ranks come from counts by distinct score, added up within ranges of scores.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.select("n", "pos", (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = running_before(by, "s", "n", "before").select("n", "pos", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
     pos, total = F.sum("pos"), F.sum("n")
     return ranked.agg(F.round((F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2) / (pos * (total - pos)), 4).alias("auc"))
 
 
+def macro_f1(classes: DataFrame) -> DataFrame:
+    """``macro_f1``: the mean over the classes of ``per_class`` that have rows."""
+    return classes.where("support > 0").agg(F.round(F.avg("f1"), 4).alias("macro_f1"))
+
+
+def verdict(lift: float | None, minority_recall: float | None = None) -> str:
+    """A word for how far a classifier beats the most common class; one that never finds the rarest is not trusted."""
+    if lift is None:
+        return "not scored"
+    if minority_recall is not None and minority_recall == 0:
+        return "misses the rare class"
+    return "trusted" if lift > 10 else "weak" if lift > 0 else "no better than the most common class"
+
+
 def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
     """``accuracy``, that of the most common class, and the lift over it in percent."""
     by = df.groupBy(label).agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col(pred)).alias("hit"))

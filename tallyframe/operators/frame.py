@@ -11,11 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import coerce, dates
 from tallyframe.operators.filters import predicate
+from tallyframe.operators.ordering import positions
 from tallyframe.plans.spec import Key, Measure, Spec, resolve
 
 _SRC, _ORD, _EVENT, _ARRIVAL, _FORWARD, _DROP = "__src", "__ord", "__event", "__arrival", "__forward", "__drop"
@@ -27,34 +28,6 @@ def tag_sources(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def positions(df: DataFrame, order_by: str, out: str) -> DataFrame:
-    """``df`` with the 0-based position of each row in the order of a unique column.
-
-    Rows are dealt out by ranges of the column, so that no task sorts them all; quantiles give the
-    ranges and range sizes the offsets, both bounded by the number of ranges.
-    """
-    from pyspark.sql import types as T
-
-    kind = df.schema[order_by].dataType
-    within = Window.partitionBy("__range").orderBy(order_by)
-    if not isinstance(kind, T.NumericType | T.TimestampType | T.DateType):
-        return df.withColumn("__range", F.lit(0)).withColumn(out, (F.row_number().over(within) - 1).cast("long")).drop("__range")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order_by, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.lit(0)
-    for c in cuts:
-        at = at + (F.col(f"`{order_by}`") > F.lit(c).cast(kind)).cast("int")
-    ranged = df.withColumn("__range", F.coalesce(at, F.lit(-1)))
-    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
-    offset, before = [], 0
-    for k in sorted(sizes):
-        offset += [F.lit(k), F.lit(before)]
-        before += sizes[k]
-    start = F.create_map(*offset)[F.col("__range")] if offset else F.lit(0)
-    return ranged.withColumn(out, (start + F.row_number().over(within) - 1).cast("long")).drop("__range")
-
-
 def _key_column(rows: DataFrame, key: Key) -> Column:
     """The value that rows are grouped by: a bucket's first day, a number, or text."""
     if key.returns == "bucket":
@@ -138,8 +111,8 @@ class Frame:
         return out
 
 
-def _prepared(rows: DataFrame, s: Spec) -> DataFrame:
-    """Rows with reasons for dropping, clocks, keys and measure inputs."""
+def _prepared(rows: DataFrame, s: Spec, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with reasons for dropping, clocks, keys and measure inputs, and columns kept as they are."""
     if s.order_by:
         rows = positions(rows, s.order_by, _ORD) if any(k.returns == "position" for k in s.keys) else rows.withColumn(_ORD, F.col(f"`{s.order_by}`"))
     src = F.col(_SRC)
@@ -184,7 +157,7 @@ def _prepared(rows: DataFrame, s: Spec) -> DataFrame:
         if m.entity:
             columns[f"__e_{m.out}"] = coerce.text(coerce.cell(rows, m.entity))
     keep = [_SRC, _EVENT, _ARRIVAL, *([_ORD] if s.order_by else [])]
-    return rows.select(*keep, *(c.alias(n) for n, c in columns.items()))
+    return rows.select(*keep, *(F.col(f"`{c}`") for c in also), *(c.alias(n) for n, c in columns.items()))
 
 
 def _copies(rows: DataFrame, s: Spec) -> DataFrame:
@@ -208,18 +181,22 @@ def _reduced(rows: DataFrame, keys: list[str], measures: list[Measure], order: b
     """One row for each bucket. Group functions first sum by entity."""
     plain = [m for m in measures if m.function not in ("hhi", "top_share")]
     aggs = [_aggregate(m, order).alias(f"__m_{m.out}") for m in plain]
-    out = rows.groupBy(*keys).agg(*(aggs or [F.lit(None).cast("double").alias("__none")]))
     shared: dict[tuple, list[Measure]] = {}
     for m in measures:
         if m not in plain:
             shared.setdefault((m.column, m.entity, m.availability, m.source), []).append(m)
+    out = None
+    if aggs or not shared:
+        out = rows.groupBy(*keys).agg(*(aggs or [F.lit(None).cast("double").alias("__none")]))
     for group in shared.values():
         lead = group[0].out
-        nets = rows.where(F.col(f"__v_{lead}").isNotNull()).groupBy(*keys, f"__e_{lead}").agg(F.sum(f"__v_{lead}").alias("__net"))
-        total = F.sum("__net")
-        how = {"hhi": 10_000 * F.sum(F.col("__net") * F.col("__net")) / (total * total), "top_share": 100 * F.max("__net") / total}
+        have = F.col(f"__v_{lead}").isNotNull()
+        nets = rows.groupBy(*keys, F.when(have, F.col(f"__e_{lead}")).alias("__e")).agg(F.sum(f"__v_{lead}").alias("__net"), F.count_if(have).alias("__n"))
+        net = F.when(F.col("__n") > 0, F.col("__net"))  # buckets without a value stay, as null
+        total = F.sum(net)
+        how = {"hhi": 10_000 * F.sum(net * net) / (total * total), "top_share": 100 * F.max(net) / total}
         parts = nets.groupBy(*keys).agg(*(F.when(total > 0, how[m.function]).alias(f"__m_{m.out}") for m in group))
-        out = out.join(parts, keys, "left")
+        out = parts if out is None else out.join(parts, keys, "left")
     return out
 
 
@@ -278,6 +255,6 @@ def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec) -> Fram
     for m in s.measures:
         if m.function == "label":
             distinct = df.select(F.col(f"`{m.out}`").alias("name")).where(F.col("name").isNotNull()).distinct()
-            classes[m.out] = distinct.withColumn("id", (F.row_number().over(Window.orderBy("name")) - 1).cast("double"))
+            classes[m.out] = positions(distinct, "name", "id").withColumn("id", F.col("id").cast("double"))
             df = df.join(classes[m.out].withColumnRenamed("name", m.out).withColumnRenamed("id", "__id"), m.out, "left").withColumn(m.out, F.col("__id")).drop("__id")
     return Frame(s, df.select(*(F.col(f"`{c}`") for c in s.columns)), prepared, unmatched, classes)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import coerce
+from tallyframe.operators.ordering import with_ranges
 
 
 def interactions(df: DataFrame, user: str, item: str, weight: str | None = None) -> DataFrame:
@@ -29,11 +30,28 @@ def split(data: DataFrame, holdout: float = 0.3, salt: str = "") -> DataFrame:
     return data.select("user", "item", "w", (place > n - held).alias("held"))
 
 
+#: Items of a user that meet in one task.
+BLOCK = 2000
+
+
+def _in_blocks(train: DataFrame) -> DataFrame:
+    """``user, item, w, block, i, j``: a user's items in blocks, each copied to the pairs of blocks it is in.
+
+    Users of up to BLOCK items have one block and no copies; for others the pairs of items are dealt
+    out over the cluster.
+    """
+    sizes = train.groupBy("user").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = train.join(sizes, "user").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    return placed.select("user", "item", "w", "block", F.explode(pairs).alias("p")).select("user", "item", "w", "block", "p.i", "p.j")
+
+
 def item_similarity(train: DataFrame) -> DataFrame:
     """``item, other, sim`` of items that share a user, both ways round: cosine of their weights."""
     norms = train.groupBy("item").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    a, b = train.toDF("user", "item", "wa"), train.toDF("user", "other", "wb")
-    dots = a.join(b, "user").where("item < other").groupBy("item", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    rows = _in_blocks(train)
+    a, b = rows.withColumnsRenamed({"w": "wa", "block": "ba"}), rows.withColumnsRenamed({"item": "other", "w": "wb", "block": "bb"})
+    dots = a.join(b, ["user", "i", "j"]).where("item < other and (ba <> bb or i = j)").groupBy("item", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     both = dots.join(norms, "item").join(norms.toDF("other", "norm_other"), "other").where("norm > 0 and norm_other > 0").select("item", "other", (F.col("dot") / (F.col("norm") * F.col("norm_other"))).alias("sim"))
     return both.unionByName(both.select(F.col("other").alias("item"), F.col("item").alias("other"), "sim"))
 
@@ -50,19 +68,33 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 def popular_top(users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> DataFrame:
     """The most popular items that each user has not seen.
 
-    Only the first ``k + most seen`` items can appear in any list. These go to every user as one
-    ordered array, from which the user's own items are taken.
+    Items are ranked once. Between two items that a user has seen, all ranks are new to the user, so
+    the first ``k`` new ranks come from the gaps between the user's own, in order.
     """
-    most = seen.groupBy("user").count().agg(F.max("count")).first()[0] or 0
-    head = pop.orderBy(F.desc("pop"), "item").limit(k + most).collect()
-    if not head:
-        return users.select("user", F.lit("").alias("item"), F.lit(0).alias("rank"), F.lit(0.0).alias("score")).limit(0)
-    items = F.array(*(F.lit(r["item"]) for r in head))
-    worth = F.create_map(*(F.lit(x) for r in head for x in (r["item"], float(r["pop"]))))
-    own = seen.groupBy("user").agg(F.collect_set("item").alias("own"))
-    fresh = F.slice(F.array_except(items, F.coalesce("own", F.array().cast("array<string>"))), 1, k)
-    listed = users.join(own, "user", "left").select("user", F.posexplode(fresh).alias("at", "item"))
-    return listed.select("user", "item", (F.col("at") + 1).alias("rank"), F.round(worth[F.col("item")], 6).alias("score"))
+    ranked = pop.select(F.struct((-F.col("pop")).alias("p"), "item").alias("at"), "item", "pop")
+    ranked = positions_by(ranked).select("item", "pop", "place")
+    known = ranked.count()
+    own = seen.select("user", "item").distinct().join(ranked.select("item", "place"), "item").select("user", "place")
+    marks = users.select("user", F.explode(F.array(F.lit(-1).cast("long"), F.lit(known).cast("long"))).alias("place")).unionByName(own.join(users, "user", "left_semi"))
+    by = Window.partitionBy("user").orderBy("place")
+    new = F.col("place") + 2 - F.row_number().over(by)  # new ranks up to here, and the next mark
+    gaps = marks.select("user", "place", new.alias("before"), F.lead("place").over(by).alias("next"))
+    wide = gaps.where((F.col("next") - F.col("place") > 1) & (F.col("before") < k))
+    listed = wide.select("user", "before", "place", F.posexplode(F.sequence(F.col("place") + 1, F.least(F.col("next") - 1, F.col("place") + k - F.col("before")))).alias("step", "at"))
+    chosen = listed.select("user", F.col("at").alias("place"), (F.col("before") + F.col("step") + 1).cast("int").alias("rank"))
+    return chosen.join(ranked, "place").select("user", "item", "rank", F.round(F.col("pop").cast("double"), 6).alias("score"))
+
+
+def positions_by(ranked: DataFrame) -> DataFrame:
+    """``ranked`` with ``place``: 0 for the most popular item, items of equal popularity by name."""
+    ranged = with_ranges(ranked.withColumn("__p", F.col("at.p")), "__p", "__range")
+    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    start, before = [], 0
+    for k in sorted(sizes):
+        start += [F.lit(k), F.lit(before)]
+        before += sizes[k]
+    offset = F.create_map(*start)[F.col("__range")] if start else F.lit(0)
+    return ranged.withColumn("place", (offset + F.row_number().over(Window.partitionBy("__range").orderBy("at")) - 1).cast("long")).drop("__p", "__range")
 
 
 def recommend(history: DataFrame, sim: DataFrame, pop: DataFrame, k: int = 5, users: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,7 +133,15 @@ _filtered("not_equals", "part", "p_brand", {"of": "p_type", "using": "notEquals"
 _filtered("greater_than", "lineitem", "l_linestatus", {"of": "l_extendedprice", "using": "greaterThan", "value": 40000}, "l_extendedprice > 40000")
 _filtered("less_than", "customer", "c_mktsegment", {"of": "c_acctbal", "using": "lessThan", "value": "0"}, "c_acctbal < 0")
 _filtered("contains", "documents", "lang", {"of": "text", "using": "contains", "value": "THE "}, "contains(lower(text), 'the ')")
-_filtered("is_empty", "documents", "lang", {"of": "source", "using": "isEmpty"}, "coalesce(trim(source), '') = ''")
+
+
+@query("filter_is_empty", "SELECT o_orderstatus AS k, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_orderkey % 3 < 2 GROUP BY ALL")
+def filter_is_empty(spark: SparkSession, d: str) -> DataFrame:
+    blank = F.when(F.col("o_orderkey") % 3 == 0, F.lit("  ")).when(F.col("o_orderkey") % 3 == 2, F.col("o_orderpriority"))
+    spec = {"keys": [{"name": "k", "from": "o_orderstatus"}], "aggregates": [{"name": "n", "using": "count"}], "filters": [{"of": "note", "using": "isEmpty"}]}
+    return build(_t(spark, d, "orders").withColumn("note", blank), spec).df
+
+
 _filtered("is_not_empty", "documents", "lang", {"of": "source", "using": "isNotEmpty"}, "coalesce(trim(source), '') <> ''")
 
 
@@ -298,7 +307,7 @@ _SPLIT = "s AS (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY subs
 
 
 def _bought(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.interactions(_sales(spark, d), "o_custkey", "p_brand", "l_quantity")
+    return recommend.interactions(_sales(spark, d), "o_custkey", "p_brand", "l_quantity").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query("rec_similarity", f"WITH {_PAIRS}, {_SIM.format(t='d')} SELECT item, other, round(sim, 6) AS sim FROM sim")
@@ -410,5 +419,5 @@ def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("classify_forest")
 def classify_forest(spark: SparkSession, d: str) -> DataFrame:
-    done = classify.cross_validate(_labelled(spark, d), "doc_id", "quality", ["n_chars", "per_word", "toxic"], k=3, trees=20)
+    done = classify.cross_validate(_labelled(spark, d), "doc_id", "quality", ["n_chars", "per_word", "toxic"])
     return done.select("doc_id", "quality", "fold", F.round("proba", 6).alias("proba"), "pred")

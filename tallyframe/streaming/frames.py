@@ -1,36 +1,58 @@
-"""The tumbling part of a frame over a stream: event-time buckets, keys, and plain reductions."""
+"""The tumbling part of a frame over a stream: event-time buckets, keys, filters and plain reductions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.functions import coerce
+from tallyframe.functions import dates
+from tallyframe.operators.frame import _DROP, _SRC, _aggregate, _prepared
 from tallyframe.plans.spec import Spec, resolve
 
 _WINDOW = {"day": "1 day", "week": "7 days"}
+_FUNCTIONS = ("sum", "mean", "min", "max", "count")
+
+
+def _refused(rows: DataFrame, s: Spec) -> list[str]:
+    """What of a spec a stream can't do."""
+    spine, found = s.spine, []
+    if len(s.sources) > 1 or s.source_from:
+        found.append("several sources")
+    if spine is None or spine.grain not in _WINDOW:
+        found.append("a spine other than days or weeks, whose buckets have a fixed length")
+    elif not isinstance(rows.schema[s.sources[0].time_from].dataType, T.TimestampType):
+        found.append("a clock that is no timestamp")
+    if rows.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
+        found.append("a session time zone other than UTC, as windows are cut there")
+    if s.sources[0].available_from and any(m.availability == "past_only" for m in s.measures):
+        found.append("values moved to the bucket of their arrival")
+    if s.order_by or any(k.returns == "position" for k in s.keys):
+        found.append("an order of rows")
+    found += [f"{m.function} ({m.out})" for m in s.measures if m.function not in _FUNCTIONS]
+    return found
 
 
 def stream_frame(rows: DataFrame, document: dict | Spec, late: str = "2 days") -> DataFrame:
-    """Keys, bucket start and measures of a stream whose clock is a timestamp.
+    """The frame that ``build`` gives of the same rows, over a stream whose clock is a timestamp.
 
     Rows up to ``late`` behind the newest are counted, later ones are dropped, and state of closed
-    buckets is let go. Day and week buckets only: other grains have no fixed length.
+    buckets is let go. Filters, aliases, binned keys, derives and the rule that a bucket needs a value
+    hold as in a batch; whatever a stream can't do is an error.
     """
     s = document if isinstance(document, Spec) else resolve(document)
-    spine = s.spine
-    if len(s.sources) > 1 or spine is None or spine.grain not in _WINDOW:
-        raise ValueError("a stream needs one source and a spine of days or weeks")
-    clock = F.col(f"`{s.sources[0].time_from}`")
+    if found := _refused(rows, s):
+        raise ValueError(f"not on a stream: {'; '.join(found)}")
+    spine, clock = s.spine, s.sources[0].time_from
     start = "4 days" if spine.grain == "week" else "0 days"  # weeks begin on Monday, the epoch on a Thursday
-    bucket = F.window(clock, _WINDOW[spine.grain], _WINDOW[spine.grain], start)
-    keys = [F.concat(F.lit(k.prefix), coerce.text(F.col(f"`{k.column}`"))).alias(k.name) for k in s.keys if not k.spine]
-    aggs = []
-    for m in s.measures:
-        v = coerce.number(F.col(f"`{m.column}`"), coerce.kind_of(rows, m.column)) if m.column else F.lit(1.0)
-        how = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": lambda c: F.nullif(F.count(c), F.lit(0)).cast("double")}
-        if m.function not in how:
-            raise ValueError(f"{m.function}: not on a stream")
-        aggs.append(F.round(how[m.function](v), 6).alias(m.out))
-    grouped = rows.withWatermark(s.sources[0].time_from, late).groupBy(bucket.alias("__w"), *keys).agg(*aggs)
-    return grouped.select(*(k.name for k in s.keys if not k.spine), F.to_date("__w.start").alias(spine.name), *(m.out for m in s.measures))
+    tagged = rows.withWatermark(clock, late).withColumn(_SRC, F.lit(s.sources[0].id))
+    kept = _prepared(tagged, s, (clock,)).where(F.col(_DROP).isNull())
+    bucket = F.window(F.col(f"`{clock}`"), _WINDOW[spine.grain], _WINDOW[spine.grain], start)
+    keys = [f"__k{i}" for i, k in enumerate(s.keys) if not k.spine]
+    grouped = kept.groupBy(bucket.alias("__w"), *keys).agg(*(_aggregate(m, False).alias(f"__m_{m.out}") for m in s.measures))
+    found = grouped.where(F.coalesce(*(F.col(f"__m_{m.out}") for m in s.measures)).isNotNull())
+    places = [F.to_date("__w.start") if k.spine else F.col(f"__k{i}") for i, k in enumerate(s.keys)]
+    labels = [(dates.bucket_label(k.grain, c) if k.returns == "bucket" else c).alias(k.name) for k, c in zip(s.keys, places, strict=True)]
+    values = [F.round(f"__m_{m.out}", 6).alias(m.out) for m in s.measures]
+    scalars = [dates.SCALARS[d.via](places[d.key]).alias(d.out) for d in s.derives]
+    return found.select(*labels, *values, *scalars)

@@ -1,10 +1,13 @@
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import classify, forecast, recommend
+from tallyframe.operators.frame import build
+from tallyframe.operators.ordering import positions, running_before
 from tallyframe.plans.profile import column_roles, compile_profile
 from tallyframe.plans.spec import resolve
 from tallyframe.sources import dialects, tables
@@ -135,15 +138,60 @@ def test_csv_profile_and_sinks(spark, tmp_path):
         tables.write(df, "x", "xml")
 
 
-def test_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("2024-01-01 10:00:00", "a", "1"), ("2024-01-01 12:00:00", "a", "2"), ("2024-01-08 00:00:00", "b", "4")], "ts string, k string, v string")
-    rows.withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("ts timestamp, k string, v string").parquet(str(tmp_path / "in"))
-    spec = {"time_from": "ts", "keys": [{"name": "k", "from": "k"}, {"name": "t", "via": "bin:week"}], "aggregates": [{"name": "s", "using": "sum", "of": "v"}, {"name": "n", "using": "count"}]}
-    q = stream_frame(stream, resolve(spec)).writeStream.format("memory").queryName("weeks").outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r["k"], str(r["t"]), r["s"], r["n"]) for r in spark.table("weeks").collect()) == [("a", "2024-01-01", 3.0, 2.0), ("b", "2024-01-08", 4.0, 1.0)]
+def test_stream_equals_batch(spark, tmp_path):
+    rows = [("2024-01-01 10:00:00", "a", "1", "x"), ("2024-01-01 12:00:00", "a", "5", "x"), ("2024-01-08 00:00:00", "b", "4", "x"), (None, "b", "9", "x"), ("2024-01-09 01:00:00", "b", "7", "drop"), ("2024-01-10 01:00:00", "c", "none", "x"), ("2024-02-01 01:00:00", "c", "8", "x")]
+    rows = spark.createDataFrame(rows, "ts string, k string, v string, f string")
+    rows.withColumn("ts", F.to_timestamp("ts")).withColumn("day", F.to_date("ts")).write.parquet(str(tmp_path / "in"))
+    spec = {
+        "time_from": "ts",
+        "keys": [{"name": "k", "from": "k", "prefix": "k_", "aliases": [{"value": "a", "replace_with": "Z"}]}, {"name": "t", "via": "bin:week"}, {"name": "mo", "from": "day", "via": "bin:month"}, {"name": "dow", "from": "day", "via": "day_of_week"}],
+        "aggregates": [{"name": "s", "using": "sum", "of": "v"}, {"name": "m", "using": "mean", "of": "v"}, {"name": "top", "using": "max", "of": "v"}],
+        "derives": [{"name": "wk", "via": "week_of_year"}, {"name": "q", "via": "quarter_of_year", "from": "mo"}],
+        "filters": [{"of": "f", "using": "notEquals", "value": "drop"}, {"of": "v", "using": "greaterThan", "value": 3}],
+    }
+    stream = spark.readStream.schema("ts timestamp, k string, v string, f string, day date").parquet(str(tmp_path / "in"))
+    for key, name in (("week", "weeks"), ("day", "days")):
+        own = spec | {"keys": [k | {"via": f"bin:{key}"} if k["name"] == "t" else k for k in spec["keys"]]}
+        q = stream_frame(stream, own).writeStream.format("memory").queryName(name).outputMode("complete").start()
+        q.processAllAvailable()
+        q.stop()
+        want = build(spark.read.parquet(str(tmp_path / "in")), own).df
+        assert spark.table(name).columns == want.columns
+        got = sorted(map(tuple, spark.table(name).collect()))
+        assert got == sorted(map(tuple, want.collect())) and len(got) == 3
+    for more in ({"order_by": "k"}, {"aggregates": [{"name": "c", "using": "label", "of": "k"}]}, {"keys": [{"name": "t", "via": "bin:month"}]}):
+        with pytest.raises(ValueError, match="not on a stream"):
+            stream_frame(stream, spec | {"derives": []} | more)
+
+
+def test_ranks_without_one_sort_of_all(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abé") for _ in range(rng.randint(0, 9))) for _ in range(300)}, key=lambda w: w.encode())
+    df = spark.createDataFrame([(w,) for w in rng.sample(words, len(words))], "w string").repartition(5)
+    got = {r["w"]: r["at"] for r in positions(df, "w", "at").collect()}
+    assert [got[w] for w in words] == list(range(len(words)))
+    numbers = spark.createDataFrame([(float(k % 37), k % 5) for k in range(500)], "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    before, rows = 0, running_before(numbers, "s", "n", "before").orderBy("s").collect()
+    for r in rows:
+        assert r["before"] == before
+        before += r["n"]
+
+
+def test_heavy_users_and_popular_gaps(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [("heavy", f"i{k}", 1.0 + k % 3) for k in range(23)] + [(f"u{k}", f"i{rng.randrange(30)}", 1.0) for k in range(60)]
+    data = recommend.interactions(spark.createDataFrame(rows, "u string, i string, w double"), "u", "i", "w")
+    want = sorted(map(tuple, recommend.item_similarity(data).collect()))
+    monkeypatch.setattr(recommend, "BLOCK", 4)
+    assert [(a, b, pytest.approx(s)) for a, b, s in want] == sorted(map(tuple, recommend.item_similarity(data).collect()))
+    pop = {r["item"]: r["pop"] for r in recommend.popularity(data).collect()}
+    order = sorted(pop, key=lambda i: (-pop[i], i))
+    seen = {}
+    for r in data.collect():
+        seen.setdefault(r["user"], set()).add(r["item"])
+    users = spark.createDataFrame([(u,) for u in [*seen, "new"]], "user string")
+    got = sorted((r["user"], r["rank"], r["item"], r["score"]) for r in recommend.popular_top(users, data, recommend.popularity(data), 4).collect())
+    assert got == sorted((u, n, i, pop[i]) for u in [*seen, "new"] for n, i in enumerate([i for i in order if i not in seen.get(u, ())][:4], 1))
 
 
 PROFILE = {
