@@ -45,6 +45,13 @@ def index_of(grain: str, start: Column) -> Column:
     return F.floor(months / {"month": 1, "quarter": 3, "year": 12}[grain]).cast("int")
 
 
+def grain_of(label: Column) -> Column:
+    """The grain whose labels look like ``label``; null for other text."""
+    shapes = {"day": r"^\d{4}-\d{2}-\d{2}$", "week": r"^\d{4}-W\d{2}$", "month": r"^\d{4}-\d{2}$", "quarter": r"^\d{4}-Q\d$", "year": r"^\d{4}$"}
+    text = label.cast("string")
+    return F.coalesce(*(F.when(text.rlike(shape), F.lit(grain)) for grain, shape in shapes.items()))
+
+
 def start_of(grain: str, label: Column) -> Column:
     """First day of a bucket from its label."""
     year = F.substring(label, 1, 4).cast("int")

@@ -98,17 +98,17 @@ def roc_auc(df: DataFrame, label: Column, score: str) -> DataFrame:
 
 
 def macro_f1(classes: DataFrame) -> DataFrame:
-    """``macro_f1``: the mean over the classes of ``per_class`` that have rows."""
-    return classes.where("support > 0").agg(F.round(F.avg("f1"), 4).alias("macro_f1"))
+    """``macro_f1``: the mean over all classes of ``per_class``, those only predicted included."""
+    return classes.agg(F.round(F.avg("f1"), 4).alias("macro_f1"))
 
 
-def verdict(lift: float | None, minority_recall: float | None = None) -> str:
-    """A word for how far a classifier beats the most common class; one that never finds the rarest is not trusted."""
+def verdict(lift: float | None, macro: float) -> str:
+    """A word for how far a classifier beats the most common class; ``mixed`` if it finds some class badly."""
     if lift is None:
-        return "not scored"
-    if minority_recall is not None and minority_recall == 0:
-        return "misses the rare class"
-    return "trusted" if lift > 10 else "weak" if lift > 0 else "no better than the most common class"
+        return "no baseline"
+    if lift > 10:
+        return "trusted" if macro > 0.6 else "mixed"
+    return "weak" if lift > 0 else "unpredictable"
 
 
 def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:

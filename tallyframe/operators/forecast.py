@@ -122,32 +122,70 @@ def _origins(n: Column, horizon: int, season: int | None) -> Column:
 
 def backtest(rows: DataFrame, keys: list[str], horizon: int = 1, season: int | None = None) -> DataFrame:
     """Keys, ``origin, step, actual, predicted, naive``; parameters are tuned anew at every origin."""
-    folds = rows.select(*keys, "y", F.explode(_origins(F.size("y"), horizon, season)).alias("origin"))
-    parts = folds.select(*keys, "origin", F.slice("y", 1, F.col("origin")).alias("past"), F.slice("y", F.col("origin") + 1, horizon).alias("actual"))
+    return _predicted(rows, keys, F.explode(_origins(F.size("y"), horizon, season)), F.lit(horizon), season)
+
+
+def holdout(rows: DataFrame, keys: list[str], season: int | None = None, points: int | None = None) -> DataFrame:
+    """As ``backtest``, from one origin: the last ``points`` are predicted from all before them.
+
+    By default a quarter of the series is held out, at most a season (or four points), at least one.
+    A series that keeps fewer than four points for its fit has no rows.
+    """
+    n = F.size("y")
+    held = F.lit(points) if points else F.greatest(F.lit(1), F.least(F.floor(n / 4).cast("int"), F.lit(season or 4)))
+    return _predicted(rows.where(n - held >= LEAST_POINTS), keys, n - held, held, season)
+
+
+def _predicted(rows: DataFrame, keys: list[str], origin: Column, ahead: Column, season: int | None) -> DataFrame:
+    folds = rows.select(*keys, "y", origin.alias("origin"), ahead.alias("ahead"))
+    parts = folds.select(*keys, "origin", F.slice("y", F.lit(1), F.col("origin")).alias("past"), F.slice("y", F.col("origin") + 1, F.col("ahead")).alias("actual"))
     parts = parts.repartition(*keys, "origin") if keys else parts.repartition("origin")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", predicted array<double>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", predicted array<double>, scale double"
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pdf["predicted"] = [fit(np.array(y), season).ahead(horizon).tolist() for y in pdf["past"]]
+            past = [np.array(y) for y in pdf["past"]]
+            fits = [fit(y, season) for y in past]
+            pdf["predicted"] = [f.ahead(len(a)).tolist() for f, a in zip(fits, pdf["actual"], strict=True)]
+            pdf["scale"] = [step_size(y, None if f.season is None else len(f.season)) for f, y in zip(fits, past, strict=True)]
             yield pdf
 
     done = parts.mapInPandas(run, schema)
-    return done.select(*keys, "origin", F.posexplode("actual").alias("i", "actual"), "predicted", F.element_at("past", -1).alias("naive")).select(*keys, "origin", (F.col("i") + 1).alias("step"), "actual", F.get("predicted", F.col("i")).alias("predicted"), "naive")
+    return done.select(*keys, "origin", F.posexplode("actual").alias("i", "actual"), "predicted", F.element_at("past", -1).alias("naive"), "scale").select(*keys, "origin", (F.col("i") + 1).alias("step"), "actual", F.get("predicted", F.col("i")).alias("predicted"), "naive", "scale")
+
+
+def step_size(y: np.ndarray, season: int | None = None) -> float:
+    """The mean size of steps, from season to season where the series is longer than one."""
+    lag = season if season and len(y) > season else 1
+    return float(np.abs(y[lag:] - y[:-lag]).mean()) if len(y) > 1 else 0.0
 
 
 def accuracy(errors: DataFrame, keys: list[str]) -> DataFrame:
-    """MAE, RMSE, skill against the last value carried on, and MAPE where it means something."""
+    """MAE, RMSE, skill against the last value carried on, MASE and, where it means something, MAPE.
+
+    MASE scales by the steps of the longest training part and is null where those are all zero;
+    series scored together share the largest.
+    """
     e, b = F.col("actual") - F.col("predicted"), F.col("actual") - F.col("naive")
     size = F.abs("actual")
-    ordered = F.sort_array(F.collect_list(size))
+    last = F.max(F.struct("origin", "scale"))
     sums = errors.groupBy(*keys).agg(
-        F.count("*").alias("points"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(b * b)).alias("naive_rmse"),
-        F.avg(F.when(size > 0, F.abs(e) / size)).alias("ape"), F.min("actual").alias("low"), F.min(size).alias("least"), F.get(ordered, F.floor(F.count("*") / 2).cast("int")).alias("typical"),
+        F.count("*").alias("points"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(b)).alias("naive_mae"), F.sqrt(F.avg(b * b)).alias("naive_rmse"),
+        F.avg(F.when(size > 0, F.abs(e) / size)).alias("ape"), F.avg(F.when(size > 0, F.abs(b) / size)).alias("naive_ape"), F.min("actual").alias("low"), F.min(size).alias("least"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(actual) DESC)").alias("typical"), last.alias("last"),
     )
     skill = F.when(F.col("naive_rmse") == 0, F.when(F.col("rmse") == 0, 0.0).otherwise(-100.0)).otherwise((1 - F.col("rmse") / F.col("naive_rmse")) * 100)
     usable = (F.col("low") >= 0) & (F.col("typical") > 0) & (F.col("least") >= 0.01 * F.col("typical"))
-    return sums.select(*keys, "points", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), F.round("naive_rmse", 4).alias("naive_rmse"), F.round(skill, 4).alias("skill"), F.when(usable, F.round(F.col("ape") * 100, 4)).alias("mape"))
+    mase = F.when(F.col("last.scale") > 0, F.col("mae") / F.col("last.scale"))
+    return sums.select(*keys, "points", *(F.round(c, 4).alias(c) for c in ("mae", "rmse", "naive_mae", "naive_rmse")), F.round(skill, 4).alias("skill"), F.round(mase, 4).alias("mase"), F.when(usable, F.round(F.col("ape") * 100, 4)).alias("mape"), F.when(usable, F.round(F.col("naive_ape") * 100, 4)).alias("naive_mape"))
+
+
+def evaluate(rows: DataFrame, keys: list[str], horizon: int = 1, season: int | None = None) -> DataFrame:
+    """``accuracy`` with ``method``: rolling origins, or one hold-out for series too short to roll."""
+    rolls = F.size(_origins(F.size("y"), horizon, season)) > 0
+    parts = [("rolling-origin", backtest(rows, keys, horizon, season)), ("holdout", holdout(rows.where(~rolls), keys, season))]
+    done = [accuracy(errors, keys).withColumn("method", F.lit(method)) for method, errors in parts]
+    return done[0].unionByName(done[1]).where("points > 0")
 
 
 def clock_holes(df: DataFrame, keys: list[str], start: str, grain: str) -> DataFrame:

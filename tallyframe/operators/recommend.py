@@ -144,10 +144,26 @@ def evaluate(data: DataFrame, k: int = 5, holdout: float = 0.3, folds: int = 1)
     return out
 
 
-def verdict(lift: float | None, spread: tuple[float, float] | None = None) -> str:
-    """A word for how far the recommender beats popularity; a spread across zero is never trusted."""
+def summary(evaluated: DataFrame) -> DataFrame:
+    """One row from the folds of ``evaluate``: averages of what was measured, and the spread of the lift."""
+    means = [c for c in evaluated.columns if c != "fold"]
+    return evaluated.agg(F.count("*").alias("folds"), *(F.round(F.avg(c), 4).alias(c) for c in means), F.min("lift").alias("lift_min"), F.max("lift").alias("lift_max")).where("folds > 0")
+
+
+def deliverable(recs: DataFrame, user: str, item: str) -> DataFrame:
+    """``recommend``'s rows under the caller's names, marked as recommendations."""
+    return recs.select(F.col("user").alias(user), F.col("item").alias(item), "rank", "score", F.lit("yes").alias("is_recommendation"))
+
+
+def verdict(lift: float | None, spread: tuple[float, float] | None = None, precision: float | None = None) -> str:
+    """A word for how far the recommender beats popularity; a spread across zero is never trusted.
+
+    ``lift`` is null where popularity found nothing; a ``precision`` of 0 means that nobody took anything.
+    """
+    if precision == 0:
+        return "unpredictable"
     if lift is None:
-        return "not scored"
+        return "not scored" if precision is None else "no baseline"
     if spread and spread[0] < 0 < spread[1]:
         return "unproven"
-    return "trusted" if lift > 20 else "weak" if lift > 0 else "no better than popularity"
+    return "trusted" if lift > 20 else "weak" if lift > 0 else "tied" if lift == 0 else "unpredictable"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import coerce
-from tallyframe.plans.catalogs import FUNCTIONS, TASKS, check_task, known
+from tallyframe.plans.catalogs import DERIVES, FUNCTIONS, TASKS, check_task, known
 
 
 def _pointed(task: dict, pointer: str | None) -> list[str]:
@@ -19,13 +19,63 @@ def _pointed(task: dict, pointer: str | None) -> list[str]:
     return [value] if isinstance(value, str) else list(value or [])
 
 
+PARTS = ("clock", "keys", "target", "signal", "label", "covariates")
+
+
+def _key_names(keys: list) -> list[str]:
+    """Keys by name, or by the column or derive they come from; a bucket of time is the clock and no key."""
+    named = [k if isinstance(k, str) else "" if DERIVES.get(k.get("via")) == "bucket" else k.get("from") or k.get("via") or "" for k in keys]
+    return [k.strip() for k in named if k.strip()]
+
+
+def lift_task(profile: dict) -> tuple[dict, bool]:
+    """The task of a profile, and whether some of it was read from the older flat shape.
+
+    There, ``kind`` (forecast if none), ``time`` and ``keys`` (or one ``x-deep`` series) stand at the
+    top and every metric has the role of a target or feature. What a task says itself comes first.
+    """
+    own = profile.get("task")
+    if own is None:
+        own = {}
+    if not isinstance(own, dict):
+        raise ValueError("profile: task must be an object")
+    if unknown := set(own) - {"kind", *PARTS}:
+        raise ValueError(f"task: does not know {', '.join(sorted(unknown))}")
+    kind = str(own.get("kind") or profile.get("kind") or "forecast").strip().lower()
+    kind = {"anomaly": "detect_anomaly"}.get(kind, kind)
+    task, pointer = {"kind": kind}, TASKS[known(TASKS, kind, "task kind")][4] or "target"
+    said = {k: own[k] for k in PARTS if own.get(k) not in (None, "", [], {})}
+    clock = said.get("clock") or profile.get("time")
+    if clock:
+        if not isinstance(clock, dict) or not clock.get("event"):
+            raise ValueError("task: the clock needs an event")
+        task["clock"] = clock
+    series = (profile.get("x-deep") or profile.get("x_deep") or {}).get("series")
+    keys = _key_names(said.get("keys") or profile.get("keys") or ([series] if series else []))
+    if keys:
+        task["keys"] = keys
+    lifted = bool(clock) and "clock" not in said
+    if pointed := {k: v for k, v in said.items() if k not in ("clock", "keys")}:
+        return task | pointed, lifted
+    if kind == "cluster" and "task" in profile:
+        return task, lifted
+    roles: dict[str, list] = {"target": [], "feature": []}
+    for m in profile.get("metrics") or []:
+        roles[known(tuple(roles), str(m.get("role") or "").strip().lower(), f"metric {m.get('name')}: role")].append(m)
+    if roles["target"]:
+        task[pointer] = [m["name"] for m in roles["target"]]
+    if roles["feature"]:
+        task["covariates"] = [{"metric": m["name"], "availability": m.get("availability") or "past_only"} for m in roles["feature"]]
+    return task, True
+
+
 def compile_profile(profile: dict, binding: dict, naming: str = "v1") -> tuple[dict, dict]:
     """``spec, run configuration``. Every logical name must be bound.
 
     ``v1`` names a single key ``series_id`` (several ``k_<dimension>``), the clock ``t``, a single
     target ``y`` and other columns ``x_<metric>``; ``logical`` keeps the profile's names.
     """
-    task = check_task(profile.get("task") or {})
+    task = check_task(lift_task(profile)[0])
     pointer = TASKS[task["kind"]][4]
     bind = binding.get("bind") or {}
     metrics = profile.get("metrics") or []
@@ -39,7 +89,7 @@ def compile_profile(profile: dict, binding: dict, naming: str = "v1") -> tuple[d
             raise ValueError(f"{what}: '{logical}' is not bound to a column")
         return bind[logical]
 
-    dimensions = {d["name"] for d in profile.get("dimensions") or []}
+    dimensions = {d if isinstance(d, str) else d["name"] for d in profile.get("dimensions") or []}
     keys, clock = [], task.get("clock")
     series = list(task.get("keys") or [])
     for k in series:

@@ -374,6 +374,28 @@ def ets_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return forecast.accuracy(forecast.backtest(_series(spark, d), ["priority"], horizon=2, season=12), ["priority"])
 
 
+_HELD_OUT = """
+WITH RECURSIVE m AS (SELECT o_orderpriority AS priority, date_trunc('month', o_orderdate) AS t, sum(o_totalprice) AS y FROM orders GROUP BY ALL),
+p AS (SELECT priority, CAST(round(y, 2) AS DOUBLE) AS y, row_number() OVER (PARTITION BY priority ORDER BY t) AS i, count(*) OVER (PARTITION BY priority) AS n FROM m),
+h AS (SELECT *, n - greatest(1, least(n // 4, 4)) AS origin FROM p),
+g AS (SELECT a.a / 10.0::DOUBLE AS a, b.b / 10.0::DOUBLE AS b FROM range(1, 10) a(a), (SELECT unnest([NULL, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS b) b),
+f AS (
+  SELECT x.priority, a, b, 0::BIGINT AS i, x.y AS level, CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE z.y - x.y END AS trend, 0.0::DOUBLE AS sse FROM h x JOIN h z USING (priority), g WHERE x.i = 1 AND z.i = 2 AND x.origin >= 4
+  UNION ALL
+  SELECT f.priority, a, b, h.i, a * h.y + (1 - a) * (level + trend), CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE b * (a * h.y + (1 - a) * (level + trend) - level) + (1 - b) * trend END, sse + (h.y - level - trend) * (h.y - level - trend) FROM f JOIN h ON f.priority = h.priority AND h.i = f.i + 1 AND h.i <= h.origin
+),
+best AS (SELECT f.priority, arg_min(level, sse) AS level, arg_min(trend, sse) AS trend FROM f JOIN h ON f.priority = h.priority AND f.i = h.i AND h.i = h.origin GROUP BY 1)
+SELECT h.priority, CAST(h.origin AS INTEGER) AS origin, CAST(h.i - h.origin AS INTEGER) AS step, round(h.y, 2) AS actual, round(level + (h.i - h.origin) * trend, 2) AS predicted, round(l.y, 2) AS naive
+FROM h JOIN best USING (priority) JOIN h l ON l.priority = h.priority AND l.i = h.origin WHERE h.i > h.origin
+"""
+
+
+@query("ets_holdout", _HELD_OUT)
+def ets_holdout(spark: SparkSession, d: str) -> DataFrame:
+    rows = _series(spark, d).withColumn("y", F.transform("y", lambda v: F.round(v, 2)))
+    return forecast.holdout(rows, ["priority"]).select("priority", "origin", "step", *(F.round(c, 2).alias(c) for c in ("actual", "predicted", "naive")))
+
+
 # --- classification ------------------------------------------------------------------------------
 
 
@@ -402,6 +424,11 @@ def classify_per_class(spark: SparkSession, d: str) -> DataFrame:
     return classify.per_class(_flagged(spark, d), "label", "pred")
 
 
+@query("classify_macro_f1", f"WITH {_FLAGGED}, c AS (SELECT DISTINCT unnest([label, pred]) AS class FROM x), m AS (SELECT class, count(*) FILTER (label = class) AS support, count(*) FILTER (pred = class) AS predicted, count(*) FILTER (label = class AND pred = class) AS hit FROM c, x GROUP BY 1) SELECT round(avg(round(CASE WHEN hit > 0 THEN 2 * hit / (support + predicted) ELSE 0.0 END, 4)), 4) AS macro_f1 FROM m")
+def classify_macro_f1(spark: SparkSession, d: str) -> DataFrame:
+    return classify.macro_f1(classify.per_class(_flagged(spark, d), "label", "pred"))
+
+
 @query("classify_auc", f"WITH {_FLAGGED}, r AS (SELECT label, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS rank FROM x) SELECT round((sum(rank) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 4) AS auc FROM r")
 def classify_auc(spark: SparkSession, d: str) -> DataFrame:
     return classify.roc_auc(_flagged(spark, d), F.col("label") == 1, "n_chars")
