@@ -22,6 +22,8 @@ candidates nothing is fitted; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -43,15 +45,15 @@ STRICT = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser forms: what a text must hold for them, and the pattern.
+#: Looser forms: what a text must hold for them (a pattern, or one of several strings), and the pattern.
 LOOSE = (
-    ("email", r"(?i)[\[(]at[\])]| at ", r"(?i)[a-z0-9._%+-]++(?:[\x20]?[\[(]at[\])][\x20]?|[\x20]at[\x20])[a-z0-9-]++(?:[\x20]?[\[(]dot[\])][\x20]?[a-z0-9-]++|[\x20]dot[\x20][a-z0-9-]++|\.[a-z0-9-]++)++"),
+    ("email", r"(?i)(?:[\[(]at[\])][\x20]?|[\x20]at[\x20])[a-z0-9-]++(?:[\x20]?[\[(]dot[\])][\x20]?|[\x20]dot[\x20]|\.)[a-z0-9-]", r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++(?:[\x20]?[\[(]at[\])][\x20]?|[\x20]at[\x20])[a-z0-9-]++(?:[\x20]?[\[(]dot[\])][\x20]?[a-z0-9-]++|[\x20]dot[\x20][a-z0-9-]++|\.[a-z0-9-]++)++"),
     ("ip", r"[0-9](?:\[\.\]|\(\.\)| \. )", r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|[\x20]\.[\x20])[0-9]{1,3}){3}(?![0-9.])"),
     ("card", r"[0-9]{4}[._/][0-9]{4}", r"(?<![0-9._/-])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9._/-])"),
     ("phone", r"[0-9]", r"(?<![0-9+.-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
     ("phone", r"00[0-9]", r"(?<![0-9+.-])00[1-9][0-9]{0,2}(?:[\x20.-][0-9]{2,5}){2,4}(?![0-9.-])"),
     ("secret", r"[0-9a-fA-F]{32}", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
-    ("secret", r"(?i)(?:AKIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ)", r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk[-_][0-9A-Za-z_-]{20,}|xox[abp]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]+)(?![0-9A-Za-z])"),
+    ("secret", ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xoxa-", "xoxb-", "xoxp-", "eyJ"), r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk[-_][0-9A-Za-z_-]{20,}|xox[abp]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]+)(?![0-9A-Za-z])"),
 )
 # The gazetteer's tables.
 MAIL_ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "dev", "app", "me", "ai", "eu", "uk", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pl", "pt", "se", "no", "dk", "fi", "ie", "cz", "gr", "hu", "ro", "ru", "ua", "tr", "us", "ca", "mx", "br", "ar", "cl", "au", "nz", "jp", "kr", "cn", "in", "za")
@@ -96,25 +98,25 @@ def _running(arrays: Column, combine: Callable[[Column, Column], Column]) -> Col
     return F.transform(starts, lambda s: F.flatten(F.transform(s["blocks"], lambda b, g: F.transform(so_far(b), lambda x: combine(F.get(s["starts"], g), x)))))
 
 
-def _proposed(text: Column) -> Column:
+def _patterns() -> list[tuple[str, str, bool, Callable[[Column], Column]]]:
+    """Kind, pattern, whether it is strict, and what a text must hold for it."""
+    digit, holds = (lambda text: text.rlike("[0-9]")), (lambda *parts: lambda text: reduce(or_, (F.contains(text, F.lit(p)) for p in parts)))
+    strict = [(kind, STRICT[kind], True, needs) for kind, needs in (("email", holds("@")), ("ip", digit), ("card", digit), ("phone", holds("+")))]
+    return strict + [(kind, pattern, False, holds(*needs) if isinstance(needs, tuple) else lambda text, needs=needs: text.rlike(needs)) for kind, needs, pattern in LOOSE]
+
+
+def _hits(text: Column) -> Column:
+    """For each pattern, its matches."""
+    return F.array(*(F.when(needs(text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")) for _, pattern, _, needs in _patterns()))
+
+
+def _proposed(text: Column, hits: Column) -> Column:
     """For each pattern with matches: the matches and the gaps around them."""
-    digit = text.rlike("[0-9]")
-    patterns = [
-        ("email", F.contains(text, F.lit("@")), STRICT["email"], True),
-        ("ip", digit, STRICT["ip"], True),
-        ("card", digit, STRICT["card"], True),
-        ("phone", F.contains(text, F.lit("+")), STRICT["phone"], True),
-        *((kind, text.rlike(needs), pattern, False) for kind, needs, pattern in LOOSE),
-    ]
-    none = F.array().cast("array<string>")
     rows = [
-        F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"),
-            F.when(needs, F.split(text, pattern, -1)).otherwise(none).alias("gaps"), F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias("hits"),
-        )
-        for kind, needs, pattern, base in patterns
+        F.when(F.size(hits[i]) > 0, F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"), F.split(text, pattern, -1).alias("gaps"), hits[i].alias("hits")))
+        for i, (kind, pattern, base, _) in enumerate(_patterns())
     ]
-    return F.filter(F.array(*rows), lambda p: F.size(p["hits"]) > 0)
+    return F.filter(F.array(*rows), lambda p: p.isNotNull())
 
 
 def _located(proposed: Column) -> Column:
@@ -309,10 +311,10 @@ def _accepted(column: str, weights: dict[str, float]) -> Column:
 def _with_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
     """``docs`` with the accepted spans of a text column."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    proposed, found, reach, apart = free_names(docs, "proposed", "found", "reach", "apart")
-    rows = docs.withColumn(proposed, _proposed(body)).withColumn(found, _located(F.col(proposed)))
+    hits, proposed, found, reach, apart = free_names(docs, "hits", "proposed", "found", "reach", "apart")
+    rows = docs.withColumn(hits, _hits(body)).withColumn(proposed, _proposed(body, F.col(hits))).withColumn(found, _located(F.col(proposed)))
     rows = rows.withColumn(reach, _reach(F.col(found))).withColumn(apart, _apart(F.col(found), F.col(reach)))
-    described = materialise(rows.withColumn(out, _described(F.col(apart))).drop(proposed, found, reach, apart), "spans")
+    described = materialise(rows.withColumn(out, _described(F.col(apart))).drop(hits, proposed, found, reach, apart), "spans")
     return described.withColumn(out, _accepted(out, _fitted(described, out)))
 
 
@@ -320,7 +322,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` of each row; a span has ``kind`` (its number in KINDS), ``start, end, strict``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     body = F.coalesce("text", F.lit(""))
-    rows = rows.select("doc_id", _proposed(body).alias("proposed")).select("doc_id", _located(F.col("proposed")).alias("found"))
+    rows = rows.select("doc_id", "text", _hits(body).alias("hits")).select("doc_id", _proposed(body, F.col("hits")).alias("proposed")).select("doc_id", _located(F.col("proposed")).alias("found"))
     rows = rows.select("doc_id", "found", _reach(F.col("found")).alias("reach")).select("doc_id", _apart(F.col("found"), F.col("reach")).alias("apart"))
     described = materialise(rows.select("doc_id", _described(F.col("apart")).alias("spans")), "spans")
     return described.withColumn("spans", _accepted("spans", _fitted(described, "spans")))
