@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tallyframe.functions import coerce
 from tallyframe.operators.ordering import with_ranges
@@ -119,14 +120,17 @@ def ranking_metrics(recs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
 
 def evaluate(data: DataFrame, k: int = 5, holdout: float = 0.3, folds: int = 1) -> DataFrame:
-    """A row for each fold: ranking metrics of the recommender and of popularity, lift and coverage."""
-    rows = []
+    """A row for each fold: ranking metrics of the recommender and of popularity, lift and coverage.
+
+    What several plans read (splits, similarities, popularity, lists) is computed once and kept on memory or disk.
+    """
+    rows, once = [], lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
     for fold in range(folds):
-        parts = split(data, holdout, str(fold) if folds > 1 else "")
+        parts = once(split(data, holdout, str(fold) if folds > 1 else ""))
         train, held = parts.where("not held").drop("held"), parts.where("held").drop("held")
-        users, pop = held.select("user").distinct(), popularity(train)
-        recs = recommend(train, item_similarity(train), pop, k, users)
-        base = popular_top(users, train.join(users, "user", "left_semi"), pop, k)
+        users, pop = once(held.select("user").distinct()), once(popularity(train))
+        recs = once(recommend(train, once(item_similarity(train)), pop, k, users))
+        base = once(popular_top(users, train.join(users, "user", "left_semi"), pop, k))
         parts = [
             ranking_metrics(recs, held, k),
             ranking_metrics(base, held, k).toDF("popular_precision", "popular_recall", "popular_map", "n"),
