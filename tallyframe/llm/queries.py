@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import embed_dedup, langid, media, mixing, ngram_join, orc_tokens, pieces, pii, quality, toxicity
+from tallyframe.llm import conversation_repair, embed_dedup, langid, licenses, media, merkle, mixing, ngram_join, orc_tokens, pieces, pii, quality, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(_docs(spark, sf_dir)))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checks_out(_docs(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(*conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pieces": op2_pieces,
@@ -76,6 +88,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_embed_dedup": op10_embed_dedup,
+    "op11_licenses": op11_licenses,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.plan_sql()}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.plan_sql(),
+    "op11_licenses": licenses.digests_sql(),
+    "op12_merkle_manifest": merkle.checks_sql(),
+    "op13_conversation_repair": conversation_repair.report_sql(),
+}
