@@ -168,7 +168,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
 
     ``path`` lists the digests left and right of one's own in each run, from the leaf to the root.
     """
-    trees = forest(numbered(leaves(docs, tampered), ["doc_id", "hash"], "merkle-leaves"), "merkle-nodes")
+    hashed = materialise(leaves(docs, tampered), "merkle-hashed")  # texts are read once, whatever ranges need
+    trees = forest(numbered(hashed, ["doc_id", "hash"], "merkle-leaves"), "merkle-nodes")
     roots = trees.tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("hash"))
     whole = forest(numbered(roots, ["name"], "merkle-languages"), "merkle-roots")
     crown = whole.tops.select("tree", F.array().cast(_PATH).alias("path"), F.col("hash").alias("root"))
