@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tallyframe.functions import coerce
-from tallyframe.operators.ordering import with_ranges
+from tallyframe.operators.ordering import positions
 
 
 def interactions(df: DataFrame, user: str, item: str, weight: str | None = None) -> DataFrame:
@@ -72,8 +72,7 @@ def popular_top(users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> Da
     Items are ranked once. Between two items that a user has seen, all ranks are new to the user, so
     the first ``k`` new ranks come from the gaps between the user's own, in order.
     """
-    ranked = pop.select(F.struct((-F.col("pop")).alias("p"), "item").alias("at"), "item", "pop")
-    ranked = positions_by(ranked).select("item", "pop", "place")
+    ranked = positions(pop.select((-F.col("pop")).alias("p"), "item", "pop"), ["p", "item"], "place").drop("p")
     known = ranked.count()
     own = seen.select("user", "item").distinct().join(ranked.select("item", "place"), "item").select("user", "place")
     marks = users.select("user", F.explode(F.array(F.lit(-1).cast("long"), F.lit(known).cast("long"))).alias("place")).unionByName(own.join(users, "user", "left_semi"))
@@ -86,18 +85,6 @@ def popular_top(users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> Da
     return chosen.join(ranked, "place").select("user", "item", "rank", F.round(F.col("pop").cast("double"), 6).alias("score"))
 
 
-def positions_by(ranked: DataFrame) -> DataFrame:
-    """``ranked`` with ``place``: 0 for the most popular item, items of equal popularity by name."""
-    ranged = with_ranges(ranked.withColumn("__p", F.col("at.p")), "__p", "__range")
-    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
-    start, before = [], 0
-    for k in sorted(sizes):
-        start += [F.lit(k), F.lit(before)]
-        before += sizes[k]
-    offset = F.create_map(*start)[F.col("__range")] if start else F.lit(0)
-    return ranged.withColumn("place", (offset + F.row_number().over(Window.partitionBy("__range").orderBy("at")) - 1).cast("long")).drop("__p", "__range")
-
-
 def recommend(history: DataFrame, sim: DataFrame, pop: DataFrame, k: int = 5, users: DataFrame | None = None) -> DataFrame:
     """``user, item, rank, score`` from similar items, popular ones for users without a score."""
     users = history.select("user").distinct() if users is None else users

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +9,9 @@ from pyspark.sql import functions as F
 from tallyframe.functions import dates
 from tallyframe.operators import classify, forecast, recommend
 from tallyframe.operators.frame import Frame, build
+from tallyframe.registry import query
 from tallyframe.sources import dialects, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return tables.read_parquet(spark, d, name)
 
@@ -302,48 +287,48 @@ def series_count(spark: SparkSession, d: str) -> DataFrame:
 
 # --- recommendation ------------------------------------------------------------------------------
 
-_PAIRS = f"d AS (SELECT CAST(o_custkey AS VARCHAR) AS \"user\", p_brand AS item, sum(l_quantity) AS w FROM {_SALES} GROUP BY ALL)"
+PAIRS = f"d AS (SELECT CAST(o_custkey AS VARCHAR) AS \"user\", p_brand AS item, sum(l_quantity) AS w FROM {_SALES} GROUP BY ALL)"
 _SIM = "n AS (SELECT item, sqrt(sum(w * w)) AS norm FROM {t} GROUP BY 1), dots AS (SELECT a.item, b.item AS other, sum(a.w * b.w) AS dot FROM {t} a JOIN {t} b ON a.\"user\" = b.\"user\" AND a.item <> b.item GROUP BY ALL), sim AS (SELECT dots.item, other, dot / (n.norm * m.norm) AS sim FROM dots JOIN n ON dots.item = n.item JOIN n m ON dots.other = m.item)"
-_SPLIT = "s AS (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY substr(md5(chr(0) || \"user\" || chr(0) || item), 1, 16)) > count(*) OVER (PARTITION BY \"user\") - CASE WHEN count(*) OVER (PARTITION BY \"user\") < 2 THEN 0 ELSE least(count(*) OVER (PARTITION BY \"user\") - 1, greatest(1, round_even(count(*) OVER (PARTITION BY \"user\") * 0.3, 0))) END AS held FROM d)"
+SPLIT = "s AS (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY substr(md5(chr(0) || \"user\" || chr(0) || item), 1, 16)) > count(*) OVER (PARTITION BY \"user\") - CASE WHEN count(*) OVER (PARTITION BY \"user\") < 2 THEN 0 ELSE least(count(*) OVER (PARTITION BY \"user\") - 1, greatest(1, round_even(count(*) OVER (PARTITION BY \"user\") * 0.3, 0))) END AS held FROM d)"
 
 
-def _bought(spark: SparkSession, d: str) -> DataFrame:
+def bought(spark: SparkSession, d: str) -> DataFrame:
     return recommend.interactions(_sales(spark, d), "o_custkey", "p_brand", "l_quantity").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-@query("rec_similarity", f"WITH {_PAIRS}, {_SIM.format(t='d')} SELECT item, other, round(sim, 6) AS sim FROM sim")
+@query("rec_similarity", f"WITH {PAIRS}, {_SIM.format(t='d')} SELECT item, other, round(sim, 6) AS sim FROM sim")
 def rec_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.item_similarity(_bought(spark, d)).select("item", "other", F.round("sim", 6).alias("sim"))
+    return recommend.item_similarity(bought(spark, d)).select("item", "other", F.round("sim", 6).alias("sim"))
 
 
-@query("rec_popularity", f"WITH {_PAIRS} SELECT item, sum(w) AS pop FROM d GROUP BY 1")
+@query("rec_popularity", f"WITH {PAIRS} SELECT item, sum(w) AS pop FROM d GROUP BY 1")
 def rec_popularity(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.popularity(_bought(spark, d))
+    return recommend.popularity(bought(spark, d))
 
 
-@query("rec_split", f"WITH {_PAIRS}, {_SPLIT} SELECT \"user\", item, w, held FROM s")
+@query("rec_split", f"WITH {PAIRS}, {SPLIT} SELECT \"user\", item, w, held FROM s")
 def rec_split(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.split(_bought(spark, d))
+    return recommend.split(bought(spark, d))
 
 
-_TOP = "r AS (SELECT \"user\", item, score, row_number() OVER (PARTITION BY \"user\" ORDER BY round(score, 9) DESC, item) AS rank FROM {scored})"
+TOP = "r AS (SELECT \"user\", item, score, row_number() OVER (PARTITION BY \"user\" ORDER BY round(score, 9) DESC, item) AS rank FROM {scored})"
 
 
 @query(
     "rec_topk",
-    f"WITH {_PAIRS}, {_SIM.format(t='d')}, f AS (SELECT d.\"user\", other AS item, sum(sim * w) AS score FROM d JOIN sim ON d.item = sim.item WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = d.\"user\" AND x.item = other) GROUP BY ALL), p AS (SELECT item, sum(w) AS pop FROM d GROUP BY 1), cold AS (SELECT DISTINCT \"user\" FROM d WHERE \"user\" NOT IN (SELECT \"user\" FROM f)), a AS (SELECT * FROM f UNION ALL SELECT c.\"user\", p.item, p.pop FROM cold c, p WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = c.\"user\" AND x.item = p.item)), {_TOP.format(scored='a')} SELECT \"user\", item, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5",
+    f"WITH {PAIRS}, {_SIM.format(t='d')}, f AS (SELECT d.\"user\", other AS item, sum(sim * w) AS score FROM d JOIN sim ON d.item = sim.item WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = d.\"user\" AND x.item = other) GROUP BY ALL), p AS (SELECT item, sum(w) AS pop FROM d GROUP BY 1), cold AS (SELECT DISTINCT \"user\" FROM d WHERE \"user\" NOT IN (SELECT \"user\" FROM f)), a AS (SELECT * FROM f UNION ALL SELECT c.\"user\", p.item, p.pop FROM cold c, p WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = c.\"user\" AND x.item = p.item)), {TOP.format(scored='a')} SELECT \"user\", item, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5",
 )
 def rec_topk(spark: SparkSession, d: str) -> DataFrame:
-    data = _bought(spark, d)
+    data = bought(spark, d)
     return recommend.recommend(data, recommend.item_similarity(data), recommend.popularity(data), 5)
 
 
 @query(
     "rec_popular_topk",
-    f"WITH {_PAIRS}, p AS (SELECT item, sum(w) AS score FROM d GROUP BY 1), a AS (SELECT u.\"user\", p.item, p.score FROM (SELECT DISTINCT \"user\" FROM d) u, p WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = u.\"user\" AND x.item = p.item)), {_TOP.format(scored='a')} SELECT \"user\", item, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 5",
+    f"WITH {PAIRS}, p AS (SELECT item, sum(w) AS score FROM d GROUP BY 1), a AS (SELECT u.\"user\", p.item, p.score FROM (SELECT DISTINCT \"user\" FROM d) u, p WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.\"user\" = u.\"user\" AND x.item = p.item)), {TOP.format(scored='a')} SELECT \"user\", item, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 5",
 )
 def rec_popular_topk(spark: SparkSession, d: str) -> DataFrame:
-    data = _bought(spark, d)
+    data = bought(spark, d)
     return recommend.popular_top(data.select("user").distinct(), data, recommend.popularity(data), 5)
 
 
@@ -356,13 +341,13 @@ def _measured(recs: str) -> str:
 
 
 def _fold_sql(fold: int) -> str:
-    held = _SPLIT.replace("md5(chr(0)", f"md5('{fold}' || chr(0)")
+    held = SPLIT.replace("md5(chr(0)", f"md5('{fold}' || chr(0)")
     parts = [
-        _PAIRS, held, "t AS (SELECT \"user\", item, w FROM s WHERE NOT held)", "h AS (SELECT \"user\", item FROM s WHERE held)", "u AS (SELECT DISTINCT \"user\" FROM h)", _SIM.format(t="t"),
+        PAIRS, held, "t AS (SELECT \"user\", item, w FROM s WHERE NOT held)", "h AS (SELECT \"user\", item FROM s WHERE held)", "u AS (SELECT DISTINCT \"user\" FROM h)", _SIM.format(t="t"),
         "f AS (SELECT t.\"user\", other AS item, sum(sim * w) AS score FROM t JOIN u ON u.\"user\" = t.\"user\" JOIN sim ON t.item = sim.item WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.\"user\" = t.\"user\" AND x.item = other) GROUP BY ALL)",
         "p AS (SELECT item, sum(w) AS pop FROM t GROUP BY 1)",
         "o AS (SELECT u.\"user\", p.item, p.pop AS score FROM u, p WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.\"user\" = u.\"user\" AND x.item = p.item))",
-        "a AS (SELECT * FROM f UNION ALL SELECT * FROM o WHERE \"user\" NOT IN (SELECT \"user\" FROM f))", _TOP.format(scored="a"), _TOP.format(scored="o").replace("r AS", "b AS", 1),
+        "a AS (SELECT * FROM f UNION ALL SELECT * FROM o WHERE \"user\" NOT IN (SELECT \"user\" FROM f))", TOP.format(scored="a"), TOP.format(scored="o").replace("r AS", "b AS", 1),
         f"m AS ({_measured('r')})", f"q AS ({_measured('b')})", "c AS (SELECT count(DISTINCT item) AS covered FROM r WHERE rank <= 5)", "k AS (SELECT count(*) AS items_known FROM p)",
     ]
     lift = "CASE WHEN q.precision > 0 THEN round((m.precision / q.precision - 1) * 100, 2) WHEN m.precision > 0 THEN 100.0 END AS lift"
@@ -371,7 +356,7 @@ def _fold_sql(fold: int) -> str:
 
 @query("rec_evaluate", f"{_fold_sql(0)} UNION ALL {_fold_sql(1)}")
 def rec_evaluate(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.evaluate(_bought(spark, d), k=5, folds=2)
+    return recommend.evaluate(bought(spark, d), k=5, folds=2)
 
 
 # --- forecasting ---------------------------------------------------------------------------------

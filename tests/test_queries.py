@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from tallyframe import queries
+from tallyframe import estimator_queries as estimator_queries
+from tallyframe import queries as queries
+from tallyframe import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,9 +32,9 @@ def plain(df):
     return df[names].sort_values(names).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, con, name):
-    got, want = plain(queries.QUERIES[name](spark, DATA).toPandas()), plain(con.execute(queries.ORACLES[name]).df())
+    got, want = plain(registry.QUERIES[name](spark, DATA).toPandas()), plain(con.execute(registry.ORACLES[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
     for c in got.columns:
         same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
@@ -43,5 +45,5 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_registry(spark):
     known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(sql) <= set(known) and set(queries.QUERIES) <= set(known)
+    assert set(sql) <= set(known) and set(registry.QUERIES) <= set(known)
     assert __spark_entry__.entry(spark).columns == ["brand", "period", "revenue"]
