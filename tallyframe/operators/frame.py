@@ -8,6 +8,7 @@ that lack a key are aggregated by the keys they have and joined to the others' r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -15,28 +16,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import coerce, dates
-from tallyframe.operators.filters import predicate
+from tallyframe.functions.scratch import free_names
+from tallyframe.operators.filters import predicate, pushed
 from tallyframe.operators.ordering import positions
 from tallyframe.plans.spec import Key, Measure, Spec, resolve
 
 _SRC, _ORD, _EVENT, _ARRIVAL, _FORWARD, _DROP = "__src", "__ord", "__event", "__arrival", "__forward", "__drop"
 
 
-def tag_sources(sources: dict[str, DataFrame]) -> DataFrame:
-    """Tables by source id as one table with the id in ``__src``."""
-    tagged = [df.withColumn(_SRC, F.lit(name)) for name, df in sources.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+def tag_sources(sources: dict[str, DataFrame]) -> tuple[DataFrame, str]:
+    """Tables by source id as one table, and the name of the column that holds the id: one that no table has."""
+    taken = reduce(lambda a, b: a + [c for c in b.columns if c not in a], sources.values(), [])
+    tag = "source"
+    while tag.lower() in {c.lower() for c in taken}:
+        tag += "_"
+    tagged = [df.withColumn(tag, F.lit(name)) for name, df in sources.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), tag
 
 
-def _key_column(rows: DataFrame, key: Key) -> Column:
+def _key_column(rows: DataFrame, key: Key, event: str, place: str) -> Column:
     """The value that rows are grouped by: a bucket's first day, a number, or text."""
     if key.returns == "bucket":
-        d = F.col(_EVENT) if key.spine else coerce.day(coerce.cell(rows, key.column), coerce.kind_of(rows, key.column))
+        d = F.col(event) if key.spine else coerce.day(coerce.cell(rows, key.column), coerce.kind_of(rows, key.column))
         return dates.bucket_start(key.grain, d)
     if key.returns == "scalar":
         return dates.SCALARS[key.via](coerce.day(coerce.cell(rows, key.column), coerce.kind_of(rows, key.column)))
     if key.returns == "position":
-        return F.concat(F.lit(key.prefix), F.lit("r"), F.when(F.col(_ORD) < 1_000_000, F.lpad(F.col(_ORD).cast("string"), 6, "0")).otherwise(F.col(_ORD).cast("string")))
+        return F.concat(F.lit(key.prefix), F.lit("r"), F.when(F.col(place) < 1_000_000, F.lpad(F.col(place).cast("string"), 6, "0")).otherwise(F.col(place).cast("string")))
     value = coerce.text(coerce.cell(rows, key.column))
     if key.aliases:
         pairs = F.create_map(*(F.lit(x) for pair in dict(key.aliases).items() for x in pair))
@@ -64,10 +70,14 @@ class Frame:
 
     spec: Spec
     df: DataFrame
-    _rows: DataFrame
+    _everything: Callable[[], DataFrame]
     _unmatched: DataFrame | None
     _classes: dict[str, DataFrame]
 
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return self._everything()
+
     def sorted(self) -> DataFrame:
         """Rows in key order. Bucket labels sort as their days do."""
         return self.df.orderBy(*(k.name for k in self.spec.keys))
@@ -111,11 +121,29 @@ class Frame:
         return out
 
 
-def _prepared(rows: DataFrame, s: Spec, also: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with reasons for dropping, clocks, keys and measure inputs, and columns kept as they are."""
+def _pruned(table: DataFrame, s: Spec, source: str) -> DataFrame:
+    """A source's own table without the rows that its filters drop, as far as its scan can tell.
+
+    Positions count rows before filters, so a spec that has them reads all rows.
+    """
+    if any(k.returns == "position" for k in s.keys):
+        return table
+    for f in s.filters:
+        if f.source == source and not f.applied_upstream and f.column in table.columns:
+            holds = pushed(coerce.cell(table, f.column), coerce.kind_of(table, f.column), f.operator, f.value)
+            table = table if holds is None else table.where(holds)
+    return table
+
+
+def _prepared(rows: DataFrame, s: Spec, tag: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with reasons for dropping, clocks, keys and measure inputs; columns of ``also`` as ``__also0`` and on.
+
+    What is computed beside the rows' own columns has names that these don't have.
+    """
+    place, passes_name, event, arrival = free_names(rows, "place", "passes", "event", "arrival")
     if s.order_by:
-        rows = positions(rows, s.order_by, _ORD) if any(k.returns == "position" for k in s.keys) else rows.withColumn(_ORD, F.col(f"`{s.order_by}`"))
-    src = F.col(_SRC)
+        rows = positions(rows, s.order_by, place) if any(k.returns == "position" for k in s.keys) else rows.withColumn(place, F.col(f"`{s.order_by}`"))
+    src = F.col(tag)
     kind = lambda name: coerce.kind_of(rows, name)
     passes = F.lit(True)
     for f in s.filters:
@@ -129,20 +157,20 @@ def _prepared(rows: DataFrame, s: Spec, also: tuple[str, ...] = ()) -> DataFrame
                 out = F.when(src == x.id, coerce.day(coerce.cell(rows, column(x)), kind(column(x)))).otherwise(out)
         return out
 
-    rows = rows.withColumn("__passes", passes)
+    rows = rows.withColumn(passes_name, passes)
     spine = s.spine
     if spine:
-        rows = rows.withColumn(_EVENT, dates.bucket_start(spine.grain, by_source(lambda x: x.time_from)))
-        rows = rows.withColumn(_ARRIVAL, F.coalesce(dates.bucket_start(spine.grain, by_source(lambda x: x.available_from)), F.col(_EVENT)))
+        rows = rows.withColumn(event, dates.bucket_start(spine.grain, by_source(lambda x: x.time_from)))
+        rows = rows.withColumn(arrival, F.coalesce(dates.bucket_start(spine.grain, by_source(lambda x: x.available_from)), F.col(event)))
     else:
-        rows = rows.withColumns({_EVENT: F.lit(None).cast("date"), _ARRIVAL: F.lit(None).cast("date")})
-    owned = {i: F.when(src == k.source, _key_column(rows, k)) if k.source is not None else _key_column(rows, k) for i, k in enumerate(s.keys)}
+        rows = rows.withColumns({event: F.lit(None).cast("date"), arrival: F.lit(None).cast("date")})
+    owned = {i: F.when(src == k.source, _key_column(rows, k, event, place)) if k.source is not None else _key_column(rows, k, event, place) for i, k in enumerate(s.keys)}
     bad = F.lit(False)
     for i, k in enumerate(s.keys):
         if k.returns in ("bucket", "scalar"):
             bad = bad | (owned[i].isNull() & ((src == k.source) if k.source is not None else F.lit(True)))
     known = src.isin([x.id for x in s.sources])
-    drop = F.when(~F.coalesce(known, F.lit(False)), "unknown_source").when(~F.col("__passes"), "filtered").when(bad, "bad_time")
+    drop = F.when(~F.coalesce(known, F.lit(False)), "unknown_source").when(~F.col(passes_name), "filtered").when(bad, "bad_time")
     columns = {f"__k{i}": c for i, c in owned.items()} | {_DROP: drop}
     for m in s.measures:
         c, own = coerce.cell(rows, m.column), src == m.source
@@ -156,8 +184,8 @@ def _prepared(rows: DataFrame, s: Spec, also: tuple[str, ...] = ()) -> DataFrame
         columns[f"__v_{m.out}"] = F.when(own, value)
         if m.entity:
             columns[f"__e_{m.out}"] = coerce.text(coerce.cell(rows, m.entity))
-    keep = [_SRC, _EVENT, _ARRIVAL, *([_ORD] if s.order_by else [])]
-    return rows.select(*keep, *(F.col(f"`{c}`") for c in also), *(c.alias(n) for n, c in columns.items()))
+    keep = {tag: _SRC, event: _EVENT, arrival: _ARRIVAL} | ({place: _ORD} if s.order_by else {})
+    return rows.select(*(F.col(f"`{c}`").alias(n) for c, n in keep.items()), *(F.col(f"`{c}`").alias(f"__also{i}") for i, c in enumerate(also)), *(c.alias(n) for n, c in columns.items()))
 
 
 def _copies(rows: DataFrame, s: Spec) -> DataFrame:
@@ -204,15 +232,19 @@ def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec) -> Fram
     """The frame of a table, of tables by source id, or of one table tagged by ``source_from``."""
     s = document if isinstance(document, Spec) else resolve(document)
     if isinstance(rows, dict):
-        rows = tag_sources(rows)
-    elif s.source_from:
-        rows = rows.withColumn(_SRC, coerce.text(coerce.cell(rows, s.source_from)))
-    elif len(s.sources) > 1:
-        raise ValueError("source_from: needed with several sources in one table")
+        full, least = tag_sources(rows), tag_sources({name: _pruned(df, s, name) for name, df in rows.items()})
     else:
-        rows = rows.withColumn(_SRC, F.lit(s.sources[0].id))
-    prepared = _prepared(rows, s)
+        (tag,) = free_names(rows, "source")
+        if s.source_from:
+            full = least = rows.withColumn(tag, coerce.text(coerce.cell(rows, s.source_from))), tag
+        elif len(s.sources) > 1:
+            raise ValueError("source_from: needed with several sources in one table")
+        else:
+            full, least = ((df.withColumn(tag, F.lit(s.sources[0].id)), tag) for df in (rows, _pruned(rows, s, s.sources[0].id)))
+    counted = any(k.returns == "position" for k in s.keys)
+    prepared = _prepared(least[0], s, least[1])
     kept = _copies(prepared.where(F.col(_DROP).isNull()), s)
+    everything = (lambda: prepared) if counted or full is least else (lambda: _prepared(full[0], s, full[1]))  # only counts of what was dropped need it
     names = [f"__k{i}" for i in range(len(s.keys))]
 
     groups: dict[tuple[int, ...], list[str]] = {}
@@ -257,4 +289,4 @@ def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec) -> Fram
             distinct = df.select(F.col(f"`{m.out}`").alias("name")).where(F.col("name").isNotNull()).distinct()
             classes[m.out] = positions(distinct, "name", "id").withColumn("id", F.col("id").cast("double"))
             df = df.join(classes[m.out].withColumnRenamed("name", m.out).withColumnRenamed("id", "__id"), m.out, "left").withColumn(m.out, F.col("__id")).drop("__id")
-    return Frame(s, df.select(*(F.col(f"`{c}`") for c in s.columns)), prepared, unmatched, classes)
+    return Frame(s, df.select(*(F.col(f"`{c}`") for c in s.columns)), everything, unmatched, classes)

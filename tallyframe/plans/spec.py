@@ -95,27 +95,67 @@ def _text(value: object) -> str:
     return "" if value is None else str(value).strip()
 
 
+# What a flat spec may say, as a whole and in its parts.
+_FLAT_FIELDS = {"sources", "source_from", "time_from", "available_from", "validity", "order_by", "series_from", "series_prefix", "series_aliases", "time_grain", "targets", "target_metric", "target_measure", "features", "filters"}
+_FLAT_MEASURE = {"name", "fn", "metric", "measure", "entity", "source", "availability"}
+
+
+def is_flat(document: dict) -> bool:
+    """Whether a document is of the older dialect, which names neither keys nor aggregates."""
+    return document.get("keys") is None and document.get("aggregates") is None
+
+
+def flat_warnings(flat: dict) -> list[str]:
+    """Fields that the flat dialect does not know."""
+    found = [f"unknown field '{k}'" for k in flat if k not in _FLAT_FIELDS]
+    for part in ("targets", "features"):
+        known_here = _FLAT_MEASURE | ({"derive"} if part == "features" else set())
+        found += [f"{part}[{i}]: unknown field '{k}'" for i, e in enumerate(flat.get(part) or []) for k in e if k not in known_here]
+    return found
+
+
 def translate_flat(flat: dict) -> dict:
-    """The older flat dialect (``time``, ``series``, ``targets``, ``features``) as a spec.
+    """The older flat dialect as a spec with the columns ``series_id, t``, its targets and ``x_<feature>``.
 
-    Targets come before features, each in their own order.
+    Series are told apart by one column at most. A spec without targets has one, ``y``, of ``target_metric`` and
+    ``target_measure``. Targets come before features, each in their own order, and features that are derived
+    from the clock come last.
     """
-    time = flat.get("time") or {}
-    keys = [{"name": "t", "via": f"bin:{time.get('grain') or 'week'}"}] if time.get("from") or flat.get("sources") else []
-    for s in flat.get("series") or []:
-        keys.append({"name": s.get("name") or "series_id", "from": s.get("from"), "prefix": s.get("prefix") or "", "aliases": s.get("aliases") or []})
-    aggregates = []
-    for what, function, name in (("targets", "sum", "y"), ("features", "max", None)):
-        for a in flat.get(what) or []:
-            using = a.get("fn") or a.get("metric") or function
-            aggregates.append({"name": a.get("name") or name, "out": a.get("out"), "using": using, "of": a.get("from"), "by": a.get("entity"), "source": a.get("source"), "availability": a.get("availability")})
-    return {"time_from": time.get("from"), "available_from": flat.get("available_from"), "keys": keys, "aggregates": aggregates, "filters": flat.get("filters") or [], "sources": flat.get("sources") or [], "source_from": flat.get("source_from"), "order_by": flat.get("order_by")}
+    series = _text(flat.get("series_from"))
+    keys = [{"name": "series_id", "from": series, "prefix": flat.get("series_prefix"), "aliases": flat.get("series_aliases")}] if series else []
+    keys.append({"name": "t", "via": "bin:" + (_text(flat.get("time_grain")).lower() or "week")})
+
+    def measure(entry: dict, out: str, default: str) -> dict:
+        using = _text(entry.get("fn")) or _text(entry.get("metric")) or default
+        return {"name": _text(entry.get("name")) or out, "out": out, "using": using, "of": entry.get("measure"), "by": entry.get("entity"), "source": entry.get("source"), "availability": entry.get("availability")}
+
+    targets = flat.get("targets") or [{"name": "y", "fn": flat.get("target_metric"), "measure": flat.get("target_measure")}]
+    aggregates, derives = [], []
+    for i, entry in enumerate(targets):
+        out = _text(entry.get("name")) or ("y" if len(targets) == 1 else "")
+        if not out:
+            raise ValueError(f"targets[{i}]: needs a name, as there are several")
+        aggregates.append(measure(entry, out, "sum"))
+    for i, entry in enumerate(flat.get("features") or []):
+        name, via = _text(entry.get("name")), _text(entry.get("derive")).lower()
+        if not name:
+            raise ValueError(f"features[{i}]: needs a name")
+        if via and _text(entry.get("measure")):
+            raise ValueError(f"features[{i}]: '{name}' is measured or derived, not both")
+        if via:
+            derives.append({"name": name, "out": f"x_{name}", "from": "t", "via": via, "availability": entry.get("availability")})
+        else:
+            aggregates.append(measure(entry, f"x_{name}", "max"))
+    filters = [{k: v for k, v in f.items() if k not in ("using", "operator")} | {"using": _text(f.get("using")) or _text(f.get("operator")) or "equals"} for f in flat.get("filters") or []]
+    kept = ("sources", "source_from", "time_from", "available_from", "validity", "order_by")
+    return {k: flat[k] for k in kept if k in flat} | {"keys": keys, "aggregates": aggregates, "derives": derives, "filters": filters}
 
 
 def resolve(document: dict) -> Spec:
     """A checked spec; every error names the entry and what would be right."""
-    p = translate_flat(document) if {"targets", "features", "series"} & set(document) else document
-    warnings = [f"unknown field '{k}'" for k in p if k not in _FIELDS]
+    flat = is_flat(document)
+    p = translate_flat(document) if flat else document
+    warnings = flat_warnings(document) if flat else [f"unknown field '{k}'" for k in p if k not in _FIELDS]
     for part, names in _FIELDS_OF.items():
         warnings += [f"{part}[{i}]: unknown field '{k}'" for i, e in enumerate(p.get(part) or []) for k in e if k not in names]
     raw_keys = p.get("keys") or []

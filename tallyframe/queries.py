@@ -239,9 +239,16 @@ def drop_counts(spark: SparkSession, d: str) -> DataFrame:
     return build(rows, spec).drop_counts()
 
 
-@query("flat_spec", "SELECT strftime(o_orderdate, '%G-W%V') AS t, o_orderpriority AS series_id, round(sum(o_totalprice), 2) AS y, round(max(o_totalprice), 2) AS x_top FROM orders GROUP BY ALL")
+@query(
+    "flat_spec",
+    "SELECT 'p_' || CASE o_orderpriority WHEN '1-URGENT' THEN 'fast' WHEN '2-HIGH' THEN 'fast' ELSE o_orderpriority END AS series_id, strftime(o_orderdate, '%Y-%m') AS t, round(sum(o_totalprice), 2) AS spent, round(avg(o_totalprice), 2) AS usual, round(max(o_totalprice), 2) AS x_top, CAST(any_value(month(o_orderdate)) AS INTEGER) AS x_month FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2",
+)
 def flat_spec(spark: SparkSession, d: str) -> DataFrame:
-    flat = {"time": {"from": "o_orderdate"}, "series": [{"from": "o_orderpriority"}], "targets": [{"from": "o_totalprice"}], "features": [{"name": "x_top", "from": "o_totalprice"}]}
+    flat = {
+        "series_from": "o_orderpriority", "series_prefix": "p_", "series_aliases": [{"value": "1-URGENT", "replace_with": "fast"}, {"value": "2-HIGH", "replace_with": "fast"}],
+        "time_from": "o_orderdate", "time_grain": "month", "targets": [{"name": "spent", "measure": "o_totalprice"}, {"name": "usual", "fn": "mean", "measure": "o_totalprice"}],
+        "features": [{"name": "top", "measure": "o_totalprice"}, {"name": "month", "derive": "month_of_year", "availability": "known_ahead"}], "filters": [{"column": "o_orderstatus", "value": "F"}],
+    }
     return _rounded(build(_t(spark, d, "orders"), flat))
 
 

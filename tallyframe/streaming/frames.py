@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import dates
-from tallyframe.operators.frame import _DROP, _SRC, _aggregate, _prepared
+from tallyframe.functions.scratch import free_names
+from tallyframe.operators.frame import _DROP, _aggregate, _prepared
 from tallyframe.plans.spec import Spec, resolve
 
 _WINDOW = {"day": "1 day", "week": "7 days"}
@@ -45,9 +46,10 @@ def stream_frame(rows: DataFrame, document: dict | Spec, late: str = "2 days") -
         raise ValueError(f"not on a stream: {'; '.join(found)}")
     spine, clock = s.spine, s.sources[0].time_from
     start = "4 days" if spine.grain == "week" else "0 days"  # weeks begin on Monday, the epoch on a Thursday
-    tagged = rows.withWatermark(clock, late).withColumn(_SRC, F.lit(s.sources[0].id))
-    kept = _prepared(tagged, s, (clock,)).where(F.col(_DROP).isNull())
-    bucket = F.window(F.col(f"`{clock}`"), _WINDOW[spine.grain], _WINDOW[spine.grain], start)
+    (tag,) = free_names(rows, "source")
+    tagged = rows.withWatermark(clock, late).withColumn(tag, F.lit(s.sources[0].id))
+    kept = _prepared(tagged, s, tag, (clock,)).where(F.col(_DROP).isNull())
+    bucket = F.window(F.col("__also0"), _WINDOW[spine.grain], _WINDOW[spine.grain], start)
     keys = [f"__k{i}" for i, k in enumerate(s.keys) if not k.spine]
     grouped = kept.groupBy(bucket.alias("__w"), *keys).agg(*(_aggregate(m, False).alias(f"__m_{m.out}") for m in s.measures))
     found = grouped.where(F.coalesce(*(F.col(f"__m_{m.out}") for m in s.measures)).isNotNull())
