@@ -6,9 +6,10 @@ the counts, the driver derives for each language the interpolated Kneser-Ney pro
 stores them in arrays sorted by n-gram hash, one column for each language. Where these would pass
 ``MAX_CELLS``, the counts stay a table, and probabilities and sums come from joins; either way every
 n-gram counts. A text gets the language of the lowest cross-entropy for each symbol. It is rejected
-where even that lies beyond a limit for its language and length, calibrated on texts set aside: a
-bounded sample of each language (``ASIDE``) that no count holds. A language without such texts has the
-average limit.
+where even that lies beyond a limit for its language and length. The limits come from cross-fitting: a
+bounded sample of each language (``ASIDE``) is scored by a second model that does not count it, while the model
+that predicts counts every training text. A language that only the sample holds, or that has none in it, has the
+average limit. Letters from U+E000 on share 4096 symbols, those of equal remainder one.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; ties go to the
 first language by name; without training texts everything is ``und``; each row is scored by
@@ -37,7 +38,7 @@ ORDER = 4
 MAX_CELLS = 8_000_000
 #: Entries of counts that a task merges at a time.
 MERGE = 2_000_000
-#: Texts of a language set aside for calibration: the part of them, and the most.
+#: Texts of a language that calibrate its limit: the part of them, and the most.
 ASIDE_PART, ASIDE = 0.1, 300
 #: Rejection: standard errors, and the part of the way to a uniform guess.
 REJECT_ERRORS, REJECT_PART = 4.0, 0.5
@@ -163,11 +164,12 @@ class Model:
 
 @dataclass
 class Spread:
-    """Models beyond ``MAX_CELLS``: the table ``lang, gram, n`` of all counts, and the texts set aside."""
+    """Models beyond ``MAX_CELLS``: the table ``lang, gram, n`` of all counts, the texts set aside, and the counts without them."""
 
     langs: list[str]
     counts: DataFrame
     aside: DataFrame
+    rest: DataFrame
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,30 +230,37 @@ def train(docs: DataFrame, held_out) -> Model | Spread | None:
     rates = {r["lang"]: min(ASIDE_PART, ASIDE / r["count"]) for r in labelled.groupBy("lang").count().collect()}
     if not rates:
         return None
-    rate = F.from_json(F.lit(json.dumps(rates)), "map<string,double>")[F.col("lang")]
-    apart = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 30)) < rate * (1 << 30)
+    apart = set_aside(rates)
     aside = materialise(labelled.where(apart), "aside")
-    counts = materialise(count_grams(labelled.where(~apart)), "grams")
+    rest = materialise(count_grams(labelled.where(~apart)), "grams")
+    counts = materialise(rest.unionByName(count_grams(aside)).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "all-grams")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
     if counts.count() > MAX_CELLS // len(langs):
-        return Spread(langs, counts, aside)
-    model = fit(counts.toArrow())
-    shared = aside.sparkSession.sparkContext.broadcast(model)
-    number = {x: k for k, x in enumerate(langs)}
+        return Spread(langs, counts, aside, rest)
+    model, without = fit(counts.toArrow()), fit(rest.toArrow())
+    shared = aside.sparkSession.sparkContext.broadcast(without)
+    number = {x: k for k, x in enumerate(without.langs)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total, n, has = text_totals(shared.value, [text])
-                if has[0] and lang in number:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([-total[0, number[lang]] / n[0]]), pa.array(n)], names=["lang", "cross", "n"])
+                if lang in number:
+                    total, n, has = text_totals(shared.value, [text])
+                    if has[0]:
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([-total[0, number[lang]] / n[0]]), pa.array(n)], names=["lang", "cross", "n"])
 
     _calibrate(model, aside.mapInArrow(run, "lang string, cross double, n long").collect())
     return model
 
 
+def set_aside(rates: dict[str, float]) -> Column:
+    """Whether a training text is one of the sample that calibrates its language, by a hash of the text."""
+    rate = F.from_json(F.lit(json.dumps(rates)), "map<string,double>")[F.col("lang")]
+    return F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 30)) < rate * (1 << 30)
+
+
 def _calibrate(model: Model, aside: list) -> None:
     """Mean and spread of each language from rows ``lang, cross, n`` of the texts set aside."""
     rows = {x: np.array([(r["cross"], r["n"]) for r in aside if r["lang"] == x]).reshape(-1, 2) for x in model.langs}
@@ -304,12 +313,18 @@ def _text_grams(docs: DataFrame) -> DataFrame:
 
 def _marked_by_joins(docs: DataFrame, model: Spread, names: list[str]) -> DataFrame:
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    own = materialise(_text_grams(texts.unionByName(model.aside.select("text"))), "text_grams")
-    known, vocabulary = _probabilities(model, own.select("gram").distinct())
-    sums = own.join(known, "gram").groupBy("key", "lang").agg(F.sum(F.col("n") * F.log("p")).alias("log"), F.sum("n").alias("n"))
-    sums = materialise(sums, "sums")
+
+    def summed(texts: DataFrame, model: Spread) -> tuple[DataFrame, int]:
+        own = materialise(_text_grams(texts), "text_grams")
+        known, vocabulary = _probabilities(model, own.select("gram").distinct())
+        sums = own.join(known, "gram").groupBy("key", "lang").agg(F.sum(F.col("n") * F.log("p")).alias("log"), F.sum("n").alias("n"))
+        return materialise(sums, "sums"), vocabulary
+
+    sums, vocabulary = summed(texts, model)
     small = Model(model.langs, [], [], [], [], float(-np.log(vocabulary)))
-    aside = model.aside.select(F.xxhash64("text").alias("key"), "lang").join(sums, ["key", "lang"])
+    left = sorted(r["lang"] for r in model.rest.select("lang").distinct().collect())
+    apart = summed(model.aside.select("text"), Spread(left, model.rest, model.aside, model.rest))[0]
+    aside = model.aside.select(F.xxhash64("text").alias("key"), "lang").join(apart, ["key", "lang"])
     _calibrate(small, aside.select("lang", (-F.col("log") / F.col("n")).alias("cross"), "n").collect())
     key, logs, size = free_names(docs, "key", "logs", "n")
     totals = sums.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lang", "log"))).alias("logs"), F.max("n").alias("n"))

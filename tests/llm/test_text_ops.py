@@ -286,6 +286,48 @@ def test_sixty_languages_equal_brute_force(spark, monkeypatch):
     assert all(np.isclose(r["p"], p(r["lang"], r["gram"] % (1 << 64), langid.ORDER), rtol=1e-9) for r in rows)
 
 
+@pytest.mark.parametrize("cells", [8_000_000, 10])
+def test_language_score_and_rejection_equal_brute_force(spark, monkeypatch, cells):
+    """Three languages and one of a single text, five times over; strange texts besides, which no one learns from."""
+    monkeypatch.setattr(langid, "MAX_CELLS", cells)
+    rng = random.Random(21)
+    parts = {"de": ("ein", "sch", "keit", "ich", "ü"), "fr": ("eau", "ment", "ou", "que", "é"), "pl": ("szcz", "ow", "nie", "ź", "y")}
+    word = lambda x: "".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 3)))
+    texts = [(x, " ".join(word(x) for _ in range(rng.randint(2, 12)))) for x in parts for _ in range(25)] + [("en", "one text of thine own, five times")] * 5
+    asked = [(None, "qwzx jvkk xxqq"), (None, "ein schich"), (None, "eau que ment"), (None, "ж" * 30), (None, "thine own"), (None, "12 ..."), (None, None)]
+    df = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(texts + asked)], "doc_id long, text string, lang string").repartition(3)
+    rates = {x: min(langid.ASIDE_PART, langid.ASIDE / n) for x, n in ((x, sum(y == x for y, _ in texts)) for x in [*parts, "en"])}
+    apart = {r["text"] for r in df.where("lang IS NOT NULL").where(langid.set_aside(rates)).collect()}
+    assert apart
+    whole, rest = brute_kneser_ney(texts), brute_kneser_ney([(x, t) for x, t in texts if t not in apart])
+    symbols = lambda t: langid.grams([t])[0].tolist()
+    cross = lambda p, x, t: -sum(np.log(p(x, c, langid.ORDER)) for c in symbols(t)) / len(symbols(t))
+    seen = {}
+    for x, t in texts:
+        if t in apart and any(y == x and u not in apart for y, u in texts):
+            seen.setdefault(x, []).append((cross(rest, x, t), len(symbols(t))))
+    mean = {x: sum(c * n for c, n in rows) / sum(n for _, n in rows) for x, rows in seen.items()}
+    spread = {x: np.sqrt(sum(n * (c - mean[x]) ** 2 for c, n in rows) / len(rows)) for x, rows in seen.items()}
+    uniform = np.log(len({c & 0xFFFF for _, t in texts for c in symbols(t)}) + 1)
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.train(df, F.lit(False))).collect()}
+    rejections = set()
+    for k, (_, t) in enumerate(texts + asked):
+        if k < len(texts) and k % 6:
+            continue
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[k]["lang_pred"], got[k]["score"], got[k]["rejected"]) == ("und", 0.0, True)
+            continue
+        by = {x: cross(whole, x, t) for x in sorted([*parts, "en"])}
+        best, n = min(by, key=lambda x: round(by[x], 9)), len(symbols(t))
+        at = mean.get(best, np.mean(list(mean.values())))
+        limit = at + max(langid.REJECT_ERRORS * spread.get(best, np.mean(list(spread.values()))) / np.sqrt(n), langid.REJECT_PART * (uniform - at))
+        assert got[k]["lang_pred"] == best and abs(got[k]["cross_entropy"] - by[best]) < 1e-4
+        assert abs(got[k]["score"] - 1 / sum(np.exp(-(v - by[best]) * n) for v in by.values())) < 1e-2
+        assert got[k]["rejected"] == (by[best] > limit)
+        rejections.add(got[k]["rejected"])
+    assert rejections == {True, False} and got[len(texts) - 1]["lang_pred"] == "en" and got[len(texts) + 4]["lang_pred"] == "en"
+
+
 def test_probabilities_of_a_context_sum_to_one(docs):
     model = langid.train(docs, F.lit(False))
     symbols = np.unique(langid.grams([r["text"] for r in docs.where("text is not null").collect()])[0] & np.uint64(0xFFFF))
