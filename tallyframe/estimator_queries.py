@@ -147,3 +147,46 @@ def rank_popular_quality(spark: SparkSession, d: str) -> DataFrame:
     train, held = parts.where("not held").drop("held"), parts.where("held").drop("held")
     users = held.select("user").distinct()
     return ranking.quality(recommend.popular_top(users, train.join(users, "user", "left_semi"), recommend.popularity(train), 5), held, 5)
+
+
+# --- quantile forecasts --------------------------------------------------------------------------
+
+_BACKTEST = """
+RECURSIVE m AS (SELECT o_orderpriority AS priority, CAST(date_trunc('month', o_orderdate) AS DATE) AS start, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS y FROM orders GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY start) AS i, count(*) OVER (PARTITION BY priority) AS n, abs(y - lag(y) OVER (PARTITION BY priority ORDER BY start)) AS moved FROM m),
+g AS (SELECT a.a / 10.0::DOUBLE AS a, b.b / 10.0::DOUBLE AS b FROM range(1, 10) a(a), (SELECT unnest([NULL, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS b) b),
+f AS (
+  SELECT x.priority, a, b, 0::BIGINT AS i, x.y AS level, CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE z.y - x.y END AS trend, 0.0::DOUBLE AS sse FROM p x JOIN p z USING (priority), g WHERE x.i = 1 AND z.i = 2 AND x.n >= 4
+  UNION ALL
+  SELECT f.priority, a, b, p.i, a * p.y + (1 - a) * (level + trend), CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE b * (a * p.y + (1 - a) * (level + trend) - level) + (1 - b) * trend END, sse + (p.y - level - trend) * (p.y - level - trend) FROM f JOIN p ON f.priority = p.priority AND p.i = f.i + 1
+),
+best AS (SELECT priority, i, arg_min({'level': level, 'trend': trend}, sse) AS s FROM f WHERE i >= 4 GROUP BY ALL),
+scales AS (SELECT priority, i, avg(moved) OVER (PARTITION BY priority ORDER BY i) AS scale FROM p),
+room AS (SELECT priority, any_value(n) - 4 AS room FROM p GROUP BY 1),
+origins AS (SELECT priority, unnest(CASE WHEN room > 24 THEN list_transform(range(0, 24), lambda k: 4 + (k * room) // 24) ELSE list_transform(range(0, greatest(room, 0)), lambda k: 4 + k) END) AS origin FROM (SELECT priority, room - 1 AS room FROM room)),
+e AS (SELECT o.priority, o.origin, h.h AS step, round((p.y - (s.level + h.h * s.trend)) / scale, 6) AS error FROM origins o JOIN best b ON b.priority = o.priority AND b.i = o.origin JOIN scales c ON c.priority = o.priority AND c.i = o.origin, range(1, 3) h(h), p WHERE p.priority = o.priority AND p.i = o.origin + h.h AND scale > 0),
+pool AS (SELECT step, list_sort(list(error)) AS errors, count(*) AS n FROM e GROUP BY 1),
+q AS (SELECT step, probability, errors[CAST(ceil(round((n + 1) * probability, 9)) AS BIGINT)] AS error FROM pool, (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS probability))
+"""
+
+
+def _monthly_series(spark: SparkSession, d: str) -> DataFrame:
+    f = build(_t(spark, d, "orders"), {"time_from": "o_orderdate", "keys": [{"name": "priority", "from": "o_orderpriority"}, {"name": "t", "via": "bin:month"}], "aggregates": [{"name": "y", "using": "sum", "of": "o_totalprice"}]})
+    return forecast.series(f.df.select("priority", dates.start_of("month", F.col("t")).alias("start"), F.round("y", 2).alias("y")), ["priority"], "start", "y")
+
+
+@query("forecast_error_quantiles", f"WITH {_BACKTEST} SELECT CAST(step AS INTEGER) AS step, probability, round(error, 4) AS error FROM q")
+def forecast_error_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    found = forecast.error_quantiles(forecast.backtest(_monthly_series(spark, d), ["priority"], 2), [0.1, 0.5, 0.9])
+    return found.select("step", "probability", F.round("error", 4).alias("error"))
+
+
+@query("forecast_coverage", f"WITH {_BACKTEST} SELECT CAST(q.step AS INTEGER) AS step, probability, count(*) AS points, round(avg((e.error <= q.error)::INT), 4) AS covered, round(avg(CASE WHEN e.error >= q.error THEN probability * (e.error - q.error) ELSE (probability - 1) * (e.error - q.error) END), 4) AS pinball FROM q JOIN e ON e.step = q.step GROUP BY ALL")
+def forecast_coverage(spark: SparkSession, d: str) -> DataFrame:
+    errors = forecast.backtest(_monthly_series(spark, d), ["priority"], 2)
+    return forecast.coverage(errors, forecast.error_quantiles(errors, [0.1, 0.5, 0.9]))
+
+
+@query("forecast_bands", f"WITH {_BACKTEST} SELECT p.priority, CAST(p.start + to_months(CAST(q.step AS INTEGER)) AS DATE) AS start, probability, round(round(s.level + q.step * s.trend, 4) + q.error * scale, 2) AS value FROM p JOIN best b ON b.priority = p.priority AND b.i = p.n JOIN scales c ON c.priority = p.priority AND c.i = p.n, q WHERE p.i = p.n")
+def forecast_bands(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.forecast_quantiles(_monthly_series(spark, d), ["priority"], "month", 2, [0.1, 0.5, 0.9]).withColumn("value", F.round("value", 2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.scratch import free_names, materialise
 from tallyframe.operators.ordering import running_before
 
 TREES, DEPTH = 60, 8
@@ -15,13 +16,16 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFra
 
     A class is ranked in 4096 ranges of the hash, whose counts give the rank that each begins with.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
-    ranged = df.withColumns({"__order": order, "__range": F.coalesce(F.substring(order, 1, 3), F.lit(""))})
-    sizes = ranged.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__of")).count()
-    ahead = Window.partitionBy("__label").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__label", "__of", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__start"))
-    joined = ranged.join(starts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__of")))
-    rank = F.col("__start") + F.row_number().over(Window.partitionBy(label, "__range").orderBy("__order")) - 1
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(f"`{key}`").cast("string")).cast("binary"))
+    if "fold" in (c.lower() for c in df.columns):
+        raise ValueError("fold: the table has a column of that name already")
+    at, place, name, of, start = free_names(df, "order", "range", "class", "of", "start")
+    ranged = df.withColumns({at: order, place: F.coalesce(F.substring(order, 1, 3), F.lit(""))})
+    sizes = ranged.groupBy(F.col(f"`{label}`").alias(name), F.col(place).alias(of)).count()
+    ahead = Window.partitionBy(name).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(name, of, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias(start))
+    joined = ranged.join(starts, F.col(f"`{label}`").eqNullSafe(F.col(name)) & (F.col(place) == F.col(of)))
+    rank = F.col(start) + F.row_number().over(Window.partitionBy(f"`{label}`", place).orderBy(at)) - 1
     return joined.withColumn("fold", (rank % k).cast("int")).select(*(F.col(f"`{c}`") for c in df.columns), "fold")
 
 
@@ -65,13 +69,26 @@ def cross_validate(df: DataFrame, key: str, label: str, features: list[str], k:
     """Out-of-fold ``proba, pred`` of every scorable row."""
     counts = [r["count"] for r in df.groupBy(label).count().collect()]
     k = max(2, min(k, min(counts, default=2)))
-    dealt, out = folds(df, key, label, k, seed), None
+    dealt, out = materialise(folds(df, key, label, k, seed), "folds"), None  # read by every fold's forest
     for f in range(k):
         part = predict(forest(dealt.where(F.col("fold") != f), label, features, trees, depth, seed=seed), dealt.where(F.col("fold") == f))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def deliverable(df: DataFrame, label: str, features: list[str], positive: int = 1, threshold: float = 0.5, trees: int = TREES, depth: int = DEPTH, seed: int = 0) -> DataFrame:
+    """Every row with ``proba, pred`` and ``is_prediction``: no (its label is known), yes (predicted), unscorable (a feature lacks).
+
+    The forest is fitted on the rows whose label is known; these have no prediction here (see ``cross_validate``).
+    """
+    rows = materialise(populations(df, label, features), "populations")
+    known, asked, rest = (rows.where(F.col("population") == p).drop("population") for p in ("scorable", "to_predict", "incomplete"))
+    nothing = {"proba": F.lit(None).cast("double"), "pred": F.lit(None).cast("int")}
+    said = predict(forest(known, label, features, trees, depth, seed=seed), asked, positive, threshold)
+    parts = [known.withColumns(nothing).withColumn("is_prediction", F.lit("no")), said.withColumn("is_prediction", F.lit("yes")), rest.withColumns(nothing).withColumn("is_prediction", F.lit("unscorable"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count("*").alias("rows"))
 

@@ -1,8 +1,8 @@
 """Exponential smoothing of many series: simple, Holt and Holt-Winters by grid search.
 
 A series is one row of ordered values. Rows are dealt out over the cluster, a fit runs the whole
-parameter grid through the recursion at once, and backtests are rows of their own, one for each
-series and origin, so a long backtest is as parallel as many series.
+parameter grid through the recursion at once, and a backtest takes the fits of all its origins from one
+pass over the series.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import dates
+from tallyframe.functions.scratch import materialise
+from tallyframe.operators.ordering import running_before
 
 #: Smoothing parameters tried.
 GRID = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -31,6 +33,7 @@ class Fit:
     season: np.ndarray | None
     level: float
     trend: float
+    n: int
     fitted: np.ndarray
     sse: float
 
@@ -41,7 +44,7 @@ class Fit:
     def ahead(self, h: int) -> np.ndarray:
         steps = np.arange(1, h + 1)
         out = self.level + steps * self.trend
-        return out if self.season is None else out + self.season[(len(self.fitted) + steps - 1) % len(self.season)]
+        return out if self.season is None else out + self.season[(self.n + steps - 1) % len(self.season)]
 
 
 def _grid(seasonal: bool) -> np.ndarray:
@@ -55,9 +58,13 @@ def _grid(seasonal: bool) -> np.ndarray:
     return np.array(rows)
 
 
-def fit(y: np.ndarray, season: int | None = None) -> Fit:
-    """The first of the grid's fits with the least squared error in sample."""
-    y, n = np.asarray(y, dtype=float), len(y)
+def fits(y: np.ndarray, origins: list[int], season: int | None = None, fitted: bool = False) -> list[Fit]:
+    """For each of several lengths, the first of the grid's fits of so many points with the least squared error in sample.
+
+    The recursion of a short history is the beginning of that of a longer one, so all of them come from one pass.
+    """
+    y = np.asarray(y, dtype=float)
+    n = max(origins)
     m = season if season and n >= 2 * season else 0
     grid = _grid(bool(m))
     alpha, holt, winter = grid[:, 0], ~np.isnan(grid[:, 1]), ~np.isnan(grid[:, 2])
@@ -68,18 +75,28 @@ def fit(y: np.ndarray, season: int | None = None) -> Fit:
         first, second = y[:m].mean(), y[m : 2 * m].mean()
         level, trend = np.where(winter, first, level), np.where(winter, (second - first) / m, trend)
         seasons = np.where(winter, (y[:m] - first)[:, None], 0.0)
-    fitted = np.empty((n, len(grid)))
+    kept, sse, found = np.empty((n if fitted else 0, len(grid))), np.zeros(len(grid)), {}
     for t in range(n):
         s = seasons[t % m].copy() if m else 0.0
-        fitted[t] = level + trend + s
+        ahead = level + trend + s
+        if fitted:
+            kept[t] = ahead
+        sse += (y[t] - ahead) ** 2
         last = level
         level = alpha * (y[t] - s) + (1 - alpha) * (level + trend)
         trend = np.where(holt, beta * (level - last) + (1 - beta) * trend, trend)
         if m:
             seasons[t % m] = np.where(winter, gamma * (y[t] - last - trend) + (1 - gamma) * s, 0.0)
-    sse = ((y[:, None] - fitted) ** 2).sum(axis=0)
-    k = int(sse.argmin())
-    return Fit(float(alpha[k]), float(beta[k]) if holt[k] else None, float(gamma[k]) if winter[k] else None, seasons[:, k] if winter[k] else None, float(level[k]), float(trend[k]), fitted[:, k], float(sse[k]))
+        if t + 1 in origins:
+            k = int((sse if m and t + 1 >= 2 * m else np.where(winter, np.inf, sse)).argmin())
+            own = seasons[:, k].copy() if winter[k] else None
+            found[t + 1] = Fit(float(alpha[k]), float(beta[k]) if holt[k] else None, float(gamma[k]) if winter[k] else None, own, float(level[k]), float(trend[k]), t + 1, kept[: t + 1, k].copy() if fitted else np.zeros(0), float(sse[k]))
+    return [found[o] for o in origins]
+
+
+def fit(y: np.ndarray, season: int | None = None) -> Fit:
+    """The first of the grid's fits of a whole series with the least squared error in sample."""
+    return fits(y, [len(y)], season, fitted=True)[0]
 
 
 def series(df: DataFrame, keys: list[str], start: str, target: str) -> DataFrame:
@@ -122,7 +139,7 @@ def _origins(n: Column, horizon: int, season: int | None) -> Column:
 
 def backtest(rows: DataFrame, keys: list[str], horizon: int = 1, season: int | None = None) -> DataFrame:
     """Keys, ``origin, step, actual, predicted, naive``; parameters are tuned anew at every origin."""
-    return _predicted(rows, keys, F.explode(_origins(F.size("y"), horizon, season)), F.lit(horizon), season)
+    return _predicted(rows, keys, _origins(F.size("y"), horizon, season), F.lit(horizon), season)
 
 
 def holdout(rows: DataFrame, keys: list[str], season: int | None = None, points: int | None = None) -> DataFrame:
@@ -133,25 +150,29 @@ def holdout(rows: DataFrame, keys: list[str], season: int | None = None, points:
     """
     n = F.size("y")
     held = F.lit(points) if points else F.greatest(F.lit(1), F.least(F.floor(n / 4).cast("int"), F.lit(season or 4)))
-    return _predicted(rows.where(n - held >= LEAST_POINTS), keys, n - held, held, season)
+    return _predicted(rows.where(n - held >= LEAST_POINTS), keys, F.array(n - held), held, season)
 
 
-def _predicted(rows: DataFrame, keys: list[str], origin: Column, ahead: Column, season: int | None) -> DataFrame:
-    folds = rows.select(*keys, "y", origin.alias("origin"), ahead.alias("ahead"))
-    parts = folds.select(*keys, "origin", F.slice("y", F.lit(1), F.col("origin")).alias("past"), F.slice("y", F.col("origin") + 1, F.col("ahead")).alias("actual"))
-    parts = parts.repartition(*keys, "origin") if keys else parts.repartition("origin")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", predicted array<double>, scale double"
+def _predicted(rows: DataFrame, keys: list[str], origins: Column, ahead: Column, season: int | None) -> DataFrame:
+    told = rows.select(*keys, "y", origins.cast("array<int>").alias("origins"), ahead.cast("int").alias("ahead")).where(F.size("origins") > 0)
+    if keys:  # a fit costs far more than its bytes, so series are dealt out by number
+        told = told.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema) + ", predicted array<array<double>>, scales array<double>"
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            past = [np.array(y) for y in pdf["past"]]
-            fits = [fit(y, season) for y in past]
-            pdf["predicted"] = [f.ahead(len(a)).tolist() for f, a in zip(fits, pdf["actual"], strict=True)]
-            pdf["scale"] = [step_size(y, None if f.season is None else len(f.season)) for f, y in zip(fits, past, strict=True)]
+            predicted, scales = [], []
+            for y, at, h in zip(pdf["y"], pdf["origins"], pdf["ahead"], strict=True):
+                own, past = fits(np.array(y), list(at), season), np.array(y)
+                predicted.append([f.ahead(h).tolist() for f in own])
+                scales.append([step_size(past[: f.n], None if f.season is None else len(f.season)) for f in own])
+            pdf["predicted"], pdf["scales"] = predicted, scales
             yield pdf
 
-    done = parts.mapInPandas(run, schema)
-    return done.select(*keys, "origin", F.posexplode("actual").alias("i", "actual"), "predicted", F.element_at("past", -1).alias("naive"), "scale").select(*keys, "origin", (F.col("i") + 1).alias("step"), "actual", F.get("predicted", F.col("i")).alias("predicted"), "naive", "scale")
+    done = told.mapInPandas(run, schema)
+    folds = done.select(*keys, "y", F.posexplode("origins").alias("k", "origin"), "predicted", "scales").withColumns({"said": F.get("predicted", F.col("k")), "scale": F.get("scales", F.col("k"))})
+    steps = folds.select(*keys, "y", "origin", "scale", F.posexplode("said").alias("i", "predicted"))
+    return steps.select(*keys, "origin", (F.col("i") + 1).alias("step"), F.get("y", F.col("origin") + F.col("i")).alias("actual"), "predicted", F.get("y", F.col("origin") - 1).alias("naive"), "scale")
 
 
 def step_size(y: np.ndarray, season: int | None = None) -> float:
@@ -188,6 +209,51 @@ def evaluate(rows: DataFrame, keys: list[str], horizon: int = 1, season: int | N
     return done[0].unionByName(done[1]).where("points > 0")
 
 
+def error_quantiles(errors: DataFrame, probabilities: list[float]) -> DataFrame:
+    """``step, probability, error``: conformal quantiles of errors, over the size of steps, for each horizon.
+
+    Errors of all series and origins of ``backtest`` make one pool for each step; the quantile at p is the
+    ceil((n + 1) p)-th smallest of n, and null where that lies beyond them. Ranks come from counts by distinct error (six places),
+    added up within ranges. Series that never moved have no scale and are left out.
+    """
+    error = F.round((F.col("actual") - F.col("predicted")) / F.col("scale"), 6)
+    counts = materialise(errors.where("scale > 0").groupBy("step", error.alias("error")).agg(F.count("*").alias("n")), "forecast-errors")
+    ranked = running_before(counts, ["step", "error"], "n", "before")
+    sizes = counts.groupBy("step").agg(F.sum("n").alias("size"))
+    starts = sizes.alias("a").join(sizes.alias("b"), F.col("b.step") < F.col("a.step"), "left").groupBy(F.col("a.step").alias("step"), F.col("a.size").alias("size")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("start"))  # one row for each step
+    asked = F.explode(F.array(*(F.lit(float(p)) for p in probabilities))).alias("probability")
+    wanted = starts.select("step", "start", asked, F.ceil(F.round((F.col("size") + 1) * F.col("probability"), 9)).alias("rank"))
+    reached = F.col("before") - F.col("start") + F.col("n") >= F.col("rank")
+    return wanted.join(ranked, "step", "left").groupBy("step", "probability").agg(F.min(F.when(reached, F.col("error"))).alias("error"))
+
+
+def forecast_quantiles(rows: DataFrame, keys: list[str], grain: str, horizon: int, probabilities: list[float], season: int | None = None) -> DataFrame:
+    """Keys, ``start, probability, value`` of each future bucket: the forecast and a band around it from what backtests missed by."""
+    levels = error_quantiles(backtest(rows, keys, horizon, season), probabilities)
+    future = forecast(rows, keys, grain, horizon, season).where("is_forecast = 'yes'")
+    last = rows.select(*keys, F.element_at("starts", -1).alias("last"), _step_size("y", season).alias("scale"))
+    placed = future.join(last, keys) if keys else future.crossJoin(last)  # one series
+    step = (dates.index_of(grain, F.col("start")) - dates.index_of(grain, F.col("last"))).cast("int")
+    return placed.withColumn("step", step).join(levels, "step").select(*keys, "start", "probability", F.round(F.col("yhat") + F.col("error") * F.col("scale"), 4).alias("value"))
+
+
+def _step_size(y: str, season: int | None) -> Column:
+    """``step_size`` of an array."""
+    lag = F.when(F.size(y) > season, season).otherwise(1) if season else F.lit(1)
+    n = F.size(y) - lag
+    steps = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.abs(F.get(y, i + lag) - F.get(y, i)))
+    return F.when(n > 0, F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / n)
+
+
+def coverage(errors: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """``step, probability, points, covered, pinball``: the share of errors at or below each quantile, and the mean pinball loss."""
+    scaled = errors.where("scale > 0").select("step", F.round((F.col("actual") - F.col("predicted")) / F.col("scale"), 6).alias("e"))
+    both = scaled.join(quantiles.where(F.col("error").isNotNull()), "step")
+    miss = F.col("e") - F.col("error")
+    loss = F.when(miss >= 0, F.col("probability") * miss).otherwise((F.col("probability") - 1) * miss)
+    return both.groupBy("step", "probability").agg(F.count("*").alias("points"), F.round(F.avg((miss <= 0).cast("double")), 4).alias("covered"), F.round(F.avg(loss), 4).alias("pinball"))
+
+
 def clock_holes(df: DataFrame, keys: list[str], start: str, grain: str) -> DataFrame:
     """Keys, ``start, missing``: buckets that lack between a point and the one before it."""
     from pyspark.sql import Window

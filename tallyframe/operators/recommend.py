@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tallyframe.functions import coerce
+from tallyframe.functions.scratch import materialise
 from tallyframe.operators.ordering import positions
 
 
@@ -54,7 +54,8 @@ def item_similarity(train: DataFrame) -> DataFrame:
     a, b = rows.withColumnsRenamed({"w": "wa", "block": "ba"}), rows.withColumnsRenamed({"item": "other", "w": "wb", "block": "bb"})
     dots = a.join(b, ["user", "i", "j"]).where("item < other and (ba <> bb or i = j)").groupBy("item", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     both = dots.join(norms, "item").join(norms.toDF("other", "norm_other"), "other").where("norm > 0 and norm_other > 0").select("item", "other", (F.col("dot") / (F.col("norm") * F.col("norm_other"))).alias("sim"))
-    return both.unionByName(both.select(F.col("other").alias("item"), F.col("item").alias("other"), "sim"))
+    turned = F.array(F.struct(F.col("item").alias("item"), F.col("other").alias("other")), F.struct(F.col("other").alias("item"), F.col("item").alias("other")))
+    return both.select(F.explode(turned).alias("p"), "sim").select("p.item", "p.other", "sim")
 
 
 def popularity(train: DataFrame) -> DataFrame:
@@ -89,8 +90,11 @@ def recommend(history: DataFrame, sim: DataFrame, pop: DataFrame, k: int = 5, us
     """``user, item, rank, score`` from similar items, popular ones for users without a score."""
     users = history.select("user").distinct() if users is None else users
     scored = history.join(users, "user", "left_semi").join(sim, "item").groupBy("user", "other").agg(F.sum(F.col("sim") * F.col("w")).alias("score"))
-    fresh = scored.select("user", F.col("other").alias("item"), "score").join(history.select("user", "item"), ["user", "item"], "left_anti")
+    fresh = materialise(scored.select("user", F.col("other").alias("item"), "score").join(history.select("user", "item"), ["user", "item"], "left_anti"), "rec-scores")
     cold = users.join(fresh.select("user").distinct(), "user", "left_anti")
+    cold = materialise(cold, "rec-cold")
+    if cold.isEmpty():
+        return _top(fresh, k)
     return _top(fresh, k).unionByName(popular_top(cold, history.join(cold, "user", "left_semi"), pop, k))
 
 
@@ -109,9 +113,9 @@ def ranking_metrics(recs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 def evaluate(data: DataFrame, k: int = 5, holdout: float = 0.3, folds: int = 1) -> DataFrame:
     """A row for each fold: ranking metrics of the recommender and of popularity, lift and coverage.
 
-    What several plans read (splits, similarities, popularity, lists) is computed once and kept on memory or disk.
+    What several plans read (splits, similarities, popularity, lists) is computed once and written to the shared folder.
     """
-    rows, once = [], lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows, once = [], lambda df: materialise(df, "rec-evaluate")
     for fold in range(folds):
         parts = once(split(data, holdout, str(fold) if folds > 1 else ""))
         train, held = parts.where("not held").drop("held"), parts.where("held").drop("held")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import dates
+from tallyframe.functions.scratch import materialise
 from tallyframe.operators import classify, forecast, recommend
 from tallyframe.operators.frame import Frame, build
 from tallyframe.registry import query
@@ -300,7 +300,7 @@ SPLIT = "s AS (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY subst
 
 
 def bought(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.interactions(_sales(spark, d), "o_custkey", "p_brand", "l_quantity").persist(StorageLevel.MEMORY_AND_DISK)
+    return materialise(recommend.interactions(_sales(spark, d), "o_custkey", "p_brand", "l_quantity"), "bought")
 
 
 @query("rec_similarity", f"WITH {PAIRS}, {_SIM.format(t='d')} SELECT item, other, round(sim, 6) AS sim FROM sim")
@@ -463,3 +463,14 @@ def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
 def classify_forest(spark: SparkSession, d: str) -> DataFrame:
     done = classify.cross_validate(_labelled(spark, d), "doc_id", "quality", ["n_chars", "per_word", "toxic"])
     return done.select("doc_id", "quality", "fold", F.round("proba", 6).alias("proba"), "pred")
+
+
+@query(
+    "classify_populations",
+    "SELECT doc_id, CASE WHEN words <= 3 THEN 'unscorable' WHEN quality IS NULL THEN 'yes' ELSE 'no' END AS is_prediction, words > 3 AND quality IS NULL AS predicted FROM (SELECT doc_id, quality, len(string_split(text, ' ')) AS words FROM documents LEFT JOIN labels USING (doc_id))",
+)
+def classify_populations(spark: SparkSession, d: str) -> DataFrame:
+    words = F.size(F.split("text", " "))
+    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left").select("doc_id", "quality", F.col("n_chars").cast("double").alias("size"), F.when(words > 3, F.col("n_chars") / words).alias("per_word"))
+    done = classify.deliverable(rows, "quality", ["size", "per_word"], trees=10)
+    return done.select("doc_id", "is_prediction", (F.col("pred").isNotNull() & F.col("proba").between(0, 1)).alias("predicted"))

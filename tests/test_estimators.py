@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import anomaly, cluster, forecast, ordering, ranking, recommend, regress
@@ -240,3 +241,36 @@ def test_ndcg_by_hand_and_users_nobody_knows(spark):
     assert ranking.recommend(ranking.fit(data, rank=2), data, strangers, 3).count() == 0
     with pytest.raises(ValueError, match="no interactions"):
         ranking.fit(data.limit(0))
+
+
+def test_one_pass_gives_the_fits_of_all_origins():
+    rng = np.random.default_rng(9)
+    y = 50 + np.arange(40) * 0.7 + 8 * np.sin(np.arange(40) * np.pi / 2) + rng.normal(size=40)
+    for season in (None, 4):
+        for f, n in zip(forecast.fits(y, [4, 5, 7, 8, 9, 20, 40], season), [4, 5, 7, 8, 9, 20, 40], strict=True):
+            alone = forecast.fit(y[:n], season)
+            assert (f.alpha, f.beta, f.gamma, f.model) == (alone.alpha, alone.beta, alone.gamma, alone.model) and np.allclose(f.ahead(6), alone.ahead(6))
+
+
+def test_quantile_bands_cover_what_they_state(spark):
+    """Calibrated on early origins, the share of later errors below each quantile is what it says."""
+    rng, rows = np.random.default_rng(10), []
+    for s in range(150):
+        y = 100 * 10.0 ** (s % 3) + np.cumsum(rng.normal(size=60)) * 10.0 ** (s % 3)
+        rows += [(f"s{s}", dt.date(2019 + k // 12, 1 + k % 12, 1), float(v)) for k, v in enumerate(y)]
+    rows += [("still", dt.date(2020, 1 + k, 1), 3.0) for k in range(9)]
+    series = forecast.series(spark.createDataFrame(rows, "s string, start date, y double"), ["s"], "start", "y")
+    errors = forecast.backtest(series, ["s"], 2).withColumn("fold", F.dense_rank().over(Window.partitionBy("s").orderBy("origin")) % 2).cache()
+    levels = forecast.error_quantiles(errors.where("fold = 0"), [0.1, 0.5, 0.9]).cache()
+    told = forecast.coverage(errors.where("fold = 1"), levels).collect()
+    assert len(told) == 6 and all(abs(r["covered"] - r["probability"]) <= 0.02 for r in told if r["probability"] != 0.5) and all(abs(r["covered"] - r["probability"]) <= 0.03 for r in told)
+    scaled = {h: sorted(round((r["actual"] - r["predicted"]) / r["scale"], 6) for r in errors.where(f"fold = 0 AND step = {h} AND scale > 0").collect()) for h in (1, 2)}
+    for r in levels.collect():
+        pool = scaled[r["step"]]
+        assert abs(r["error"] - pool[int(np.ceil(round((len(pool) + 1) * r["probability"], 9))) - 1]) < 2e-6
+    bands = forecast.forecast_quantiles(series.where("s in ('s0', 's1')"), ["s"], "month", 2, [0.1, 0.9]).collect()
+    by = {(r["s"], r["start"], r["probability"]): r["value"] for r in bands}
+    assert len(by) == 8 and all(by[s, t, 0.1] < by[s, t, 0.9] for s, t, _ in by) and {t for _, t, _ in by} == {dt.date(2024, 1, 1), dt.date(2024, 2, 1)}
+    few = forecast.error_quantiles(errors.where("s = 's0' AND step = 1").limit(5), [0.99, 0.5])
+    assert {r["probability"]: r["error"] is None for r in few.collect()} == {0.99: True, 0.5: False}
+    assert forecast.error_quantiles(errors.limit(0), [0.5]).count() == 0
