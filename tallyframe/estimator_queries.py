@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import dates
-from tallyframe.operators import anomaly, cluster, forecast, ranking, recommend, regress
+from tallyframe.operators import anomaly, cluster, dynamic, forecast, ranking, recommend, regress
 from tallyframe.operators.frame import build
 from tallyframe.queries import PAIRS, SPLIT, TOP, bought
 from tallyframe.registry import query
@@ -190,3 +190,20 @@ def forecast_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query("forecast_bands", f"WITH {_BACKTEST} SELECT p.priority, CAST(p.start + to_months(CAST(q.step AS INTEGER)) AS DATE) AS start, probability, round(round(s.level + q.step * s.trend, 4) + q.error * scale, 2) AS value FROM p JOIN best b ON b.priority = p.priority AND b.i = p.n JOIN scales c ON c.priority = p.priority AND c.i = p.n, q WHERE p.i = p.n")
 def forecast_bands(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast_quantiles(_monthly_series(spark, d), ["priority"], "month", 2, [0.1, 0.5, 0.9]).withColumn("value", F.round("value", 2))
+
+
+# --- covariates that are known ahead -------------------------------------------------------------
+
+
+@query("forecast_known_ahead")
+def forecast_known_ahead(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly totals with the number of days and of Mondays in a month, which are known for months to come."""
+    f = build(_t(spark, d, "orders"), {"time_from": "o_orderdate", "keys": [{"name": "priority", "from": "o_orderpriority"}, {"name": "t", "via": "bin:month"}], "aggregates": [{"name": "y", "using": "sum", "of": "o_totalprice"}]})
+    days = F.dayofmonth(F.last_day("start"))
+    mondays = F.size(F.filter(F.sequence("start", F.last_day("start")), lambda x: F.weekday(x) == 0))
+    told = lambda rows: rows.withColumns({"days": days, "mondays": mondays})
+    points = told(f.df.select("priority", dates.start_of("month", F.col("t")).alias("start"), "y"))
+    months = f.df.agg(F.max("t").alias("t")).select(dates.start_of("month", F.col("t")).alias("last"))
+    future = told(months.select(F.explode(F.expr("sequence(add_months(last, 1), add_months(last, 6), interval 1 month)")).alias("start")))
+    done = dynamic.forecast_with(points, ["priority"], "start", "y", ["days", "mondays"], future, "month", 6, 12)
+    return done.select("priority", "start", "y", "yhat", "is_forecast", "days", "mondays")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators import anomaly, cluster, forecast, ordering, ranking, recommend, regress
+from tallyframe.operators import anomaly, cluster, dynamic, forecast, ordering, ranking, recommend, regress
+from tallyframe.plans.spec import resolve
 
 
 @pytest.fixture(scope="module")
@@ -274,3 +275,56 @@ def test_quantile_bands_cover_what_they_state(spark):
     few = forecast.error_quantiles(errors.where("s = 's0' AND step = 1").limit(5), [0.99, 0.5])
     assert {r["probability"]: r["error"] is None for r in few.collect()} == {0.99: True, 0.5: False}
     assert forecast.error_quantiles(errors.limit(0), [0.5]).count() == 0
+
+
+def shops(spark):
+    """Sales with a promotion worth 40 and a level that drifts, and a second shop with another effect."""
+    rng, rows, later = np.random.default_rng(12), [], []
+    for name, effect in (("a", 40.0), ("b", -15.0)):
+        level = 100.0
+        for k in range(72):
+            level += rng.normal() * 0.5
+            promo = float(rng.random() < 0.3)
+            day = dt.date(2018 + k // 12, 1 + k % 12, 1)
+            (rows if k < 66 else later).append((name, day, level + effect * promo + rng.normal() * 0.5 if k != 10 else None, promo))
+    return rows, later
+
+
+def test_planted_promotion_is_recovered_and_carried_into_the_future(spark):
+    rows, later = shops(spark)
+    points = spark.createDataFrame(rows, "shop string, start date, sales double, promo double").repartition(4)
+    future = spark.createDataFrame([(n, d, p) for n, d, _, p in later if (n, d) != ("b", dt.date(2023, 12, 1))], "shop string, start date, promo double")
+    out = dynamic.forecast_with(points, ["shop"], "start", "sales", ["promo"], future, "month", 6).collect()
+    by = {(r["shop"], r["start"]): r for r in out}
+    assert len(by) == len(out) == 144
+    for name, day, y, promo in later:
+        r = by[name, day]
+        if (name, day) == ("b", dt.date(2023, 12, 1)):
+            assert r["yhat"] is None and r["promo"] is None and r["is_forecast"] == "yes"
+        else:
+            assert r["is_forecast"] == "yes" and r["y"] is None and r["promo"] == promo and abs(r["yhat"] - y) < 6
+    assert abs(by["a", later[0][1]]["weights"][0] - 40) < 1 and abs(by["b", later[0][1]]["weights"][0] + 15) < 1
+    assert by["a", dt.date(2018, 11, 1)]["yhat"] is None and by["a", dt.date(2018, 12, 1)]["yhat"] is not None
+    y, x = np.array([r[2] for r in rows if r[0] == "a" and r[2] is not None]), np.array([[r[3]] for r in rows if r[0] == "a" and r[2] is not None])
+    design = np.column_stack([np.ones(65), np.arange(65), x])
+    want = np.linalg.lstsq(design, y, rcond=None)[0][2]
+    assert abs(by["a", later[0][1]]["weights"][0] - want) < 1e-9
+    assert abs(by["a", later[0][1]]["yhat"] - (forecast.fit(y - x[:, 0] * want).ahead(1)[0] + want * later[0][3])) < 1e-3
+
+
+def test_covariates_of_the_calendar_constant_ones_and_short_series(spark):
+    rows, _ = shops(spark)
+    points = spark.createDataFrame([(*r, 1.0) for r in rows] + [("new", dt.date(2023, 1, 1), 5.0, 1.0, 1.0)], "shop string, start date, sales double, promo double, same double")
+    calendar = spark.createDataFrame([(dt.date(2023, k, 1), float(k % 2), 1.0) for k in range(1, 13)], "start date, promo double, same double")
+    out = dynamic.forecast_with(points, ["shop"], "start", "sales", ["promo", "same"], calendar, "month", 2).where("is_forecast = 'yes'").collect()
+    assert len(out) == 6 and all(r["weights"][1] == 0 and r["yhat"] is not None for r in out if r["shop"] != "new")
+    assert all(r["yhat"] is None and r["weights"] is None and r["promo"] is not None for r in out if r["shop"] == "new")
+    assert dynamic.forecast_with(points.limit(0), ["shop"], "start", "sales", ["promo"], calendar, "month", 2).count() == 0
+
+
+def test_what_is_not_known_ahead_is_refused():
+    spec = resolve({"time_from": "d", "keys": [{"name": "t", "via": "bin:month"}], "aggregates": [{"name": "y", "using": "sum", "of": "v"}, {"name": "promo", "using": "max", "of": "p", "availability": "known_ahead"}, {"name": "visits", "using": "sum", "of": "n", "availability": "past_only"}], "derives": [{"name": "month", "via": "month_of_year"}]})
+    assert dynamic.known_ahead(spec, ["promo", "month"]) == ["promo", "month"]
+    for name, words in (("visits", "past_only"), ("y", "no stated"), ("z", "no such column")):
+        with pytest.raises(ValueError, match=words):
+            dynamic.known_ahead(spec, [name])
