@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,21 @@ def populations(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     return df.withColumn("population", F.when(~whole, "incomplete").when(F.col(label).isNull(), "to_predict").otherwise("scorable"))
 
 
+@dataclass
+class LeafWeighted:
+    """A forest whose splits know no weights, and the class shares of each tree's leaves, weighted."""
+
+    model: object
+    #: By tree, leaf and class.
+    shares: list[list[list[float]]]
+
+
 def forest(train: DataFrame, label: str, features: list[str], trees: int = TREES, depth: int = DEPTH, balanced: bool = False, seed: int = 0):
-    """A fitted pipeline of a random forest; a single class is refused."""
+    """A fitted pipeline of a random forest; a single class is refused.
+
+    ``balanced`` weighs classes by how rare they are, in the leaves only: trees are the same with and without, and each
+    leaf's shares come from the training rows that lie in it, counted by tree, leaf and class.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -47,31 +62,56 @@ def forest(train: DataFrame, label: str, features: list[str], trees: int = TREES
     if len(counts) < 2:
         raise ValueError(f"{label}: one class only ({', '.join(map(str, counts))}), nothing to tell apart")
     stages = [VectorAssembler(inputCols=features, outputCol="__features")]
-    settings = {"labelCol": "__label", "featuresCol": "__features", "numTrees": trees, "maxDepth": depth, "impurity": "gini", "featureSubsetStrategy": "sqrt", "seed": seed, "probabilityCol": "__probability", "rawPredictionCol": "__raw", "predictionCol": "__prediction"}
+    settings = {"labelCol": "__label", "featuresCol": "__features", "numTrees": trees, "maxDepth": depth, "impurity": "gini", "featureSubsetStrategy": "sqrt", "seed": seed, "probabilityCol": "__probability", "rawPredictionCol": "__raw", "predictionCol": "__prediction", "leafCol": "__leaf"}
     rows = train.withColumn("__label", F.col(label).cast("double"))
-    if balanced:
-        total = sum(counts.values())
-        pairs = [F.lit(x) for c, n in counts.items() for x in (float(c), total / (len(counts) * n))]
-        rows, settings = rows.withColumn("__weight", F.create_map(*pairs)[F.col("__label")]), settings | {"weightCol": "__weight"}
-    return Pipeline(stages=[*stages, RandomForestClassifier(**settings)]).fit(rows)
+    model = Pipeline(stages=[*stages, RandomForestClassifier(**settings)]).fit(rows)
+    if not balanced:
+        return model
+    total = sum(counts.values())
+    weight = {int(c): total / (len(counts) * n) for c, n in counts.items()}
+    return LeafWeighted(model, leaf_shares(model.transform(rows), "__label", weight, trees))
 
 
-def predict(model, df: DataFrame, positive: int = 1, threshold: float = 0.5) -> DataFrame:
-    """``df`` with ``proba`` of the positive class and ``pred``."""
+def leaf_shares(placed: DataFrame, label: str, weight: dict[int, float], trees: int) -> list[list[list[float]]]:
+    """Weighted class shares by tree and leaf: at most ``trees * 2 ** depth`` leaves, counted in one aggregation."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(df)
-    p = F.get(vector_to_array("__probability"), F.lit(positive))
-    return scored.withColumn("proba", p).withColumn("pred", F.when(F.size(vector_to_array("__probability")) == 2, F.when(p >= threshold, positive).otherwise(1 - positive)).otherwise(F.col("__prediction").cast("int"))).drop("__features", "__raw", "__probability", "__prediction")
+    leaves = placed.select(F.col(label).cast("int").alias("class"), F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
+    counts = leaves.groupBy("tree", F.col("leaf").cast("int").alias("leaf"), "class").count().collect()
+    width, found = max(weight) + 1, [{} for _ in range(trees)]
+    for r in counts:
+        found[r["tree"]].setdefault(r["leaf"], [0.0] * width)[r["class"]] += r["count"] * weight[r["class"]]
+    return [[[x / (sum(own) or 1.0) for x in own] for leaf in range(max(by, default=-1) + 1) for own in [by.get(leaf, [0.0] * width)]] for by in found]
+
 
+def predict(model, df: DataFrame, positive: int = 1, threshold: float = 0.5) -> DataFrame:
+    """``df`` with ``proba`` of the positive class and ``pred``; of classes that are equally likely, the larger."""
+    from pyspark.ml.functions import vector_to_array
 
-def cross_validate(df: DataFrame, key: str, label: str, features: list[str], k: int = 5, trees: int = TREES, depth: int = DEPTH, seed: int = 0) -> DataFrame:
+    if isinstance(model, LeafWeighted):
+        shares = df.sparkSession.createDataFrame([(model.shares,)], "__shares array<array<array<double>>>")
+        scored = model.model.transform(df).crossJoin(F.broadcast(shares))  # one row
+        width = len(model.shares[0][0])
+        own = F.transform(vector_to_array("__leaf"), lambda leaf, tree: F.get(F.get(F.col("__shares"), tree), leaf.cast("int")))
+        mean = lambda c: F.aggregate(F.col("__own"), F.lit(0.0), lambda a, x: a + F.get(x, F.lit(c))) / len(model.shares)
+        scored = scored.withColumn("__own", own).withColumn("__shared", F.array(*(mean(c) for c in range(width)))).drop("__own", "__shares")
+        best = F.array_max(F.transform("__shared", lambda p, c: F.struct(F.round(p, 12).alias("p"), c.alias("c"))))["c"]
+        shared, size = F.col("__shared"), F.size("__shared")
+    else:
+        scored = model.transform(df)
+        shared, size, best = vector_to_array("__probability"), F.size(vector_to_array("__probability")), F.col("__prediction").cast("int")
+    p = F.get(shared, F.lit(positive))
+    said = scored.withColumn("proba", p).withColumn("pred", F.when(size == 2, F.when(p >= threshold, positive).otherwise(1 - positive)).otherwise(best))
+    return said.drop("__features", "__raw", "__probability", "__prediction", "__leaf", "__shared")
+
+
+def cross_validate(df: DataFrame, key: str, label: str, features: list[str], k: int = 5, trees: int = TREES, depth: int = DEPTH, seed: int = 0, balanced: bool = False) -> DataFrame:
     """Out-of-fold ``proba, pred`` of every scorable row."""
     counts = [r["count"] for r in df.groupBy(label).count().collect()]
     k = max(2, min(k, min(counts, default=2)))
     dealt, out = materialise(folds(df, key, label, k, seed), "folds"), None  # read by every fold's forest
     for f in range(k):
-        part = predict(forest(dealt.where(F.col("fold") != f), label, features, trees, depth, seed=seed), dealt.where(F.col("fold") == f))
+        part = predict(forest(dealt.where(F.col("fold") != f), label, features, trees, depth, balanced, seed), dealt.where(F.col("fold") == f))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import coerce, dates
-from tallyframe.functions.scratch import free_names
+from tallyframe.functions.scratch import free_names, materialise
 from tallyframe.operators.filters import predicate, pushed
 from tallyframe.operators.ordering import positions
 from tallyframe.plans.spec import Key, Measure, Spec, resolve
 
+#: Rows of an alias table that go to every task.
+BROADCAST_ALIASES = 200_000
+
 _SRC, _ORD, _EVENT, _ARRIVAL, _FORWARD, _DROP = "__src", "__ord", "__event", "__arrival", "__forward", "__drop"
 
 
@@ -34,7 +37,41 @@ def tag_sources(sources: dict[str, DataFrame]) -> tuple[DataFrame, str]:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), tag
 
 
-def _key_column(rows: DataFrame, key: Key, event: str, place: str) -> Column:
+def alias_table(key: str, table: DataFrame) -> DataFrame:
+    """``value, replace_with`` of an alias table without nulls and repeats; two meanings of a value, and chains, are errors."""
+    both = [F.trim(F.col(c).cast("string")).alias(c) for c in ("value", "replace_with")]
+    clean = table.select(*both).where("value IS NOT NULL AND replace_with IS NOT NULL AND value <> replace_with").distinct()
+    if twice := clean.groupBy("value").count().where("count > 1").head(1):
+        raise ValueError(f"aliases of '{key}': '{twice[0]['value']}' has several replacements")
+    chained = clean.alias("a").join(clean.alias("b"), F.col("a.replace_with") == F.col("b.value"), "left_semi").head(1)
+    if chained:
+        raise ValueError(f"aliases of '{key}': '{chained[0]['value']}' becomes '{chained[0]['replace_with']}', which is replaced itself")
+    return clean
+
+
+def _with_aliases(rows: DataFrame, s: Spec, tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with a column of replacements for each key that has an alias table, and these columns' names by key.
+
+    A table of up to BROADCAST_ALIASES rows goes to every task, and so do the aliases that occur if only these are so few;
+    beyond that both sides are shuffled, and hot values are split as they are read.
+    """
+    replaced = {}
+    for name, table in tables.items():
+        key = next((k for k in s.keys if k.name == name and k.returns == "raw"), None)
+        if key is None:
+            raise ValueError(f"aliases: '{name}' is no key that is read from a column as it is")
+        value, other = free_names(rows, "value", "replace_with")
+        rows = rows.withColumn(value, coerce.text(coerce.cell(rows, key.column)))
+        own = table.select(F.col("value").alias(value), F.col("replace_with").alias(other))
+        if own.limit(BROADCAST_ALIASES + 1).count() > BROADCAST_ALIASES:
+            own = materialise(own.join(rows.select(value).distinct(), value, "left_semi"), "aliases")
+        small = own.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
+        rows = rows.join(F.broadcast(own) if small else own, value, "left").drop(value)
+        replaced[name] = other
+    return rows, replaced
+
+
+def _key_column(rows: DataFrame, key: Key, event: str, place: str, replaced: dict[str, str]) -> Column:
     """The value that rows are grouped by: a bucket's first day, a number, or text."""
     if key.returns == "bucket":
         d = F.col(event) if key.spine else coerce.day(coerce.cell(rows, key.column), coerce.kind_of(rows, key.column))
@@ -44,6 +81,8 @@ def _key_column(rows: DataFrame, key: Key, event: str, place: str) -> Column:
     if key.returns == "position":
         return F.concat(F.lit(key.prefix), F.lit("r"), F.when(F.col(place) < 1_000_000, F.lpad(F.col(place).cast("string"), 6, "0")).otherwise(F.col(place).cast("string")))
     value = coerce.text(coerce.cell(rows, key.column))
+    if key.name in replaced:
+        value = F.coalesce(F.col(replaced[key.name]), value)
     if key.aliases:
         pairs = F.create_map(*(F.lit(x) for pair in dict(key.aliases).items() for x in pair))
         value = F.coalesce(F.try_element_at(pairs, value), value)
@@ -135,7 +174,7 @@ def _pruned(table: DataFrame, s: Spec, source: str) -> DataFrame:
     return table
 
 
-def _prepared(rows: DataFrame, s: Spec, tag: str, also: tuple[str, ...] = ()) -> DataFrame:
+def _prepared(rows: DataFrame, s: Spec, tag: str, also: tuple[str, ...] = (), replaced: dict[str, str] | None = None) -> DataFrame:
     """Rows with reasons for dropping, clocks, keys and measure inputs; columns of ``also`` as ``__also0`` and on.
 
     What is computed beside the rows' own columns has names that these don't have.
@@ -164,7 +203,7 @@ def _prepared(rows: DataFrame, s: Spec, tag: str, also: tuple[str, ...] = ()) ->
         rows = rows.withColumn(arrival, F.coalesce(dates.bucket_start(spine.grain, by_source(lambda x: x.available_from)), F.col(event)))
     else:
         rows = rows.withColumns({event: F.lit(None).cast("date"), arrival: F.lit(None).cast("date")})
-    owned = {i: F.when(src == k.source, _key_column(rows, k, event, place)) if k.source is not None else _key_column(rows, k, event, place) for i, k in enumerate(s.keys)}
+    owned = {i: F.when(src == k.source, _key_column(rows, k, event, place, replaced or {})) if k.source is not None else _key_column(rows, k, event, place, replaced or {}) for i, k in enumerate(s.keys)}
     bad = F.lit(False)
     for i, k in enumerate(s.keys):
         if k.returns in ("bucket", "scalar"):
@@ -228,9 +267,14 @@ def _reduced(rows: DataFrame, keys: list[str], measures: list[Measure], order: b
     return out
 
 
-def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec) -> Frame:
-    """The frame of a table, of tables by source id, or of one table tagged by ``source_from``."""
+def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec, aliases: dict[str, DataFrame] | None = None) -> Frame:
+    """The frame of a table, of tables by source id, or of one table tagged by ``source_from``.
+
+    ``aliases`` has tables of ``value, replace_with`` by the name of a key, for dictionaries too large for the spec;
+    they are looked up before the spec's own.
+    """
     s = document if isinstance(document, Spec) else resolve(document)
+    tables = {name: alias_table(name, table) for name, table in (aliases or {}).items()}
     if isinstance(rows, dict):
         full, least = tag_sources(rows), tag_sources({name: _pruned(df, s, name) for name, df in rows.items()})
     else:
@@ -242,9 +286,14 @@ def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec) -> Fram
         else:
             full, least = ((df.withColumn(tag, F.lit(s.sources[0].id)), tag) for df in (rows, _pruned(rows, s, s.sources[0].id)))
     counted = any(k.returns == "position" for k in s.keys)
-    prepared = _prepared(least[0], s, least[1])
+
+    def with_reasons(table: DataFrame, tag: str) -> DataFrame:
+        table, replaced = _with_aliases(table, s, tables)
+        return _prepared(table, s, tag, replaced=replaced)
+
+    prepared = with_reasons(*least)
     kept = _copies(prepared.where(F.col(_DROP).isNull()), s)
-    everything = (lambda: prepared) if counted or full is least else (lambda: _prepared(full[0], s, full[1]))  # only counts of what was dropped need it
+    everything = (lambda: prepared) if counted or full is least else (lambda: with_reasons(*full))  # only counts of what was dropped need it
     names = [f"__k{i}" for i in range(len(s.keys))]
 
     groups: dict[tuple[int, ...], list[str]] = {}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators import anomaly, cluster, dynamic, forecast, ordering, ranking, recommend, regress
+from tallyframe.operators import anomaly, classify, cluster, dynamic, forecast, ordering, ranking, recommend, regress
 from tallyframe.plans.spec import resolve
 
 
@@ -328,3 +328,41 @@ def test_what_is_not_known_ahead_is_refused():
     for name, words in (("visits", "past_only"), ("y", "no stated"), ("z", "no such column")):
         with pytest.raises(ValueError, match=words):
             dynamic.known_ahead(spec, [name])
+
+
+def test_class_weights_count_in_the_leaves_only(spark):
+    """Splits are the same with and without weights, and probabilities are those of a loop over the trees' leaves."""
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(13)
+    rows = [(k, float(rng.normal(loc=c)), float(rng.normal()), c) for k, c in enumerate([0] * 180 + [1] * 20)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int").repartition(2).cache()
+    plain, weighted = (classify.forest(df, "y", ["a", "b"], trees=5, depth=4, balanced=w, seed=3) for w in (False, True))
+    assert plain.stages[-1].toDebugString.split("\n", 1)[1] == weighted.model.stages[-1].toDebugString.split("\n", 1)[1]
+    placed = {r["id"]: [int(x) for x in r["leaf"]] for r in plain.transform(df).select("id", vector_to_array("__leaf").alias("leaf")).collect()}
+    want = {}
+    for k, *_ in rows:
+        shares = []
+        for tree in range(5):
+            inside = [c for i, _, _, c in rows if placed[i][tree] == placed[k][tree]]
+            up = sum(200 / (2 * 20) for c in inside if c == 1)
+            shares.append(up / (up + sum(200 / (2 * 180) for c in inside if c == 0)))
+        want[k] = sum(shares) / 5
+    got = classify.predict(weighted, df).collect()
+    assert all(abs(r["proba"] - want[r["id"]]) < 1e-9 and r["pred"] == int(r["proba"] >= 0.5) for r in got) and set(got[0].asDict()) == {"id", "a", "b", "y", "proba", "pred"}
+    unweighted = {r["id"]: r["proba"] for r in classify.predict(plain, df).collect()}
+    assert sum(r["proba"] for r in got) > sum(unweighted.values()) * 1.5
+
+
+def test_three_classes_and_the_deliverable(spark):
+    rows = [(k, float(k % 3), 1.0, k % 3) for k in range(60)] + [(100, 2.0, 1.0, None), (101, None, 1.0, 1), (102, None, 1.0, None)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    three = classify.forest(df.where("y IS NOT NULL AND a IS NOT NULL"), "y", ["a", "b"], trees=9, depth=3, balanced=True)
+    assert {(r["y"], r["pred"]) for r in classify.predict(three, df.where("id < 60")).collect()} == {(0, 0), (1, 1), (2, 2)}
+    done = {r["id"]: r for r in classify.deliverable(df, "y", ["a", "b"], positive=2, trees=9, depth=3).collect()}
+    assert len(done) == 63 and [done[k]["is_prediction"] for k in (0, 100, 101, 102)] == ["no", "yes", "unscorable", "unscorable"]
+    assert done[100]["pred"] == 2 and done[100]["proba"] > 0.5 and done[0]["pred"] is None and done[102]["proba"] is None
+    with pytest.raises(ValueError, match="fold"):
+        classify.folds(df.withColumn("fold", F.lit(1)), "id", "y", 3)
+    odd = classify.folds(df.where("y IS NOT NULL").withColumnsRenamed({"a": "range", "b": "order"}), "id", "y", 3)
+    assert odd.columns == ["id", "range", "order", "y", "fold"] and sorted(r["count"] for r in odd.groupBy("y", "fold").count().collect())[0] >= 6
