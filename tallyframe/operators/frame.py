@@ -15,9 +15,10 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions import coerce, dates
+from tallyframe.functions import coerce, dates, registered
 from tallyframe.functions.scratch import free_names, materialise
 from tallyframe.operators.filters import predicate, pushed
+from tallyframe.operators.history import of_sources
 from tallyframe.operators.ordering import positions
 from tallyframe.plans.spec import Key, Measure, Spec, resolve
 
@@ -91,6 +92,8 @@ def _key_column(rows: DataFrame, key: Key, event: str, place: str, replaced: dic
 
 def _aggregate(m: Measure, order: bool) -> Column:
     v = F.col(f"__v_{m.out}")
+    if m.function in registered.AGGREGATES:
+        return registered.over_rows(m.function, v, F.col(f"__e_{m.out}") if m.entity else F.lit(None).cast("string"))
     if m.function in ("sum", "min", "max"):
         return getattr(F, m.function)(v)
     if m.function == "mean":
@@ -267,14 +270,10 @@ def _reduced(rows: DataFrame, keys: list[str], measures: list[Measure], order: b
     return out
 
 
-def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec, aliases: dict[str, DataFrame] | None = None) -> Frame:
-    """The frame of a table, of tables by source id, or of one table tagged by ``source_from``.
-
-    ``aliases`` has tables of ``value, replace_with`` by the name of a key, for dictionaries too large for the spec;
-    they are looked up before the spec's own.
-    """
-    s = document if isinstance(document, Spec) else resolve(document)
+def kept_rows(rows: DataFrame | dict[str, DataFrame], s: Spec, aliases: dict[str, DataFrame] | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The rows that buckets are made of, and a function that gives all rows with the reasons for dropping them."""
     tables = {name: alias_table(name, table) for name, table in (aliases or {}).items()}
+    rows = of_sources(rows, s.row_derives, s.sources, s.source_from)
     if isinstance(rows, dict):
         full, least = tag_sources(rows), tag_sources({name: _pruned(df, s, name) for name, df in rows.items()})
     else:
@@ -294,6 +293,17 @@ def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec, aliases
     prepared = with_reasons(*least)
     kept = _copies(prepared.where(F.col(_DROP).isNull()), s)
     everything = (lambda: prepared) if counted or full is least else (lambda: with_reasons(*full))  # only counts of what was dropped need it
+    return kept, everything
+
+
+def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec, aliases: dict[str, DataFrame] | None = None) -> Frame:
+    """The frame of a table, of tables by source id, or of one table tagged by ``source_from``.
+
+    ``aliases`` has tables of ``value, replace_with`` by the name of a key, for dictionaries too large for the spec;
+    they are looked up before the spec's own.
+    """
+    s = document if isinstance(document, Spec) else resolve(document)
+    kept, everything = kept_rows(rows, s, aliases)
     names = [f"__k{i}" for i in range(len(s.keys))]
 
     groups: dict[tuple[int, ...], list[str]] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyframe.functions.registered import AGGREGATES
+
 # Names, kinds and needs.
 FUNCTIONS = {
     "sum": ("reduction", {"measure"}),
@@ -31,6 +33,9 @@ DERIVES = {
     "row_number": "position",
 }
 
+#: Derives of single rows, from rows before them: see ``operators/history.py``.
+ROW_DERIVES = ("rolling_sum", "rolling_mean", "rolling_count", "last_value")
+
 # Required parts, permitted parts, least and most keys, what the task points at.
 TASKS = {
     "forecast": (("clock", "target"), ("keys", "covariates"), 0, 4, "target"),
@@ -45,6 +50,11 @@ TASKS = {
 FILTERS = ("equals", "notEquals", "greaterThan", "lessThan", "contains", "isEmpty", "isNotEmpty")
 
 
+def functions() -> dict[str, tuple[str, set[str]]]:
+    """The functions above and those that were registered."""
+    return FUNCTIONS | {name: ("registered", {"measure", "entity"} if a.by else {"measure"}) for name, a in AGGREGATES.items()}
+
+
 def known(table: dict | tuple, name: str, what: str) -> str:
     """``name`` if the table has it; else an error that lists what it has."""
     if name not in table:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import coerce
-from tallyframe.plans.catalogs import DERIVES, FUNCTIONS, TASKS, check_task, known
+from tallyframe.plans.catalogs import DERIVES, TASKS, check_task, functions, known
 
 
 def _pointed(task: dict, pointer: str | None) -> list[str]:
@@ -107,7 +107,7 @@ def compile_profile(profile: dict, binding: dict, naming: str = "v1") -> tuple[d
     availability = {c["metric"]: c.get("availability") for c in task.get("covariates") or []}
     aggregates, outs = [], {}
     for m in metrics:
-        function = known(FUNCTIONS, m.get("function") or "", f"metric {m.get('name')}")
+        function = known(functions(), m.get("function") or "", f"metric {m.get('name')}")
         out = m["name"] if naming == "logical" or (m["name"] in targets and len(targets) > 1) else "y" if m["name"] in targets else f"x_{m['name']}"
         outs[m["name"]] = out
         a = {"name": out, "using": function}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from tallyframe.plans.catalogs import DERIVES, FILTERS, FUNCTIONS, known
+from tallyframe.plans.catalogs import DERIVES, FILTERS, ROW_DERIVES, functions, known
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,18 @@ class Derive:
     key: int
 
 
+@dataclass(frozen=True)
+class RowDerive:
+    """A column of a source's rows, from rows of equal ``by`` up to ``days`` before (0: any)."""
+
+    out: str
+    via: str
+    source: str
+    column: str
+    by: tuple[str, ...] = ()
+    days: int = 0
+
+
 @dataclass(frozen=True)
 class Filter:
     source: str
@@ -70,6 +82,7 @@ class Spec:
     derives: tuple[Derive, ...]
     filters: tuple[Filter, ...]
     order_by: str = ""
+    row_derives: tuple[RowDerive, ...] = ()
     warnings: tuple[str, ...] = field(default=(), compare=False)
 
     @property
@@ -85,7 +98,7 @@ _FIELDS = {"keys", "aggregates", "derives", "filters", "validity", "time_from",
 _FIELDS_OF = {
     "keys": {"name", "from", "via", "prefix", "aliases"},
     "aggregates": {"name", "using", "of", "by", "source", "availability", "out", "ord", "role"},
-    "derives": {"name", "scope", "from", "via", "out", "ord", "availability"},
+    "derives": {"name", "scope", "from", "via", "out", "ord", "availability", "of", "by", "days"},
     "filters": {"of", "using", "value", "applied_upstream", "column", "operator"},
     "sources": {"id", "time_from", "available_from"},
 }
@@ -221,8 +234,8 @@ def resolve(document: dict) -> Spec:
         if not name:
             raise ValueError(f"{what}: needs a name")
         claim(out, what)
-        function = known(FUNCTIONS, _text(a.get("using")), f"{what}.using")
-        needs = FUNCTIONS[function][1]
+        function = known(functions(), _text(a.get("using")), f"{what}.using")
+        needs = functions()[function][1]
         own = _text(a.get("source"))
         if own and own not in ids:
             raise ValueError(f"{what}: unknown source '{own}'")
@@ -248,16 +261,31 @@ def resolve(document: dict) -> Spec:
     if not ordered:
         raise ValueError("aggregates: at least one is needed")
 
-    derives = []
+    derives, row_derives = [], []
     for i, d in enumerate(p.get("derives") or []):
         what = f"derives[{i}]"
         name, via = _text(d.get("name")), _text(d.get("via"))
         out = _text(d.get("out")) or name
         if not name:
             raise ValueError(f"{what}: needs a name")
+        if _text(d.get("scope")) == "row":
+            known(dict.fromkeys(ROW_DERIVES), via, f"{what}.via")
+            if not _text(d.get("of")):
+                raise ValueError(f"{what}: {via} needs 'of'")
+            source, column = place(d["of"], what)
+            if not next(s for s in sources if s.id == source).time_from:
+                raise ValueError(f"{what}: needs the clock of its source")
+            by = d.get("by") or []
+            days = int(d.get("days") or 0)
+            if days < 0 or (days == 0 and via != "last_value"):
+                raise ValueError(f"{what}: {via} needs 'days', 1 at least")
+            if any(r.out == out and r.source == source for r in row_derives):
+                raise ValueError(f"{what}: '{out}' is taken")
+            row_derives.append(RowDerive(out, via, source, column, tuple(place(b, what, source)[1] for b in ([by] if isinstance(by, str) else by)), days))
+            continue
         claim(out, what)
         if _text(d.get("scope")) not in ("", "key"):
-            raise ValueError(f"{what}: only key scope can be executed")
+            raise ValueError(f"{what}: scope is key or row")
         if DERIVES[known(DERIVES, via, f"{what}.via")] != "scalar":
             raise ValueError(f"{what}: '{via}' gives no number")
         target = _text(d.get("from")) or spine
@@ -276,4 +304,4 @@ def resolve(document: dict) -> Spec:
     if needs_order and not order_by:
         raise ValueError(f"order_by: needed by {', '.join(needs_order)}, as tables have no order of rows")
     by_ord = lambda rows: tuple(x for _, x in sorted(rows, key=lambda r: r[0]))
-    return Spec(sources, source_from, tuple(keys), by_ord(ordered), by_ord(derives), tuple(filters), order_by, tuple(warnings))
+    return Spec(sources, source_from, tuple(keys), by_ord(ordered), by_ord(derives), tuple(filters), order_by, tuple(row_derives), tuple(warnings))

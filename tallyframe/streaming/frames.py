@@ -1,60 +1,82 @@
-"""The tumbling part of a frame over a stream: event-time buckets, keys, filters and plain reductions."""
+"""A frame over streams: calendar buckets, keys, filters, plain reductions, late values moved forward, several sources."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyframe.functions import dates
+from tallyframe.functions import coerce, dates, registered
 from tallyframe.functions.scratch import free_names
-from tallyframe.operators.frame import _DROP, _aggregate, _prepared
+from tallyframe.operators.frame import _DROP, _aggregate, _copies, _prepared
 from tallyframe.plans.spec import Spec, resolve
 
-_WINDOW = {"day": "1 day", "week": "7 days"}
+#: The most days a bucket has.
+_LONGEST = {"day": 1, "week": 7, "month": 31, "quarter": 92, "year": 366}
 _FUNCTIONS = ("sum", "mean", "min", "max", "count")
 
 
-def _refused(rows: DataFrame, s: Spec) -> list[str]:
+def _refused(rows: DataFrame | dict[str, DataFrame], s: Spec) -> list[str]:
     """What of a spec a stream can't do."""
-    spine, found = s.spine, []
-    if len(s.sources) > 1 or s.source_from:
-        found.append("several sources")
-    if spine is None or spine.grain not in _WINDOW:
-        found.append("a spine other than days or weeks, whose buckets have a fixed length")
-    elif not isinstance(rows.schema[s.sources[0].time_from].dataType, T.TimestampType):
-        found.append("a clock that is no timestamp")
-    if rows.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
-        found.append("a session time zone other than UTC, as windows are cut there")
-    if s.sources[0].available_from and any(m.availability == "past_only" for m in s.measures):
-        found.append("values moved to the bucket of their arrival")
+    found = []
+    if s.spine is None:
+        found.append("a frame without a time spine, whose state would never end")
+    if len(s.sources) > 1 and not isinstance(rows, dict) and not s.source_from:
+        found.append("several sources in one stream without source_from")
+    if len(s.sources) > 1 and any(k.source is not None for k in s.keys):
+        found.append("keys that one source has and others lack, which need a join of frames")
     if s.order_by or any(k.returns == "position" for k in s.keys):
         found.append("an order of rows")
-    found += [f"{m.function} ({m.out})" for m in s.measures if m.function not in _FUNCTIONS]
+    if s.row_derives:
+        found.append("derives of rows from rows before them")
+    found += [f"{m.function} ({m.out})" for m in s.measures if m.function not in _FUNCTIONS and m.function not in registered.AGGREGATES]
     return found
 
 
-def stream_frame(rows: DataFrame, document: dict | Spec, late: str = "2 days") -> DataFrame:
-    """The frame that ``build`` gives of the same rows, over a stream whose clock is a timestamp.
+def stream_frame(rows: DataFrame | dict[str, DataFrame], document: dict | Spec, late: str | dict[str, str] = "2 days") -> DataFrame:
+    """The frame that ``build`` gives of the same rows, over a stream or over streams by source id.
 
-    Rows up to ``late`` behind the newest are counted, later ones are dropped, and state of closed
-    buckets is let go. Filters, aliases, binned keys, derives and the rule that a bucket needs a value
-    hold as in a batch; whatever a stream can't do is an error.
+    A bucket stays open until the newest buckets of all streams are ``late`` (by source, if it is a dict) and
+    the longest bucket's length ahead of it: values at most ``late`` behind are counted, what comes for a closed
+    bucket is dropped, and its state is let go. Each source has a watermark of its own and the slowest rules.
+    A late ``past_only`` value moves to the bucket of its arrival, as in a batch, and so is never late itself;
+    ``late`` must cover the delay of values that stay where they happened. Filters, aliases, binned keys, derives and the
+    rule that a bucket needs a value hold as in a batch; whatever a stream can't do is an error.
     """
     s = document if isinstance(document, Spec) else resolve(document)
     if found := _refused(rows, s):
         raise ValueError(f"not on a stream: {'; '.join(found)}")
-    spine, clock = s.spine, s.sources[0].time_from
-    start = "4 days" if spine.grain == "week" else "0 days"  # weeks begin on Monday, the epoch on a Thursday
-    (tag,) = free_names(rows, "source")
-    tagged = rows.withWatermark(clock, late).withColumn(tag, F.lit(s.sources[0].id))
-    kept = _prepared(tagged, s, tag, (clock,)).where(F.col(_DROP).isNull())
-    bucket = F.window(F.col("__also0"), _WINDOW[spine.grain], _WINDOW[spine.grain], start)
-    keys = [f"__k{i}" for i, k in enumerate(s.keys) if not k.spine]
-    grouped = kept.groupBy(bucket.alias("__w"), *keys).agg(*(_aggregate(m, False).alias(f"__m_{m.out}") for m in s.measures))
+    spine, at = s.spine, next(f"__k{i}" for i, k in enumerate(s.keys) if k.spine)
+    delays = late if isinstance(late, dict) else dict.fromkeys((x.id for x in s.sources), late)
+    if missing := [x.id for x in s.sources if x.id not in delays]:
+        raise ValueError(f"late: needed by {', '.join(missing)}")
+
+    def part(df: DataFrame, source: str | None) -> DataFrame:
+        (tag,) = free_names(df, "source")
+        tagged = df.withColumn(tag, coerce.text(coerce.cell(df, s.source_from)) if source is None else F.lit(source))
+        kept = _copies(_prepared(tagged, s, tag).where(F.col(_DROP).isNull()), s)
+        some = reduce(lambda a, b: a | b, (F.col(f"__v_{m.out}").isNotNull() for m in s.measures))
+        kept = kept.where(some)  # what adds nothing neither opens a bucket nor moves the watermark
+        delay = f"{_LONGEST[spine.grain]} days {max(delays.values(), key=_seconds) if source is None else delays[source]}"
+        end = dates.next_start(spine.grain, F.col(at), 1).cast("timestamp")
+        return kept.withColumn("__end", end).withWatermark("__end", delay)
+
+    if isinstance(rows, dict):
+        parts = [part(rows[x.id], x.id) for x in s.sources if x.id in rows]
+    else:
+        parts = [part(rows, None if s.source_from else s.sources[0].id)]
+    kept = reduce(lambda a, b: a.unionByName(b), parts)
+    keys = [f"__k{i}" for i in range(len(s.keys))]
+    grouped = kept.groupBy("__end", *keys).agg(*(_aggregate(m, False).alias(f"__m_{m.out}") for m in s.measures))
     found = grouped.where(F.coalesce(*(F.col(f"__m_{m.out}") for m in s.measures)).isNotNull())
-    places = [F.to_date("__w.start") if k.spine else F.col(f"__k{i}") for i, k in enumerate(s.keys)]
-    labels = [(dates.bucket_label(k.grain, c) if k.returns == "bucket" else c).alias(k.name) for k, c in zip(s.keys, places, strict=True)]
+    labels = [(dates.bucket_label(k.grain, F.col(c)) if k.returns == "bucket" else F.col(c)).alias(k.name) for k, c in zip(s.keys, keys, strict=True)]
     values = [F.round(f"__m_{m.out}", 6).alias(m.out) for m in s.measures]
-    scalars = [dates.SCALARS[d.via](places[d.key]).alias(d.out) for d in s.derives]
+    scalars = [dates.SCALARS[d.via](F.col(keys[d.key])).alias(d.out) for d in s.derives]
     return found.select(*labels, *values, *scalars)
+
+
+def _seconds(delay: str) -> float:
+    """Length of a delay such as ``2 days`` or ``36 hours``, to compare delays by."""
+    number, unit = delay.split()[:2]
+    return float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit.rstrip("s")]

@@ -196,7 +196,7 @@ def test_stream_equals_batch(spark, tmp_path):
         assert spark.table(name).columns == want.columns
         got = sorted(map(tuple, spark.table(name).collect()))
         assert got == sorted(map(tuple, want.collect())) and len(got) == 3
-    for more in ({"order_by": "k"}, {"aggregates": [{"name": "c", "using": "label", "of": "k"}]}, {"keys": [{"name": "t", "via": "bin:month"}]}):
+    for more in ({"order_by": "k"}, {"aggregates": [{"name": "c", "using": "label", "of": "k"}]}, {"keys": [{"name": "k", "from": "k"}]}):
         with pytest.raises(ValueError, match="not on a stream"):
             stream_frame(stream, spec | {"derives": []} | more)
 
