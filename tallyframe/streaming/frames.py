@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import coerce, dates, registered
-from tallyframe.functions.scratch import free_names
+from tallyframe.functions.scratch import free_names, shared_dir
 from tallyframe.operators.frame import _DROP, _aggregate, _copies, _prepared
 from tallyframe.plans.spec import Spec, resolve
 
@@ -80,3 +81,19 @@ def _seconds(delay: str) -> float:
     """Length of a delay such as ``2 days`` or ``36 hours``, to compare delays by."""
     number, unit = delay.split()[:2]
     return float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit.rstrip("s")]
+
+
+def snapshot(stream: DataFrame, label: str) -> DataFrame:
+    """What a streamed frame says of all that is there now, as a table in the shared folder; each micro-batch writes a whole one."""
+    spark, place = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/tallyframe/{label}-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/{number}")
+        last[:] = [number]
+
+    running = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    running.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{place}/{last[0]}")

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from tallyframe import estimator_queries as estimator_queries
+from tallyframe import history_queries as history_queries
 from tallyframe import queries as queries
 from tallyframe import registry
 
