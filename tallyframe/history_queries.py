@@ -104,9 +104,7 @@ def states_merged(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_refile_past_only", _LATE_SQL)
 def stream_refile_past_only(spark: SparkSession, d: str) -> DataFrame:
     """The same frame over a stream of order lines, joined with the orders' table."""
-    table = tables.read_parquet(spark, d, "lineitem")
-    lines = spark.readStream.schema(table.schema).parquet(f"{d.rstrip('/')}/lineitem.parquet")
-    orders = tables.read_parquet(spark, d, "orders")
+    lines, orders = tables.stream_parquet(spark, d, "lineitem"), tables.read_parquet(spark, d, "orders")
     return _late(snapshot(stream_frame(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), _LATE), "refiled"))
 
 
@@ -116,8 +114,7 @@ def stream_refile_past_only(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_align_full_outer(spark: SparkSession, d: str) -> DataFrame:
     """Two streams with a clock and a watermark each, in one frame."""
-    named = {"o": "orders", "l": "lineitem"}
-    streams = {k: spark.readStream.schema(tables.read_parquet(spark, d, n).schema).parquet(f"{d.rstrip('/')}/{n}.parquet") for k, n in named.items()}
+    streams = {"o": tables.stream_parquet(spark, d, "orders"), "l": tables.stream_parquet(spark, d, "lineitem")}
     spec = {"sources": [{"id": "o", "time_from": "o_orderdate"}, {"id": "l", "time_from": "l_shipdate"}], "keys": [{"name": "t", "via": "bin:month"}], "aggregates": [{"name": "ordered", "using": "sum", "of": "o.o_totalprice"}, {"name": "shipped", "using": "sum", "of": "l.l_quantity"}]}
     found = snapshot(stream_frame(streams, spec, "7 days"), "aligned")
     return found.select("t", F.round("ordered", 2).alias("ordered"), F.round("shipped", 2).alias("shipped"))

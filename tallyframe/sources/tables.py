@@ -48,3 +48,9 @@ def write(df: DataFrame, path: str, form: str = "parquet") -> None:
         raise ValueError(f"form: parquet, json, csv or orc, not '{form}'")
     writer = df.write.option("header", True) if form == "csv" else df.write
     writer.format(form).save(path)
+
+
+def stream_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table's files as a stream, be it one file or a folder of them; what is added later follows."""
+    schema = read_parquet(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name}.parque[t]")  # a pattern: a plain path must be a folder
