@@ -5,12 +5,13 @@ informative Dirichlet prior taken from both together. Each counted token's log-o
 negative, are shrunk by the probability that it is not neutral: a mixture over all tokens of a toxic
 share equal to that of all texts and of any share, whose weight is learnt. Scores stand to two places,
 and tokens without one are neutral. Tokens are words and the beginnings of longer words, which stand
-for inflected forms; a word scores as its best token, and neutral ones share one negative score. A
+for inflected forms; a word scores as the best of its tokens that have a score, which is negative if theirs all
+are, and words without any share one negative score. A
 linear-time scan finds every maximal segment of positive sum.
 
 A segment of sum S in a text of n words has the normalised score ``scale * S - ln(K * n)``: the scale is
 Karlin and Altschul's root under the other texts, K the constant of the extreme value distribution
-that their best sums have at its upper tail. Segments above LEVEL are significant. How many segments
+of their best sums, by maximum likelihood over its upper tail. Segments above LEVEL are significant. How many segments
 reach a score by chance is Poisson, so the r-th best one bounds the p-value of r segments; a text's
 evidence is the best such bound, as a logarithm, and is calibrated to a probability by a logistic model.
 Scale, K and calibration score each labelled text by the counts of the others.
@@ -43,9 +44,9 @@ from tallyframe.llm.scratch import materialise
 
 #: Labelled rows on which evidence is calibrated.
 CALIBRATION = 6000
-#: Part of the other texts at whose best sums the extreme value distribution is fitted, and the
+#: Part of the other texts whose best sums count as they are in K's fit, all others as below them, and the
 #: normalised score from which a segment is significant: 1 in 20 texts has one by chance.
-TAIL, LEVEL = 0.01, 3.0
+TAIL, LEVEL = 0.05, 3.0
 #: Labels up to this many are sent to the scan of the texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Tokens of the lexicon up to this many are sent to every task, 16 bytes each.
@@ -127,7 +128,7 @@ class Scanner:
         return cls(keys[order], table.column(1).combine_chunks().to_numpy(zero_copy_only=False)[order], model.other, model.scale, model.log_k)
 
     def worth(self, h: np.ndarray) -> np.ndarray:
-        """Scores of words from the hashes of their tokens: that of the best one."""
+        """Scores of words from the hashes of their tokens: that of the best one that has a score, ``other`` without any."""
         coded = pa.array(h[0]).dictionary_encode()
         index = coded.indices.to_numpy()
         first = np.zeros(len(coded.dictionary), dtype=np.int64)
@@ -135,8 +136,8 @@ class Scanner:
         best = np.full(len(first), -np.inf)
         for row in h[:, first]:
             at = np.minimum(np.searchsorted(self.keys, row), len(self.keys) - 1)
-            best = np.maximum(best, np.where(self.keys[at] == row, self.scores[at], 0.0))
-        return np.where(best == 0, self.other, best)[index]
+            best = np.maximum(best, np.where((self.keys[at] == row) & (self.scores[at] != 0), self.scores[at], -np.inf))
+        return np.where(np.isneginf(best), self.other, best)[index]
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
         """Texts with words: number, scores of words, segments, byte starts and ends of words.
@@ -262,8 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     best = drawn.dropna(subset="top")
     if len(best):
         model.scale = _scale(words.index.to_numpy(), words.to_numpy() / words.sum(), rest)
-        high = np.quantile(model.scale * best["top"] - np.log(best["words"]), 1 - TAIL, method="higher")
-        model.log_k = float(high + np.log(-np.log(1 - TAIL)))
+        model.log_k = _log_k((model.scale * best["top"] - np.log(best["words"])).to_numpy())
     sample = []
     for y in (0, 1):
         found = _by_chunks(texts.where(F.col("doc_id") == y), model, f"apart{y}", Scanner.evidence, EVIDENCE)
@@ -273,6 +273,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _log_k(z: np.ndarray) -> float:
+    """Log K by maximum likelihood over the upper TAIL of best sums less the logarithm of their words.
+
+    A best sum is at most z with probability exp(-K exp(-z)). Those at the tail's lower end or above count as they
+    are, the others as being below it, so that every sum has its say and the bulk, which fits worse, has no other.
+    """
+    low = np.quantile(z, 1 - TAIL, method="higher")
+    above = z[z >= low]
+    return float(log(len(above)) - np.log(np.exp(low - above).sum() + len(z) - len(above)) + low)
+
+
 def _log_factorial(x: Column) -> Column:
     y = F.greatest(x, F.lit(1.0))
     return F.when(x < 1.5, 0.0).otherwise(y * F.log(y) - y + F.log(y * (2 * np.pi)) / 2 + 1 / (12 * y) - 1 / (360 * y * y * y))

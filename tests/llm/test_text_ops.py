@@ -386,13 +386,33 @@ def test_segments_take_linear_time():
         assert seconds(scores * 2) < 3 * seconds(scores) + 0.2
 
 
+def test_k_comes_from_the_whole_tail():
+    rng = np.random.default_rng(4)
+    for k in (0.2, 3.0):
+        z = log(k) - np.log(-np.log(rng.random(4000)))
+        assert abs(toxicity._log_k(z) - log(k)) < 0.2
+        spread = [toxicity._log_k(z[i : i + 200]) for i in range(0, 4000, 200)]
+        assert abs(np.mean(spread) - log(k)) < 0.3 and np.std(spread) < 0.5
+    assert toxicity._log_k(np.zeros(5)) == 0.0 and toxicity._log_k(np.array([2.0])) == 2.0
+
+
+def test_negative_odds_of_a_word_count_without_stems():
+    keys = np.sort(np.array([textkit.hash_word(w) for w in (b"harmless", b"grim", b"zero")], dtype=np.uint64))
+    by_hash = {textkit.hash_word(b"harmless"): -2.0, textkit.hash_word(b"grim"): 1.5, textkit.hash_word(b"zero"): 0.0}
+    scanner = toxicity.Scanner(keys, np.array([by_hash[int(k)] for k in keys]), -0.1)
+    data = np.frombuffer(b"harmless grim grimly zero other", dtype=np.uint8)
+    h, *_ = toxicity.tokens(data, np.array([0, len(data)]))
+    want = [-2.0, 1.5, 1.5 if 4 in toxicity.STEMS else -0.1, -0.1, -0.1]
+    assert scanner.worth(h).tolist() == want
+
+
 def brute_scan(lexicon, text):
     """Words of a text and their scores, by plain look-ups."""
     out = []
     for m in re.finditer("[a-z\x80-\xff]+", text.encode().decode("latin-1").lower() if text.isascii() else text.encode().decode("latin-1").translate({k: k + 32 for k in range(65, 91)})):
         word = m[0].encode("latin-1")
         own = [lexicon.get(textkit.hash_word(w), 0.0) for w in dict.fromkeys([word, *(word[:k] for k in toxicity.STEMS)])]
-        best = max(own)
+        best = max((x for x in own if x), default=0.0)
         out.append((m.span(), best))
     return out
 
