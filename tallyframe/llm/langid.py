@@ -4,8 +4,9 @@ Texts are lower-cased, every run of non-letters is one space, and each symbol is
 the three before it. The n-grams of all labelled training texts are counted on the cluster; from
 the counts, the driver derives for each language the interpolated Kneser-Ney probabilities and
 stores them in arrays sorted by n-gram hash, one column for each language. Where these would pass
-``MAX_CELLS``, the counts stay a table, and probabilities and sums come from joins; either way every
-n-gram counts. A text gets the language of the lowest cross-entropy for each symbol. It is rejected
+``MAX_CELLS``, the arrays hold the commonest n-grams; those beyond stay a table, a row for each with all
+languages, and chunks of texts look up once each n-gram that the arrays lack. Either way every n-gram
+counts, with the same probability. A text gets the language of the lowest cross-entropy for each symbol. It is rejected
 where even that lies beyond a limit for its language and length. The limits come from cross-fitting: a
 bounded sample of each language (``ASIDE``) is scored by a second model that does not count it, while the model
 that predicts counts every training text. A language that only the sample holds, or that has none in it, has the
@@ -25,6 +26,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +36,10 @@ from tallyframe.llm import textkit
 from tallyframe.llm.scratch import free_names, materialise
 
 ORDER = 4
-#: Probabilities of the highest order that arrays hold: n-grams times languages. Where training gives
-#: more, the model is a table.
+#: Probabilities of the highest order that arrays hold: n-grams times languages. The rest stays a table.
 MAX_CELLS = 8_000_000
+#: Log probabilities that a task looks up together.
+PART = 4_000_000
 #: Entries of counts that a task merges at a time.
 MERGE = 2_000_000
 #: Texts of a language that calibrate its limit: the part of them, and the most.
@@ -172,6 +176,18 @@ class Spread:
     rest: DataFrame
 
 
+@dataclass
+class Tables:
+    """Counts by order, a row for each n-gram or context: the number of each language that has it, with its counts."""
+
+    langs: list[str]
+    #: ``gram, seen`` with ``at, n`` of each language, and ``head, over`` with ``at, total, types``.
+    seen: list[DataFrame]
+    over: list[DataFrame]
+    discounts: list[np.ndarray]
+    vocabulary: int
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
@@ -275,60 +291,175 @@ def _suffix(order: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1).cast("long"))
 
 
-def _probabilities(model: Spread, wanted: DataFrame) -> tuple[DataFrame, int]:
-    """``lang, gram, p`` of each n-gram of ``wanted`` and language, as ``fit`` has them, and the vocabulary."""
-    tables, asked = [model.counts], [wanted]
+def _number(langs: list[str]) -> Column:
+    """Place of a row's ``lang`` among ``langs``, from 0."""
+    return (F.array_position(F.array(*(F.lit(x) for x in langs)), F.col("lang")) - 1).cast("int")
+
+
+def _tables(langs: list[str], counts: DataFrame) -> Tables:
+    """The tables of ``lang, gram, n``; only what was counted has an entry."""
+    tables = [counts.select(_number(langs).alias("at"), "gram", "n")]
+    for order in range(ORDER - 1, 0, -1):
+        tables.insert(0, materialise(tables[0].groupBy("at", _suffix(order).alias("gram")).agg(F.count("*").alias("n")), "shorter"))
+    seen, over, discounts = [], [], []
+    for table in tables:
+        steps = table.groupBy("at").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
+        cuts = np.full(len(langs), 0.5)
+        for r in steps:
+            cuts[r["at"]] = min(max(r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] else 0.5, 0.1), 0.95)
+        discounts.append(cuts)
+        seen.append(materialise(table.groupBy("gram").agg(F.collect_list(F.struct("at", "n")).alias("seen")), "seen"))
+        heads = table.groupBy("at", F.shiftrightunsigned("gram", 16).alias("head")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+        over.append(materialise(heads.groupBy("head").agg(F.collect_list(F.struct("at", "total", "types")).alias("over")), "over"))
+    return Tables(langs, seen, over, discounts, seen[0].count() + 1)
+
+
+def _wide(column: pa.ListArray, width: int) -> list[np.ndarray]:
+    """Matrices of the numbers in lists of structs ``at, ...``, a row for each list; 0 where nothing stands."""
+    row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    at, *values = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+    out = [np.zeros((len(column), width)) for _ in values]
+    for table, x in zip(out, values, strict=True):
+        table[row, at] = x
+    return out
+
+
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
+
+
+def _probabilities(tables: Tables, wanted: DataFrame) -> DataFrame:
+    """``gram, p`` of the distinct n-grams ``wanted``: probabilities as ``fit`` has them, one for each language."""
+    asked = [wanted]
     for order in range(ORDER - 1, 0, -1):
-        tables.insert(0, materialise(tables[0].groupBy("lang", _suffix(order).alias("gram")).agg(F.count("*").alias("n")), "shorter"))
         asked.insert(0, asked[0].select(_suffix(order).alias("gram")).distinct())
-    vocabulary = tables[0].select("gram").distinct().count() + 1
-    langs = F.explode(F.array(*(F.lit(x) for x in model.langs)))
+    width, vocabulary = len(tables.langs), tables.vocabulary
+    step = max(1, PART // width)
+
+    def interpolated(discount: np.ndarray):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    gram, seen, over, below = batch.slice(at, step).columns
+                    (n,), (total, types) = _wide(seen, width), _wide(over, width)
+                    prior = below.flatten().to_numpy().reshape(-1, width) if len(below.flatten()) else 1 / vocabulary
+                    weight = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
+                    p = np.where(total > 0, np.maximum(n - discount, 0) / np.maximum(total, 1), 0) + weight * prior
+                    yield pa.RecordBatch.from_arrays([gram, _lists(p)], names=["gram", "p"])
+
+        return run
+
     known: DataFrame | None = None
-    for order, (table, grams_asked) in enumerate(zip(tables, asked, strict=True), 1):
-        steps = table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
-        cuts = {r["lang"]: min(max(r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] else 0.5, 0.1), 0.95) for r in steps}
-        discount = F.from_json(F.lit(json.dumps(cuts)), "map<string,double>")[F.col("lang")]
-        head = F.shiftrightunsigned("gram", 16).alias("head")
-        heads = table.groupBy("lang", head).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-        rows = grams_asked.select(langs.alias("lang"), "gram", head, _suffix(order - 1).alias("low")).join(table, ["lang", "gram"], "left").join(heads, ["lang", "head"], "left")
-        rows = rows.withColumn("below", F.lit(1 / vocabulary)) if known is None else rows.join(known.select("lang", F.col("gram").alias("low"), F.col("p").alias("below")), ["lang", "low"])
-        seen = F.greatest(F.coalesce("n", F.lit(0)) - discount, F.lit(0.0)) / F.col("total") + discount * F.col("types") / F.col("total") * F.col("below")
-        known = materialise(rows.select("lang", "gram", F.when(F.col("total").isNull(), F.col("below")).otherwise(seen).alias("p")), "probabilities")
-    return known, vocabulary
-
-
-def _text_grams(docs: DataFrame) -> DataFrame:
-    """``key, gram, n`` of each different text with letters."""
+    for order, grams_asked in enumerate(asked, 1):
+        rows = grams_asked.select("gram", F.shiftrightunsigned("gram", 16).alias("head"), _suffix(order - 1).alias("low"))
+        rows = rows.join(tables.seen[order - 1], "gram", "left").join(tables.over[order - 1], "head", "left")
+        rows = rows.withColumn("below", F.lit(None).cast("array<double>")) if known is None else rows.join(known.select(F.col("gram").alias("low"), F.col("p").alias("below")), "low")
+        known = materialise(rows.select("gram", "seen", "over", "below").mapInArrow(interpolated(tables.discounts[order - 1]), "gram long, p array<double>"), "probabilities")
+    return known
+
+
+def _common(tables: Tables, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log probabilities of the commonest n-grams, as many as ``MAX_CELLS`` allows.
+
+    Taken whole from the highest powers of two of their counts down, so nothing is sorted in one task.
+    """
+    totals = materialise(counts.groupBy("gram").agg(F.sum("n").alias("n")), "totals")
+    power = F.floor(F.log2("n") + F.lit(1e-9)).cast("int")
+    room, least = MAX_CELLS // len(tables.langs), None
+    for r in totals.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["power"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros((0, len(tables.langs)), dtype=np.float32)
+    known = _probabilities(tables, totals.where(power >= least).select("gram")).toArrow()
+    keys = textkit.mix64(known.column("gram").to_numpy().view(np.uint64))
+    logs = np.log(known.column("p").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)).astype(np.float32)
+    order = np.argsort(keys)
+    return keys[order], logs[order]
+
+
+_CHUNKS = "chunk long, key long, part int, n long, sums array<double>, grams array<long>, ns array<long>, wanted array<long>"
+
+
+def _chunks(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
+    """Each text with letters, in parts of bounded size: the sums over its common n-grams, and its other n-grams with their counts.
+
+    Parts are put together in chunks of bounded size; the first row of a chunk has its different other n-grams.
+    """
+    shared, most = texts.sparkSession.sparkContext.broadcast(common), max(1, PART // width)
+    schema = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.float64())), *((x, pa.list_(pa.int64())) for x in ("grams", "ns", "wanted"))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logs = shared.value
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            wanted = [np.unique(np.concatenate([r[4] for r in held])), *([[]] * (len(held) - 1))]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([[chunk] * len(held), *zip(*held, strict=True), wanted], schema, strict=True)], schema=schema)
+
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes, _, has = grams([text])
-                if has[0]:
-                    found, n = np.unique(codes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found.view(np.int64)), pa.array(n)], names=["key", "gram", "n"])
-
-    return docs.select(F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string")).mapInArrow(run, "key long, gram long, n long").groupBy("key", "gram").agg(F.max("n").alias("n"))
+                if not has[0]:
+                    continue
+                found, n = np.unique(codes, return_counts=True)
+                for part, begin in enumerate(range(0, len(found), most)):
+                    own, times = found[begin : begin + most], n[begin : begin + most]
+                    at, here = _find(keys, textkit.mix64(own))
+                    held.append((key, part, int(times.sum()), times[here] @ logs[at[here]].astype(float), own[~here].view(np.int64), times[~here]))
+                    size += len(held[-1][4])
+                    if size >= most or len(held) >= most:
+                        yield out()
+                        chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield out()
+
+    return texts.select(F.xxhash64("text"), "text").mapInArrow(run, _CHUNKS)
+
+
+def _summed(texts: DataFrame, tables: Tables, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``key, logs, n`` of each different text with letters: its log probability for each language, and its symbols.
+
+    A chunk asks for each n-gram once, whatever the number of its texts and of languages.
+    """
+    width = len(tables.langs)
+    rows = materialise(_chunks(texts, common, width), "chunks")
+    asked = rows.select(F.col("chunk").alias("asker"), F.explode("wanted").alias("gram"))
+    known = _probabilities(tables, materialise(asked.select("gram").distinct(), "asked"))
+    answers = asked.join(known.select("gram", F.transform("p", lambda p: F.log(p).cast("float")).alias("logs")), "gram")
+
+    def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        gram = answers.column("gram").to_numpy()
+        order = np.argsort(gram)
+        gram = gram[order]
+        logs = answers.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, width)[order] if len(gram) else np.zeros((0, width))
+        sums = [
+            np.array(own) + np.array(n, dtype=np.int64) @ logs[np.searchsorted(gram, np.array(grams, dtype=np.int64))].astype(float)
+            for own, grams, n in zip(*(texts.column(x).to_pylist() for x in ("sums", "grams", "ns")), strict=True)
+        ]
+        out = _lists(np.stack(sums)) if sums else pa.array([], pa.list_(pa.float64()))
+        return pa.Table.from_arrays([*(texts.column(x) for x in ("key", "part", "n")), out], names=["key", "part", "n", "sums"])
+
+    by_chunk = rows.drop("wanted").groupBy("chunk").cogroup(answers.groupBy("asker"))
+    parts = by_chunk.applyInArrow(add, "key long, part int, n long, sums array<double>").dropDuplicates(["key", "part"])
+    whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "n", "sums"))).alias("parts"))
+    total = F.aggregate("parts.sums", F.array_repeat(F.lit(0.0), width), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return materialise(whole.select("key", total.alias("logs"), F.aggregate("parts.n", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")), "sums")
 
 
 def _marked_by_joins(docs: DataFrame, model: Spread, names: list[str]) -> DataFrame:
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-
-    def summed(texts: DataFrame, model: Spread) -> tuple[DataFrame, int]:
-        own = materialise(_text_grams(texts), "text_grams")
-        known, vocabulary = _probabilities(model, own.select("gram").distinct())
-        sums = own.join(known, "gram").groupBy("key", "lang").agg(F.sum(F.col("n") * F.log("p")).alias("log"), F.sum("n").alias("n"))
-        return materialise(sums, "sums"), vocabulary
-
-    sums, vocabulary = summed(texts, model)
-    small = Model(model.langs, [], [], [], [], float(-np.log(vocabulary)))
-    left = sorted(r["lang"] for r in model.rest.select("lang").distinct().collect())
-    apart = summed(model.aside.select("text"), Spread(left, model.rest, model.aside, model.rest))[0]
-    aside = model.aside.select(F.xxhash64("text").alias("key"), "lang").join(apart, ["key", "lang"])
-    _calibrate(small, aside.select("lang", (-F.col("log") / F.col("n")).alias("cross"), "n").collect())
+    tables = _tables(model.langs, model.counts)
+    sums = _summed(docs.select(F.col("text").cast("string").alias("text")), tables, _common(tables, model.counts))
+    small = Model(model.langs, [], [], [], [], float(-np.log(tables.vocabulary)))
+    without = _tables(model.langs, model.rest)
+    apart = _summed(model.aside.select("text"), without, _common(without, model.rest))
+    left = [r["lang"] for r in model.rest.select("lang").distinct().collect()]
+    aside = model.aside.where(F.col("lang").isin(left)).select(F.xxhash64("text").alias("key"), "lang").join(apart, "key")
+    _calibrate(small, aside.select("lang", (-F.get("logs", _number(model.langs)) / F.col("n")).alias("cross"), "n").collect())
     key, logs, size = free_names(docs, "key", "logs", "n")
-    totals = sums.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lang", "log"))).alias("logs"), F.max("n").alias("n"))
-    totals = totals.select(F.col("key").alias(key), F.col("logs.log").alias(logs), F.col("n").alias(size))
+    totals = sums.select(F.col("key").alias(key), F.col("logs").alias(logs), F.col("n").alias(size))
     joined = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"))).join(totals, key, "left").select(*(F.col(f"`{c}`") for c in docs.columns), logs, size)
     width = len(docs.columns)
 

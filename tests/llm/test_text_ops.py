@@ -224,10 +224,13 @@ def test_language_models(docs, rows, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
-def test_language_models_beyond_the_arrays_lose_no_n_gram(monkeypatch, docs):
+@pytest.mark.parametrize("cells, part", [(300, 4_000_000), (6000, 600), (2, 600)])
+def test_language_models_beyond_the_arrays_lose_no_n_gram(monkeypatch, docs, cells, part):
+    """Some n-grams in the arrays, many and none; texts in one part and in several."""
     order = lambda df: sorted(map(tuple, df.collect()), key=str)
     want = order(langid.predict_languages(docs))
-    monkeypatch.setattr(langid, "MAX_CELLS", 300)
+    monkeypatch.setattr(langid, "MAX_CELLS", cells)
+    monkeypatch.setattr(langid, "PART", part)
     got = order(langid.predict_languages(docs))
     assert len(got) == len(want)
     for x, y in zip(got, want, strict=True):
@@ -280,10 +283,11 @@ def test_sixty_languages_equal_brute_force(spark, monkeypatch):
         assert np.allclose(logs[:, model.langs.index(lang)], want, atol=1e-4)
     monkeypatch.setattr(langid, "MAX_CELLS", 10)
     spread = langid.train(docs, F.lit(False))
-    known = langid._probabilities(spread, spark.createDataFrame([(int(c),) for c in asked.view(np.int64)], "gram long"))[0]
-    rows = known.where("lang in ('l00', 'l17', 'l59')").collect()
-    assert len(rows) == 3 * len(asked)
-    assert all(np.isclose(r["p"], p(r["lang"], r["gram"] % (1 << 64), langid.ORDER), rtol=1e-9) for r in rows)
+    tables = langid._tables(spread.langs, spread.counts)
+    rows = langid._probabilities(tables, spark.createDataFrame([(int(c),) for c in asked.view(np.int64)], "gram long")).collect()
+    assert len(rows) == len(asked)
+    for k in (0, 17, 59):
+        assert all(np.isclose(r["p"][k], p(spread.langs[k], r["gram"] % (1 << 64), langid.ORDER), rtol=1e-9) for r in rows)
 
 
 @pytest.mark.parametrize("cells", [8_000_000, 10])
