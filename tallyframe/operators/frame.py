@@ -24,6 +24,8 @@ from tallyframe.plans.spec import Key, Measure, Spec, resolve
 
 #: Rows of an alias table that go to every task.
 BROADCAST_ALIASES = 200_000
+#: Classes of a label that ``meta`` lists.
+LISTED_CLASSES = 10_000
 
 _SRC, _ORD, _EVENT, _ARRIVAL, _FORWARD, _DROP = "__src", "__ord", "__event", "__arrival", "__forward", "__drop"
 
@@ -114,7 +116,8 @@ class Frame:
     df: DataFrame
     _everything: Callable[[], DataFrame]
     _unmatched: DataFrame | None
-    _classes: dict[str, DataFrame]
+    #: For each label measure: ``id, name`` of its classes.
+    classes: dict[str, DataFrame]
 
     @cached_property
     def _rows(self) -> DataFrame:
@@ -130,7 +133,10 @@ class Frame:
 
     @cached_property
     def meta(self) -> dict:
-        """Counts and ranges, from one pass over the rows and one over the frame."""
+        """Counts and ranges, from one pass over the rows and one over the frame.
+
+        A label with more than ``LISTED_CLASSES`` classes has only their number here; ``classes`` holds them all.
+        """
         s, df = self.spec, self.df
         spine = s.spine
         others = [k.name for k in s.keys if not k.spine]
@@ -151,8 +157,11 @@ class Frame:
         gaps = {m.out: f[f"null_{i}"] for i, m in enumerate(s.measures)}
         if any(gaps.values()):
             out["nulls_per_measure"] = {k: v for k, v in gaps.items() if v}
-        if self._classes:
-            out["classes"] = {name: {str(int(x["id"])): x["name"] for x in c.collect()} for name, c in self._classes.items()}
+        if self.classes:
+            found = {name: c.limit(LISTED_CLASSES + 1).collect() for name, c in self.classes.items()}
+            out["classes"] = {name: {str(int(x["id"])): x["name"] for x in rows} for name, rows in found.items() if len(rows) <= LISTED_CLASSES}
+            if len(out["classes"]) < len(found):
+                out["class_counts"] = {name: self.classes[name].count() for name in found if name not in out["classes"]}
         if len(s.sources) > 1:
             out["join"] = {"on": "time", "gaps": gaps, "broadcast_unmatched": self._unmatched.count() if self._unmatched is not None else 0}
             out["sources"] = {x[_SRC]: x["count"] for x in self._rows.where(F.coalesce(F.col(_DROP) != "unknown_source", F.lit(True))).groupBy(_SRC).count().collect()}
@@ -347,5 +356,6 @@ def build(rows: DataFrame | dict[str, DataFrame], document: dict | Spec, aliases
         if m.function == "label":
             distinct = df.select(F.col(f"`{m.out}`").alias("name")).where(F.col("name").isNotNull()).distinct()
             classes[m.out] = positions(distinct, "name", "id").withColumn("id", F.col("id").cast("double"))
-            df = df.join(classes[m.out].withColumnRenamed("name", m.out).withColumnRenamed("id", "__id"), m.out, "left").withColumn(m.out, F.col("__id")).drop("__id")
+            (place,) = free_names(df, "place")
+            df = df.join(classes[m.out].select(F.col("name").alias(m.out), F.col("id").alias(place)), m.out, "left").withColumn(m.out, F.col(place)).drop(place)
     return Frame(s, df.select(*(F.col(f"`{c}`") for c in s.columns)), everything, unmatched, classes)
