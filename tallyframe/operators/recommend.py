@@ -1,7 +1,14 @@
-"""Item-to-item recommendation as joins, aggregations and ranks over ``user, item, w``."""
+"""Item-to-item recommendation as joins, aggregations and ranks over ``user, item, w``.
+
+Tables with a row for each user are never broadcast, however small their files are: they would pass through the
+driver. What a user's interactions become (pairs, scores) is many times the interactions, so these are dealt out by
+their number, ``ROWS_A_TASK`` to a task, and not by the bytes they take before that.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +40,15 @@ def split(data: DataFrame, holdout: float = 0.3, salt: str = "") -> DataFrame:
 
 #: Items of a user that meet in one task.
 BLOCK = 2000
+#: Interactions that are dealt to one task, about.
+ROWS_A_TASK = 100_000
+#: Rows of item similarities that go to every task; more are joined by a shuffle.
+BROADCAST_PAIRS = 200_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks for work on interactions: more as there are more of them."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / ROWS_A_TASK))
 
 
 def _in_blocks(train: DataFrame) -> DataFrame:
@@ -42,7 +58,7 @@ def _in_blocks(train: DataFrame) -> DataFrame:
     out over the cluster.
     """
     sizes = train.groupBy("user").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = train.join(sizes, "user").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    placed = train.join(sizes.hint("merge"), "user").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     return placed.select("user", "item", "w", "block", F.explode(pairs).alias("p")).select("user", "item", "w", "block", "p.i", "p.j")
 
@@ -50,9 +66,9 @@ def _in_blocks(train: DataFrame) -> DataFrame:
 def item_similarity(train: DataFrame) -> DataFrame:
     """``item, other, sim`` of items that share a user, both ways round: cosine of their weights."""
     norms = train.groupBy("item").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rows = _in_blocks(train)
+    rows = _in_blocks(train).repartition(tasks_for(train), "user", "i", "j")
     a, b = rows.withColumnsRenamed({"w": "wa", "block": "ba"}), rows.withColumnsRenamed({"item": "other", "w": "wb", "block": "bb"})
-    dots = a.join(b, ["user", "i", "j"]).where("item < other and (ba <> bb or i = j)").groupBy("item", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    dots = a.join(b.hint("merge"), ["user", "i", "j"]).where("item < other and (ba <> bb or i = j)").groupBy("item", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     both = dots.join(norms, "item").join(norms.toDF("other", "norm_other"), "other").where("norm > 0 and norm_other > 0").select("item", "other", (F.col("dot") / (F.col("norm") * F.col("norm_other"))).alias("sim"))
     turned = F.array(F.struct(F.col("item").alias("item"), F.col("other").alias("other")), F.struct(F.col("other").alias("item"), F.col("item").alias("other")))
     return both.select(F.explode(turned).alias("p"), "sim").select("p.item", "p.other", "sim")
@@ -86,16 +102,34 @@ def popular_top(users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> Da
     return chosen.join(ranked, "place").select("user", "item", "rank", F.round(F.col("pop").cast("double"), 6).alias("score"))
 
 
+def _scores(history: DataFrame, sim: DataFrame, users: DataFrame | None) -> DataFrame:
+    """``user, item, score`` of items that are similar to a user's own and not among them.
+
+    Few similarities go to every task as a list for each item: a user's interactions are shuffled once, by user, and
+    sums, what is taken already, and ranks come from the same task. With more similarities the products are shuffled.
+    """
+    tasks = tasks_for(history)
+    own = history.select("user", "item", "w").repartition(tasks, "user")
+    if users is not None:
+        own = own.join(users.select("user").repartition(tasks, "user").hint("merge"), "user", "left_semi")
+    if sim.limit(BROADCAST_PAIRS + 1).count() > BROADCAST_PAIRS:
+        found = own.join(sim, "item").groupBy("user", "other").agg(F.sum(F.col("sim") * F.col("w")).alias("score"))
+        return found.select("user", F.col("other").alias("item"), "score").join(history.select("user", "item").hint("merge"), ["user", "item"], "left_anti")
+    lists = sim.groupBy("item").agg(F.collect_list(F.struct("other", "sim")).alias("near"))
+    itself = F.array(F.struct(F.col("item").alias("other"), F.lit(None).cast("double").alias("sim")))
+    near = own.join(F.broadcast(lists), "item", "left").select("user", "w", F.explode(F.when(F.col("near").isNull(), itself).otherwise(F.concat("near", itself))).alias("x"))
+    sums = near.groupBy("user", F.col("x.other").alias("item")).agg(F.sum(F.col("x.sim") * F.col("w")).alias("score"), F.count_if(F.col("x.sim").isNull()).alias("taken"))
+    return sums.where("taken = 0").select("user", "item", "score")
+
+
 def recommend(history: DataFrame, sim: DataFrame, pop: DataFrame, k: int = 5, users: DataFrame | None = None) -> DataFrame:
     """``user, item, rank, score`` from similar items, popular ones for users without a score."""
+    top = materialise(_top(_scores(history, materialise(sim, "rec-similar"), users), k), "rec-top")
     users = history.select("user").distinct() if users is None else users
-    scored = history.join(users, "user", "left_semi").join(sim, "item").groupBy("user", "other").agg(F.sum(F.col("sim") * F.col("w")).alias("score"))
-    fresh = materialise(scored.select("user", F.col("other").alias("item"), "score").join(history.select("user", "item"), ["user", "item"], "left_anti"), "rec-scores")
-    cold = users.join(fresh.select("user").distinct(), "user", "left_anti")
-    cold = materialise(cold, "rec-cold")
+    cold = materialise(users.join(top.select("user").distinct().hint("merge"), "user", "left_anti"), "rec-cold")
     if cold.isEmpty():
-        return _top(fresh, k)
-    return _top(fresh, k).unionByName(popular_top(cold, history.join(cold, "user", "left_semi"), pop, k))
+        return top
+    return top.unionByName(popular_top(cold, history.join(cold.hint("merge"), "user", "left_semi"), pop, k))
 
 
 def ranking_metrics(recs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -120,7 +154,7 @@ def evaluate(data: DataFrame, k: int = 5, holdout: float = 0.3, folds: int = 1)
         parts = once(split(data, holdout, str(fold) if folds > 1 else ""))
         train, held = parts.where("not held").drop("held"), parts.where("held").drop("held")
         users, pop = once(held.select("user").distinct()), once(popularity(train))
-        recs = once(recommend(train, once(item_similarity(train)), pop, k, users))
+        recs = once(recommend(train, item_similarity(train), pop, k, users))
         base = once(popular_top(users, train.join(users, "user", "left_semi"), pop, k))
         parts = [
             ranking_metrics(recs, held, k),

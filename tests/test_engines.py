@@ -274,3 +274,19 @@ def test_flat_profiles_are_lifted():
 def test_column_roles(spark):
     df = spark.createDataFrame([(f"2024-01-{k % 28 + 1:02d}", str(k * 1.5), f"id{k}", "ab"[k % 2]) for k in range(40)], "d string, n string, e string, g string")
     assert {r["column"]: r["role"] for r in column_roles(df).collect()} == {"d": "date", "n": "number", "e": "entity", "g": "dimension"}
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_shuffle_interactions_and_not_products(spark, monkeypatch):
+    rows = [(f"u{u}", f"i{(u * 7 + n * n) % 9}", float(n + 1)) for u in range(40) for n in range(1 + u % 5)]
+    data = recommend.interactions(spark.createDataFrame(rows, "u string, i string, w double"), "u", "i", "w").localCheckpoint()
+    sim, pop, users = recommend.item_similarity(data).localCheckpoint(), recommend.popularity(data), data.select("user").distinct().where("user < 'u3'")
+    scores = planned(recommend._scores(data, sim, None))
+    assert scores.count("Exchange hashpartitioning(user") == 1 and "Exchange hashpartitioning(item" in scores and scores.count("Exchange hashpartitioning") == 2
+    few = sorted(map(tuple, recommend.recommend(data, sim, pop, 3, users).collect()))
+    monkeypatch.setattr(recommend, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(recommend, "ROWS_A_TASK", 7)
+    assert few and few == sorted(map(tuple, recommend.recommend(data, recommend.item_similarity(data), pop, 3, users).collect()))
