@@ -92,7 +92,7 @@ def popular_top(users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> Da
     ranked = positions(pop.select((-F.col("pop")).alias("p"), "item", "pop"), ["p", "item"], "place").drop("p")
     known = ranked.count()
     own = seen.select("user", "item").distinct().join(ranked.select("item", "place"), "item").select("user", "place")
-    marks = users.select("user", F.explode(F.array(F.lit(-1).cast("long"), F.lit(known).cast("long"))).alias("place")).unionByName(own.join(users, "user", "left_semi"))
+    marks = users.select("user", F.explode(F.array(F.lit(-1).cast("long"), F.lit(known).cast("long"))).alias("place")).unionByName(own.join(users.hint("merge"), "user", "left_semi"))
     by = Window.partitionBy("user").orderBy("place")
     new = F.col("place") + 2 - F.row_number().over(by)  # new ranks up to here, and the next mark
     gaps = marks.select("user", "place", new.alias("before"), F.lead("place").over(by).alias("next"))
@@ -136,9 +136,9 @@ def ranking_metrics(recs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """``precision, recall, map`` averaged over the users of ``relevant``."""
     size = relevant.groupBy("user").agg(F.count("*").alias("n_relevant"))
     listed = recs.groupBy("user").agg(F.count("*").alias("n_listed"))
-    found = recs.join(relevant.select("user", "item"), ["user", "item"]).withColumn("hit", F.row_number().over(Window.partitionBy("user").orderBy("rank")))
+    found = recs.join(relevant.select("user", "item").hint("merge"), ["user", "item"]).withColumn("hit", F.row_number().over(Window.partitionBy("user").orderBy("rank")))
     hits = found.groupBy("user").agg(F.count("*").alias("hits"), F.sum(F.col("hit") / F.col("rank")).alias("gain"))
-    per = size.join(listed, "user", "left").join(hits, "user", "left")
+    per = size.join(listed.hint("merge"), "user", "left").join(hits.hint("merge"), "user", "left")
     n = F.coalesce("hits", F.lit(0))
     ap = F.when(n > 0, F.col("gain") / F.least("n_relevant", "n_listed")).otherwise(0.0)
     return per.agg(F.round(F.avg(n / F.lit(k)), 4).alias("precision"), F.round(F.avg(n / F.col("n_relevant")), 4).alias("recall"), F.round(F.avg(ap), 4).alias("map"), F.count("*").alias("users_scored"))
@@ -155,7 +155,7 @@ def evaluate(data: DataFrame, k: int = 5, holdout: float = 0.3, folds: int = 1)
         train, held = parts.where("not held").drop("held"), parts.where("held").drop("held")
         users, pop = once(held.select("user").distinct()), once(popularity(train))
         recs = once(recommend(train, item_similarity(train), pop, k, users))
-        base = once(popular_top(users, train.join(users, "user", "left_semi"), pop, k))
+        base = once(popular_top(users, train.join(users.hint("merge"), "user", "left_semi"), pop, k))
         parts = [
             ranking_metrics(recs, held, k),
             ranking_metrics(base, held, k).toDF("popular_precision", "popular_recall", "popular_map", "n"),

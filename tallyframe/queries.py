@@ -16,10 +16,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return tables.read_parquet(spark, d, name)
 
 
-def _sales(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines with order date, brand and type."""
-    lines = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def _sales(spark: SparkSession, d: str, parts: str = "") -> DataFrame:
+    """Order lines with order date, brand and type; ``parts``: a hint on how parts are joined."""
+    lines, part = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), _t(spark, d, "part")
+    return lines.join(part.hint(parts) if parts else part, F.col("l_partkey") == F.col("p_partkey"))
 
 
 _SALES = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
@@ -300,7 +300,7 @@ SPLIT = "s AS (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY subst
 
 
 def bought(spark: SparkSession, d: str) -> DataFrame:
-    return materialise(recommend.interactions(_sales(spark, d), "o_custkey", "p_brand", "l_quantity"), "bought")
+    return materialise(recommend.interactions(_sales(spark, d, "merge"), "o_custkey", "p_brand", "l_quantity"), "bought")  # parts grow, and broadcast they pass through the driver
 
 
 @query("rec_similarity", f"WITH {PAIRS}, {_SIM.format(t='d')} SELECT item, other, round(sim, 6) AS sim FROM sim")

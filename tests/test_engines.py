@@ -280,6 +280,14 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_by_user_do_not_pass_through_the_driver(spark, tmp_path):
+    rows = [(f"u{u}", f"i{(u + n) % 9}", n + 1) for u in range(40) for n in range(3)]
+    spark.createDataFrame(rows, "user string, item string, rank int").write.parquet(str(tmp_path / "recs"))
+    recs = spark.read.parquet(str(tmp_path / "recs"))
+    held = recs.where("rank = 1").select("user", "item")
+    assert "BroadcastExchange" not in planned(recommend.ranking_metrics(recs, held, 3))
+
+
 def test_scores_shuffle_interactions_and_not_products(spark, monkeypatch):
     rows = [(f"u{u}", f"i{(u * 7 + n * n) % 9}", float(n + 1)) for u in range(40) for n in range(1 + u % 5)]
     data = recommend.interactions(spark.createDataFrame(rows, "u string, i string, w double"), "u", "i", "w").localCheckpoint()
