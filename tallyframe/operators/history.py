@@ -2,12 +2,14 @@
 
 A row counts for others of its group from its arrival on, until its window has passed. So each row is a
 step up, a step down for each window, and a question; answers are running totals over the steps in time.
-Totals run within blocks of time of a group, and start from the totals of the blocks before: no join of
-rows with rows, and a group that holds most of the table is spread over its blocks.
+Rows are shuffled once, by group, and become steps in the task that runs their totals. A group of more than
+``GROUP`` rows is spread over blocks of time instead: its steps are shuffled, and totals start from those of the
+blocks before. No rows are joined with rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,12 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import coerce
-from tallyframe.functions.scratch import free_names
+from tallyframe.functions.scratch import materialise
 from tallyframe.plans.catalogs import ROW_DERIVES
 from tallyframe.plans.spec import RowDerive
 
 _DAY = 86_400_000_000
 _EXACT = "decimal(28,6)"
+#: Rows of a group whose history is computed in one task, at most.
+GROUP = 200_000
+#: Rows that are dealt to one task, about.
+ROWS_A_TASK = 100_000
 
 
 def _moment(rows: DataFrame, name: str) -> Column:
@@ -51,46 +57,63 @@ def _for_group(rows: DataFrame, features: list[RowDerive], by: tuple[str, ...],
     for f in features:
         if f.via not in ROW_DERIVES:
             raise ValueError(f"row derives: unknown '{f.via}'")
-    event_name, arrival_name, group_name = free_names(rows, "event", "arrival", "group")
-    work = rows.withColumn(event_name, _moment(rows, event))
-    e = F.col(event_name)
-    work = work.withColumn(arrival_name, F.greatest(e, _moment(rows, arrival)) if arrival else e)
-    a = F.col(arrival_name)
-    work = work.withColumn(group_name, F.to_json(F.array(*(coerce.text(coerce.cell(rows, c)) for c in by))) if by else F.lit(""))
+    e = _moment(rows, event)
+    a = F.greatest(e, _moment(rows, arrival)) if arrival else e
+    g = F.to_json(F.array(*(coerce.text(coerce.cell(rows, c)) for c in by))) if by else F.lit("")
 
     def value(f: RowDerive) -> Column:
         x = coerce.number(coerce.cell(rows, f.column), coerce.kind_of(rows, f.column))
         return F.when(F.abs(x) < 1e22, x).cast(_EXACT)
 
+    own = [f"c{i}" for i in range(len(rows.columns))]
+    work = rows.select(g.alias("g"), e.alias("e"), a.alias("a"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, own, strict=True)), *(value(f).alias(f"v{i}") for i, f in enumerate(features)))
+    e, a = F.col("e"), F.col("a")
     nothing, no_last = F.lit(0).cast(_EXACT), F.lit(None).cast(f"struct<at:bigint,v:{_EXACT}>")
+    totals = [c for i, f in enumerate(features) for c in ([f"l{i}"] if f.via == "last_value" else [f"s{i}", f"n{i}"])]
+    ends = sorted({f.days for f in features if f.via != "last_value"})
+
+    def steps(of: DataFrame) -> DataFrame:
+        """Up, down at the end of each window, and a question, with what each feature adds to the running totals there.
 
-    def step(at: Column, kind: Column, sign: int, ends: int | None, row: Column) -> Column:
-        """Up (1), down (-1) or a question (0), with what each feature adds to the running totals there."""
-        parts = [at.alias("at"), kind.alias("kind"), row.alias("row")]
+        What arrives late is seen at once (kind 0), what happens now only after the question (kind 1).
+        """
+        kinds = [(e, F.lit(1), 0), (a, F.when(a > e, 0).otherwise(2), -1), *((e + F.lit(d * _DAY), F.lit(2), d) for d in ends)]
+        moves = F.array(*(F.struct(at.alias("at"), kind.alias("kind"), F.lit(step).alias("step")) for at, kind, step in kinds))
+        each = of.withColumn("x", F.explode(F.when(e.isNull(), F.slice(moves, 1, 1)).otherwise(moves)))
+        step, parts = F.col("x.step"), []
         for i, f in enumerate(features):
-            v = value(f)
+            v = F.col(f"v{i}")
             if f.via == "last_value":
-                parts.append((F.when(v.isNotNull(), F.struct(e.alias("at"), v.alias("v"))) if sign == 1 else no_last).alias(f"l{i}"))
+                parts.append(F.when((step == -1) & v.isNotNull(), F.struct(e.alias("at"), v.alias("v"))).otherwise(no_last).alias(f"l{i}"))
                 continue
-            moves = sign == 1 or (sign == -1 and ends == f.days)
             seen = v.isNotNull() & (a <= e + F.lit(f.days * _DAY))
-            parts += [(F.when(seen, v * sign) if moves else nothing).cast(_EXACT).alias(f"s{i}"), (F.when(seen, sign) if moves else F.lit(0)).cast("long").alias(f"n{i}")]
-        return F.struct(*parts)
-
-    own = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
-    none = F.lit(None).cast(T.StructType([T.StructField(x.name, x.dataType, True) for x in rows.schema.fields]))
-    question = step(e, F.lit(1), 0, None, own)
-    changes = [step(a, F.when(a > e, 0).otherwise(2), 1, None, none)]  # what arrives late is seen at once, what happens now only later
-    changes += [step(e + F.lit(d * _DAY), F.lit(2), -1, d, none) for d in sorted({f.days for f in features if f.via != "last_value"})]
-    steps = work.select(F.col(group_name).alias("g"), F.explode(F.when(e.isNull(), F.array(question)).otherwise(F.array(question, *changes))).alias("x"))
-    steps = steps.select("g", F.coalesce(F.floor(F.col("x.at") / F.lit(block_days * _DAY)), F.lit(-(1 << 60))).cast("long").alias("block"), "x.*")
-    totals = [c for i, f in enumerate(features) for c in ([f"l{i}"] if f.via == "last_value" else [f"s{i}", f"n{i}"])]
+            sign = F.when(seen & (step == -1), 1).when(seen & (step == f.days), -1).otherwise(0)
+            parts += [F.when(sign == 1, v).when(sign == -1, -v).otherwise(nothing).cast(_EXACT).alias(f"s{i}"), sign.cast("long").alias(f"n{i}")]
+        question = F.col("x.kind") == F.lit(1)
+        return each.select("g", "x.at", "x.kind", *(F.when(question, F.col(c)).alias(c) for c in own), *parts)
+
     add = lambda c: F.max(c) if c.startswith("l") else F.sum(c)
-    before = Window.partitionBy("g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = steps.groupBy("g", "block").agg(*(add(c).alias(c) for c in totals))
-    blocks = blocks.select("g", "block", *(add(c).over(before).alias(f"b_{c}") for c in totals))
-    run = Window.partitionBy("g", "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = steps.select("g", "block", "kind", "row", *(add(c).over(run).alias(c) for c in totals), "at").where("kind = 1").join(blocks, ["g", "block"], "left")
+
+    def answers(of: DataFrame, *parts: str) -> DataFrame:
+        run = Window.partitionBy(*parts).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return of.select(*parts, "kind", *own, *(add(c).over(run).alias(c) for c in totals), "at").where("kind = 1")
+
+    sizes = work.groupBy("g").agg(F.count("*").alias("n"))
+    counted = sizes.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > GROUP).alias("large")).first()
+    spread = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((counted["rows"] or 0) / ROWS_A_TASK))
+    kinds = {"n": "long", "s": "decimal(38,6)", "l": f"struct<at:bigint,v:{_EXACT}>"}
+    small, large, nothing_before = work, None, [F.lit(None).cast(kinds[c[0]]).alias(f"b_{c}") for c in totals]
+    if counted["large"]:  # a row for each GROUP rows at most
+        hot = F.broadcast(materialise(sizes.where(F.col("n") > GROUP).select("g"), "history-large"))
+        small, large = work.join(hot, "g", "left_anti"), steps(work.join(hot, "g", "left_semi"))
+    asked = answers(steps(small.repartition(spread, "g")), "g").select("at", *own, *totals, *nothing_before)
+    if large is not None:
+        large = large.withColumn("block", F.coalesce(F.floor(F.col("at") / F.lit(block_days * _DAY)), F.lit(-(1 << 60))).cast("long"))
+        blocks = large.groupBy("g", "block").agg(*(add(c).alias(c) for c in totals))
+        earlier = Window.partitionBy("g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select("g", "block", *(add(c).over(earlier).alias(f"b_{c}") for c in totals))
+        there = answers(large, "g", "block").join(blocks, ["g", "block"], "left")
+        asked = asked.unionByName(there.select("at", *own, *totals, *(F.col(f"b_{c}").cast(kinds[c[0]]).alias(f"b_{c}") for c in totals)))
 
     def whole(c: str) -> Column:
         if c.startswith("l"):
@@ -108,7 +131,7 @@ def _for_group(rows: DataFrame, features: list[RowDerive], by: tuple[str, ...],
             found = F.when(whole(f"n{i}") > 0, total if f.via == "rolling_sum" else total / whole(f"n{i}"))
         return F.when(F.col("at").isNotNull(), found.cast("double")).alias(f.out)
 
-    return asked.select("row.*", *(answer(i, f) for i, f in enumerate(features)))
+    return asked.select(*(F.col(n).alias(c) for n, c in zip(own, rows.columns, strict=True)), *(answer(i, f) for i, f in enumerate(features)))
 
 
 def of_sources(rows: DataFrame | dict[str, DataFrame], derives: tuple[RowDerive, ...], sources: tuple, source_from: str) -> DataFrame | dict[str, DataFrame]:

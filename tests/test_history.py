@@ -9,6 +9,7 @@ from pyspark.sql.udtf import AnalyzeResult
 
 from tallyframe.functions import registered
 from tallyframe.functions.registered import Aggregate
+from tallyframe.operators import history
 from tallyframe.operators.frame import build
 from tallyframe.operators.history import with_history
 from tallyframe.operators.rollup import merged, states
@@ -60,6 +61,22 @@ def plain(rows, feature):
     return out
 
 
+def test_history_shuffles_rows_and_not_steps(spark):
+    rows = spark.createDataFrame(made(3, 50), COLUMNS)
+    plan = with_history(rows, FEATURES, "at", "seen")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("block", [1, 13])
+def test_history_of_large_groups(spark, monkeypatch, block):
+    rows = spark.createDataFrame(made(3, 350), COLUMNS)
+    whole = sorted(map(str, with_history(rows, FEATURES, "at", "seen", block).collect()))
+    monkeypatch.setattr(history, "GROUP", 100)  # of three groups one is large
+    assert whole == sorted(map(str, with_history(rows, FEATURES, "at", "seen", block).collect()))
+    monkeypatch.setattr(history, "GROUP", 0)
+    assert whole == sorted(map(str, with_history(rows, FEATURES, "at", "seen", block).collect()))
+
+
 @pytest.mark.parametrize("block", [1, 13])
 def test_history_sees_only_what_had_arrived(spark, block):
     rows = made(3, 350)
