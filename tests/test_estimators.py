@@ -231,6 +231,18 @@ def test_scores_are_products_of_factors_and_the_best_unseen_come_first(spark):
         assert all(abs(u[user] @ i[item] - x) < 1e-4 and (user, item) not in seen for _, item, x in rows)
 
 
+def test_ranking_of_a_small_catalogue_makes_no_product_of_tables(spark, monkeypatch):
+    data = tastes(spark).where("user < 'u10'").unionByName(spark.createDataFrame([("all", f"t{t}_{i:02d}", 1.0) for t in range(4) for i in range(12)], "user string, item string, w double"))
+    model = ranking.fit(data, rank=4)
+    held = ranking.recommend(model, data, data.select("user"), 3)
+    assert "Cartesian" not in held._jdf.queryExecution().executedPlan().toString() and held.rdd.getNumPartitions() <= 8
+    monkeypatch.setattr(ranking, "HELD_CELLS", 0)
+    rows, want = ({(r["user"], r["rank"]): (r["item"], r["score"]) for r in x.collect()} for x in (held, ranking.recommend(model, data, data.select("user"), 3)))
+    assert rows.keys() == want.keys() and sum(u == "all" for u, _ in rows) == 3
+    assert all(abs(rows[k][1] - want[k][1]) < 1e-5 for k in rows)
+    assert held.dtypes == ranking.recommend(model, data, data.select("user"), 3).dtypes
+
+
 def test_ndcg_by_hand_and_users_nobody_knows(spark):
     recs = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "z", 3), ("b", "x", 1)], "user string, item string, rank int")
     relevant = spark.createDataFrame([("a", "y"), ("a", "z"), ("b", "q"), ("c", "x")], "user string, item string")
