@@ -120,8 +120,8 @@ def recommend(factors: Factors, history: DataFrame, users: DataFrame, k: int = 5
 def quality(recs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """``ndcg, hit_rate, users_scored`` at k over the users of ``relevant``; a user without ranks counts as 0."""
     size = relevant.select("user", "item").distinct().groupBy("user").agg(F.count("*").alias("n"))
-    found = recs.where(F.col("rank") <= k).join(relevant.select("user", "item").distinct(), ["user", "item"])
+    found = recs.where(F.col("rank") <= k).join(relevant.select("user", "item").distinct().hint("merge"), ["user", "item"])
     gains = found.groupBy("user").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1))
-    per = size.join(gains, "user", "left").select((F.coalesce("gain", F.lit(0.0)) / ideal).alias("ndcg"), F.col("gain").isNotNull().cast("double").alias("hit"))
+    per = size.join(gains.hint("merge"), "user", "left").select((F.coalesce("gain", F.lit(0.0)) / ideal).alias("ndcg"), F.col("gain").isNotNull().cast("double").alias("hit"))
     return per.agg(F.round(F.avg("ndcg"), 4).alias("ndcg"), F.round(F.avg("hit"), 4).alias("hit_rate"), F.count("*").alias("users_scored"))
