@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,18 +173,30 @@ class Frame:
         return out
 
 
-def _pruned(table: DataFrame, s: Spec, source: str) -> DataFrame:
-    """A source's own table without the rows that its filters drop, as far as its scan can tell.
+def _holding(table: DataFrame, s: Spec, source: str) -> list[Column]:
+    """Conditions that the rows which a source's filters keep meet in its own table, as far as its scan can tell.
 
     Positions count rows before filters, so a spec that has them reads all rows.
     """
     if any(k.returns == "position" for k in s.keys):
-        return table
-    for f in s.filters:
-        if f.source == source and not f.applied_upstream and f.column in table.columns:
-            holds = pushed(coerce.cell(table, f.column), coerce.kind_of(table, f.column), f.operator, f.value)
-            table = table if holds is None else table.where(holds)
-    return table
+        return []
+    own = [f for f in s.filters if f.source == source and not f.applied_upstream and f.column in table.columns]
+    found = [pushed(coerce.cell(table, f.column), coerce.kind_of(table, f.column), f.operator, f.value) for f in own]
+    return [holds for holds in found if holds is not None]
+
+
+def _pruned(table: DataFrame, s: Spec, source: str) -> DataFrame:
+    """A source's own table without the rows that its filters drop."""
+    return reduce(lambda df, holds: df.where(holds), _holding(table, s, source), table)
+
+
+def _with_histories(rows: DataFrame | dict[str, DataFrame], s: Spec) -> tuple[DataFrame | dict[str, DataFrame], Callable[[], DataFrame | dict[str, DataFrame]]]:
+    """Rows with the spec's row derives, and a function that gives those that filters drop as well: these are history, but have none."""
+    derived = {d.source for d in s.row_derives}
+    holding = {} if s.source_from else {x.id: _holding(rows[x.id] if isinstance(rows, dict) else rows, s, x.id) for x in s.sources if x.id in derived and (not isinstance(rows, dict) or x.id in rows)}
+    asked = {name: reduce(and_, conditions) for name, conditions in holding.items() if conditions}
+    least = of_sources(rows, s.row_derives, s.sources, s.source_from, asked)
+    return least, (lambda: of_sources(rows, s.row_derives, s.sources, s.source_from)) if asked else (lambda: least)
 
 
 def _prepared(rows: DataFrame, s: Spec, tag: str, also: tuple[str, ...] = (), replaced: dict[str, str] | None = None) -> DataFrame:
@@ -282,26 +295,28 @@ def _reduced(rows: DataFrame, keys: list[str], measures: list[Measure], order: b
 def kept_rows(rows: DataFrame | dict[str, DataFrame], s: Spec, aliases: dict[str, DataFrame] | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """The rows that buckets are made of, and a function that gives all rows with the reasons for dropping them."""
     tables = {name: alias_table(name, table) for name, table in (aliases or {}).items()}
-    rows = of_sources(rows, s.row_derives, s.sources, s.source_from)
-    if isinstance(rows, dict):
-        full, least = tag_sources(rows), tag_sources({name: _pruned(df, s, name) for name, df in rows.items()})
-    else:
+    if not isinstance(rows, dict) and not s.source_from and len(s.sources) > 1:
+        raise ValueError("source_from: needed with several sources in one table")
+    rows, all_rows = _with_histories(rows, s)
+
+    def tagged(rows: DataFrame | dict[str, DataFrame], of_source: Callable[[DataFrame, Spec, str], DataFrame]) -> tuple[DataFrame, str]:
+        if isinstance(rows, dict):
+            return tag_sources({name: of_source(df, s, name) for name, df in rows.items()})
         (tag,) = free_names(rows, "source")
         if s.source_from:
-            full = least = rows.withColumn(tag, coerce.text(coerce.cell(rows, s.source_from))), tag
-        elif len(s.sources) > 1:
-            raise ValueError("source_from: needed with several sources in one table")
-        else:
-            full, least = ((df.withColumn(tag, F.lit(s.sources[0].id)), tag) for df in (rows, _pruned(rows, s, s.sources[0].id)))
+            return rows.withColumn(tag, coerce.text(coerce.cell(rows, s.source_from))), tag
+        return of_source(rows, s, s.sources[0].id).withColumn(tag, F.lit(s.sources[0].id)), tag
+
     counted = any(k.returns == "position" for k in s.keys)
 
     def with_reasons(table: DataFrame, tag: str) -> DataFrame:
         table, replaced = _with_aliases(table, s, tables)
         return _prepared(table, s, tag, replaced=replaced)
 
-    prepared = with_reasons(*least)
+    prepared = with_reasons(*tagged(rows, _pruned))
     kept = _copies(prepared.where(F.col(_DROP).isNull()), s)
-    everything = (lambda: prepared) if counted or full is least else (lambda: with_reasons(*full))  # only counts of what was dropped need it
+    one = counted or (bool(s.source_from) and not isinstance(rows, dict))
+    everything = (lambda: prepared) if one else (lambda: with_reasons(*tagged(all_rows(), lambda df, _s, _name: df)))  # only counts of what was dropped need it
     return kept, everything
 
 

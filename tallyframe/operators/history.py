@@ -2,6 +2,7 @@
 
 A row counts for others of its group from its arrival on, until its window has passed. So each row is a
 step up, a step down for each window, and a question; answers are running totals over the steps in time.
+Only steps that change something are made: rows that arrive after their windows, say, are questions alone.
 Rows are shuffled once, by group, and become steps in the task that runs their totals. A group of more than
 ``GROUP`` rows is spread over blocks of time instead: its steps are shuffled, and totals start from those of the
 blocks before. No rows are joined with rows.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,22 +38,23 @@ def _moment(rows: DataFrame, name: str) -> Column:
     return F.unix_micros(when.cast("timestamp"))
 
 
-def with_history(rows: DataFrame, features: list[RowDerive], event: str, arrival: str = "", block_days: int = 1) -> DataFrame:
+def with_history(rows: DataFrame, features: list[RowDerive], event: str, arrival: str = "", block_days: int = 1, asked: Column | None = None) -> DataFrame:
     """``rows`` with a column for each feature.
 
     A feature of a row sees rows of equal ``by`` that happened before it, at most ``days`` earlier, and had arrived
     by its own time; without an arrival a row arrives as it happens. ``rolling_sum`` and ``rolling_mean`` are null
     where nothing is seen, ``rolling_count`` is 0; ``last_value`` is that of the latest seen row (of equally late
     ones the largest) and looks back over everything if it has no ``days``. Cells that are no number, or not below
-    1e22, aren't seen; sums are exact to six places. Rows without a time keep their place, with nulls.
+    1e22, aren't seen; sums are exact to six places. Rows without a time keep their place, with nulls. Rows for which
+    ``asked``, a condition on columns of ``rows``, doesn't hold are seen by others and left out.
     """
-    out = rows
-    for by in dict.fromkeys(f.by for f in features):
-        out = _for_group(out, [f for f in features if f.by == by], by, event, arrival, block_days)
-    return out
+    out, groups = rows, list(dict.fromkeys(f.by for f in features))
+    for by in groups:
+        out = _for_group(out, [f for f in features if f.by == by], by, event, arrival, block_days, asked if by == groups[-1] else None)
+    return out if groups or asked is None else out.where(asked)
 
 
-def _for_group(rows: DataFrame, features: list[RowDerive], by: tuple[str, ...], event: str, arrival: str, block_days: int) -> DataFrame:
+def _for_group(rows: DataFrame, features: list[RowDerive], by: tuple[str, ...], event: str, arrival: str, block_days: int, asked: Column | None) -> DataFrame:
     if clash := {f.out.lower() for f in features} & {c.lower() for c in rows.columns}:
         raise ValueError(f"row derives: the table has a column '{sorted(clash)[0]}'")
     for f in features:
@@ -59,36 +62,47 @@ def _for_group(rows: DataFrame, features: list[RowDerive], by: tuple[str, ...],
             raise ValueError(f"row derives: unknown '{f.via}'")
     e = _moment(rows, event)
     a = F.greatest(e, _moment(rows, arrival)) if arrival else e
-    g = F.to_json(F.array(*(coerce.text(coerce.cell(rows, c)) for c in by))) if by else F.lit("")
+    texts = [coerce.text(coerce.cell(rows, c)) for c in by] or [F.lit("")]
+    g = texts[0] if len(texts) == 1 else F.to_json(F.array(*texts))
 
     def value(f: RowDerive) -> Column:
         x = coerce.number(coerce.cell(rows, f.column), coerce.kind_of(rows, f.column))
-        return F.when(F.abs(x) < 1e22, x).cast(_EXACT)
+        return F.when(F.abs(x) < 1e22, F.lit(True) if f.via == "rolling_count" else x.cast(_EXACT))
 
     own = [f"c{i}" for i in range(len(rows.columns))]
-    work = rows.select(g.alias("g"), e.alias("e"), a.alias("a"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, own, strict=True)), *(value(f).alias(f"v{i}") for i, f in enumerate(features)))
+    asks = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    work = rows.select(g.alias("g"), e.alias("e"), a.alias("a"), asks.alias("q"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, own, strict=True)), *(value(f).alias(f"v{i}") for i, f in enumerate(features)))
     e, a = F.col("e"), F.col("a")
     nothing, no_last = F.lit(0).cast(_EXACT), F.lit(None).cast(f"struct<at:bigint,v:{_EXACT}>")
-    totals = [c for i, f in enumerate(features) for c in ([f"l{i}"] if f.via == "last_value" else [f"s{i}", f"n{i}"])]
+    totals = [c for i, f in enumerate(features) for c in {"last_value": [f"l{i}"], "rolling_count": [f"n{i}"]}.get(f.via, [f"s{i}", f"n{i}"])]
     ends = sorted({f.days for f in features if f.via != "last_value"})
 
+    def seen(i: int) -> Column:
+        """Whether any question can see the row: it has a value and a time, and arrives before its window has passed."""
+        days = features[i].days
+        return F.col(f"v{i}").isNotNull() & (a <= e + F.lit(days * _DAY) if days else e.isNotNull())
+
+    def any_seen(days: int = 0) -> Column:
+        return reduce(or_, (seen(i) for i, f in enumerate(features) if not days or (f.days == days and f.via != "last_value")))
+
     def steps(of: DataFrame) -> DataFrame:
         """Up, down at the end of each window, and a question, with what each feature adds to the running totals there.
 
         What arrives late is seen at once (kind 0), what happens now only after the question (kind 1).
         """
-        kinds = [(e, F.lit(1), 0), (a, F.when(a > e, 0).otherwise(2), -1), *((e + F.lit(d * _DAY), F.lit(2), d) for d in ends)]
-        moves = F.array(*(F.struct(at.alias("at"), kind.alias("kind"), F.lit(step).alias("step")) for at, kind, step in kinds))
-        each = of.withColumn("x", F.explode(F.when(e.isNull(), F.slice(moves, 1, 1)).otherwise(moves)))
+        kinds = [(F.col("q"), e, F.lit(1), 0), (any_seen(), a, F.when(a > e, 0).otherwise(2), -1), *((any_seen(d), e + F.lit(d * _DAY), F.lit(2), d) for d in ends)]
+        moves = F.array(*(F.when(needed, F.struct(at.alias("at"), kind.alias("kind"), F.lit(step).alias("step"))) for needed, at, kind, step in kinds))
+        each = of.withColumn("x", F.explode(moves)).where(F.col("x").isNotNull())
         step, parts = F.col("x.step"), []
         for i, f in enumerate(features):
             v = F.col(f"v{i}")
             if f.via == "last_value":
-                parts.append(F.when((step == -1) & v.isNotNull(), F.struct(e.alias("at"), v.alias("v"))).otherwise(no_last).alias(f"l{i}"))
+                parts.append(F.when((step == -1) & seen(i), F.struct(e.alias("at"), v.alias("v"))).otherwise(no_last).alias(f"l{i}"))
                 continue
-            seen = v.isNotNull() & (a <= e + F.lit(f.days * _DAY))
-            sign = F.when(seen & (step == -1), 1).when(seen & (step == f.days), -1).otherwise(0)
-            parts += [F.when(sign == 1, v).when(sign == -1, -v).otherwise(nothing).cast(_EXACT).alias(f"s{i}"), sign.cast("long").alias(f"n{i}")]
+            sign = F.when(seen(i) & (step == -1), 1).when(seen(i) & (step == f.days), -1).otherwise(0)
+            if f.via != "rolling_count":
+                parts.append(F.when(sign == 1, v).when(sign == -1, -v).otherwise(nothing).cast(_EXACT).alias(f"s{i}"))
+            parts.append(sign.cast("long").alias(f"n{i}"))
         question = F.col("x.kind") == F.lit(1)
         return each.select("g", "x.at", "x.kind", *(F.when(question, F.col(c)).alias(c) for c in own), *parts)
 
@@ -102,6 +116,8 @@ def _for_group(rows: DataFrame, features: list[RowDerive], by: tuple[str, ...],
     counted = sizes.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > GROUP).alias("large")).first()
     spread = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((counted["rows"] or 0) / ROWS_A_TASK))
     kinds = {"n": "long", "s": "decimal(38,6)", "l": f"struct<at:bigint,v:{_EXACT}>"}
+    if asked is not None:
+        work = work.where(F.col("q") | any_seen())
     small, large, nothing_before = work, None, [F.lit(None).cast(kinds[c[0]]).alias(f"b_{c}") for c in totals]
     if counted["large"]:  # a row for each GROUP rows at most
         hot = F.broadcast(materialise(sizes.where(F.col("n") > GROUP).select("g"), "history-large"))
@@ -134,13 +150,17 @@ def _for_group(rows: DataFrame, features: list[RowDerive], by: tuple[str, ...],
     return asked.select(*(F.col(n).alias(c) for n, c in zip(own, rows.columns, strict=True)), *(answer(i, f) for i, f in enumerate(features)))
 
 
-def of_sources(rows: DataFrame | dict[str, DataFrame], derives: tuple[RowDerive, ...], sources: tuple, source_from: str) -> DataFrame | dict[str, DataFrame]:
-    """Tables with the row derives of a spec: each source's own, or, in one table, apart by the column that tells sources."""
+def of_sources(rows: DataFrame | dict[str, DataFrame], derives: tuple[RowDerive, ...], sources: tuple, source_from: str, asked: dict[str, Column] | None = None) -> DataFrame | dict[str, DataFrame]:
+    """Tables with the row derives of a spec: each source's own, or, in one table, apart by the column that tells sources.
+
+    ``asked``: by a source's id, the condition on its rows that are to be in its table; not with ``source_from``.
+    """
+    asked = asked or {}
     if not derives:
         return rows
     place = {s.id: s for s in sources}
     if isinstance(rows, dict):
-        return {name: with_history(df, [d for d in derives if d.source == name], place[name].time_from, place[name].available_from) if name in place else df for name, df in rows.items()}
+        return {name: with_history(df, [d for d in derives if d.source == name], place[name].time_from, place[name].available_from, asked=asked.get(name)) if name in place else df for name, df in rows.items()}
     if source_from:
         derives = tuple(RowDerive(d.out, d.via, d.source, d.column, (source_from, *d.by), d.days) for d in derives)
-    return reduce(lambda df, s: with_history(df, [d for d in derives if d.source == s.id], s.time_from, s.available_from), sources, rows)
+    return reduce(lambda df, s: with_history(df, [d for d in derives if d.source == s.id], s.time_from, s.available_from, asked=asked.get(s.id)), sources, rows)

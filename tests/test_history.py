@@ -67,6 +67,34 @@ def test_history_shuffles_rows_and_not_steps(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
 
 
+def test_history_of_asked_rows(spark, monkeypatch):
+    rows = spark.createDataFrame(made(4, 200), COLUMNS)
+    features = [*FEATURES, RowDerive("c30", "rolling_count", "", "v", ("k", "w"), 30)]
+    asked = F.col("w") != "2"
+    want = sorted(map(str, with_history(rows, features, "at", "seen").where(asked).collect()))
+    assert want == sorted(map(str, with_history(rows, features, "at", "seen", asked=asked).collect())) and 0 < len(want) < 200
+    monkeypatch.setattr(history, "GROUP", 40)
+    assert want == sorted(map(str, with_history(rows, features, "at", "seen", asked=asked).collect()))
+
+
+def test_history_makes_only_needed_steps(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, "a", start, start + dt.timedelta(days=8 * (i % 4 != 0)), 1.0, "1") for i in range(100)], COLUMNS)
+    spec = {
+        "time_from": "at", "available_from": "seen", "keys": [{"name": "t", "via": "bin:day"}],
+        "derives": [{"name": "recent", "scope": "row", "via": "rolling_count", "of": "v", "by": "k", "days": 7}],
+        "aggregates": [{"name": "n", "using": "count", "of": "recent"}], "filters": [{"of": "id", "using": "lessThan", "value": 10}],
+    }
+    f = build(rows, spec)
+    assert [tuple(r) for r in f.df.collect()] == [("2024-01-01", 10.0)] and f.meta["rows_in"] == 100 and f.meta["rows_dropped"]["filtered"] == 90
+    plan = f.df._jdf.queryExecution().optimizedPlan()
+    while "Window" not in plan.nodeName() or "Window" in plan.children().head().toString():
+        plan = plan.children().head()
+    steps = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.children().head()).count()
+    assert steps == 10 + 25 + 25  # questions of rows that are kept, arrivals within a window, and its ends
+    assert "decimal" not in plan.toString()
+
+
 @pytest.mark.parametrize("block", [1, 13])
 def test_history_of_large_groups(spark, monkeypatch, block):
     rows = spark.createDataFrame(made(3, 350), COLUMNS)
