@@ -167,6 +167,21 @@ def test_ngram_join_keeps_the_first(docs, empty):
     assert ngram_join.jaccard_classes(empty).count() == 0 and ngram_join.keep_first(empty).count() == 0
 
 
+def test_copies_of_a_text_do_not_enlarge_a_group(spark):
+    """Two texts that share an n-gram and are far apart are no candidates, in however many tasks they are."""
+    rng = random.Random(8)
+    texts = [sentence(rng, "en", 60) + f" {k} v w x y z" for k in "pq"]
+    ranks = spark.sparkContext.broadcast((np.zeros(0, dtype=np.uint32),) * 2)
+    for times in (1, 12):
+        rows = [(2 * k + i, x) for k in range(times) for i, x in enumerate(texts)]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, times), "doc_id long, text string")
+        sets = ngram_join._scan(docs, 5, 64).where("sig IS NOT NULL").select("sig", "n").distinct()
+        postings = ngram_join._postings(docs, 5, 1, ranks)  # percent 1: all n-grams are sent
+        assert postings.count() == 2 * 62 * times
+        assert postings.groupBy("gram").agg(F.countDistinct("sig").alias("sets")).where("sets > 1").count() == 1
+        assert not ngram_join._candidates(postings, sets, 80).collect()
+
+
 def test_ngram_join_decides_by_text_and_whatever_the_columns(spark):
     rng = random.Random(3)
     a, b, c = (sentence(rng, "en", 60) for _ in range(3))
